@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qalink.functions.binding import let
+from qalink.functions.mentions import quote
+
 _HIDDEN = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
 _BREAKING = (
     r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|"
     r"main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:\s[^>]*)?/?>"
 )
 _ANY_TAG = "<[^>]*>"
+# Fixed values; the ampersand comes last, so that nothing is decoded twice.
+_ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&"))
 # Control character that separates blocks while they are cleaned as one string.
 _MARK = "\u0001"
 
@@ -46,18 +51,27 @@ def decode_entities(text: Column) -> Column:
             F.concat(F.coalesce(char, F.lit("�")), rest)
         )
 
-    pieces = F.split(text, "&#")
-    numeric = F.when(
-        F.contains(text, F.lit("&#")),
-        F.concat(
-            F.get(pieces, F.lit(0)),
-            F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded), ""),
-        ),
-    ).otherwise(text)
-    named = numeric
-    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
-        named = F.replace(named, F.lit(f"&{entity};"), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+    def numeric(value: Column) -> Column:
+        return let(
+            F.split(value, "&#"),
+            lambda pieces: F.concat(
+                F.get(pieces, F.lit(0)),
+                F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded), ""),
+            ),
+        )
+
+    def named(value: Column) -> Column:
+        for entity, char in _ENTITIES:
+            value = F.replace(value, F.lit(f"&{entity};"), F.lit(char))
+        return value
+
+    def has(value: Column, sign: str) -> Column:
+        return F.contains(value, F.lit(sign))
+
+    return let(
+        text,
+        lambda t: F.when(has(t, "&#"), named(numeric(t))).when(has(t, "&"), named(t)).otherwise(t),
+    )
 
 
 def plain_text(markup: Column) -> Column:
@@ -74,8 +88,12 @@ def joined_text(html: Column, tag: str, separator: str = " ") -> Column:
 def block_texts(html: Column, tag: str) -> Column:
     """Text of each ``tag`` element."""
     blocks = elements(html, tag)
-    text = plain_text(F.array_join(blocks, _MARK))
-    return F.when(F.size(blocks) > 0, F.split(text, _MARK)).otherwise(F.array().cast("array<string>"))
+    return let(
+        blocks,
+        lambda b: F.when(F.size(b) > 0, F.split(plain_text(F.array_join(b, _MARK)), _MARK)).otherwise(
+            F.array().cast("array<string>")
+        ),
+    )
 
 
 def mentions_in_elements(html: Column, needle: str, tag: str = "code") -> Column:
@@ -97,10 +115,7 @@ def without_elements(html: Column, tags: Sequence[str] = ("pre", "code")) -> Col
 def names_in_prose(title: Column, html: Column, names: Sequence[str]) -> Column:
     """Is a name in the title, or in the markup left once code is cut out? Case is ignored."""
     prose = F.lower(F.concat_ws(_MARK, title, without_elements(html)))
-    found = F.lit(False)
-    for name in names:
-        found = found | F.contains(prose, F.lit(name.lower()))
-    return found
+    return prose.rlike("|".join(quote(name.lower()) for name in names))
 
 
 class _BlockReader(HTMLParser):

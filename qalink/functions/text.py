@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qalink.functions.binding import let
+
 # Words of the Java language that never count as identifiers.
 JAVA_WORDS = (
     "abstract assert boolean break byte case catch char class const continue default do double "
@@ -74,12 +76,15 @@ def category_slug(name: Column) -> Column:
 
 def url_coordinates(url: Column) -> Column:
     """``struct(group_id, artifact_id)``: the last two path segments, null when there are fewer."""
-    parts = F.split(F.regexp_replace(url, "/+$", ""), "/")
-    size = F.size(parts)
-    return F.struct(
-        F.get(parts, size - 2).alias("group_id"),
-        F.when(size >= 2, F.get(parts, size - 1)).alias("artifact_id"),
-    )
+
+    def last_two(parts: Column) -> Column:
+        size = F.size(parts)
+        return F.struct(
+            F.get(parts, size - 2).alias("group_id"),
+            F.when(size >= 2, F.get(parts, size - 1)).alias("artifact_id"),
+        )
+
+    return let(F.split(F.regexp_replace(url, "/+$", ""), "/"), last_two)
 
 
 def parse_tags(tags: Column, excluded: Sequence[str] = ()) -> Column:
@@ -148,5 +153,7 @@ def decode_usages(field: Column) -> Column:
 
 def best_usages(usages: Column, above: int = 1) -> Column:
     """The entries sharing the highest match count, if that count exceeds ``above``."""
-    best = F.array_max(F.transform(usages, lambda u: u["matches"]))
-    return F.filter(usages, lambda u: (u["matches"] == best) & (best > above))
+    highest = F.array_max(F.transform(usages, lambda u: u["matches"]))
+    return let(
+        highest, lambda best: F.filter(usages, lambda u: (u["matches"] == best) & (best > above))
+    )

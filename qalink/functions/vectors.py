@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qalink.functions.binding import let
+
 _ZERO = 0.0
 
 
@@ -24,7 +26,9 @@ def magnitude(v: Column) -> Column:
 
 
 def scale(v: Column, divisor: Column) -> Column:
-    return F.when(divisor != 0, F.transform(v, lambda x: x.cast("double") / divisor))
+    return let(
+        divisor, lambda d: F.when(d != 0, F.transform(v, lambda x: x.cast("double") / d))
+    )
 
 
 def normalize(v: Column) -> Column:
