@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 * 1024 * 1024
 # A key is hot when it holds more than one row in HOT_SHARE, so at most HOT_SHARE keys are hot.
 HOT_SHARE = 1024
+HOT_ROWS = 100_000
 _SALT = "_salt"
 
 
@@ -50,16 +51,24 @@ def lookup_join(
     return spread_join(left, right, on, how, spread_by)
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE, sample: float = 1.0) -> DataFrame:
+def hot_keys(
+    df: DataFrame,
+    on: Sequence[str],
+    share: int = HOT_SHARE,
+    sample: float = 1.0,
+    min_rows: int = HOT_ROWS,
+) -> DataFrame:
     """``on`` columns and ``_salts`` for the keys holding more than ``1 / share`` of the rows.
 
     At most ``share`` keys can qualify, and their ``_salts`` sum to at most twice that, whatever
-    the size of the table. A sample only affects which keys get spread, never a join's result.
+    the size of the table. Keys of fewer than ``min_rows`` rows are no burden and stay whole.
+    A sample only affects which keys get spread, never a join's result.
     """
     keys = df.select(*on).na.drop("any")
     counts = (keys.sample(sample, seed=7) if sample < 1.0 else keys).groupBy(*on).count()
     total = counts.agg(F.sum("count").alias("n")).scalar()
-    hot = counts.where(F.col("count") * share > total).select(
+    heavy = (F.col("count") * share > total) & (F.col("count") >= min_rows * sample)
+    hot = counts.where(heavy).select(
         *on, F.ceil(F.col("count") * share / total).cast("int").alias("_salts")
     )
     # Bounded by construction. Fixed here, so both sides of a join agree on it after a retry.
@@ -74,6 +83,7 @@ def spread_join(
     spread_by: Sequence[str] = (),
     share: int = HOT_SHARE,
     sample: float = 0.02,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Shuffle join in which the rows of a hot left key are dealt out to many tasks.
 
@@ -82,7 +92,7 @@ def spread_join(
     key match nothing and are dealt out too. ``how``: inner, left, left_semi or left_anti.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, share, sample))
+    hot = F.broadcast(hot_keys(left, on, share, sample, min_rows))
     row_hash = F.xxhash64(*(spread_by or left.columns))
     no_key = F.lit(False)
     for key in on:

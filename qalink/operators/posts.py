@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from qalink.functions import html as H
 from qalink.functions import text as X
-from qalink.operators.joins import lookup_join, spread_join
+from qalink.operators.joins import lookup_join
 from qalink.operators.lists import chunked_lists
 
 # Labels of the split report, in report order.
@@ -62,7 +62,8 @@ def answers_of_category(
 ) -> DataFrame:
     """Answers scored for a category with their post; the title is that of the score row."""
     scored = of_category(similarities, category)
-    return spread_join(posts.select("answer_id", *columns), scored, ["answer_id"]).distinct()
+    wanted = posts.select("answer_id", *columns)
+    return lookup_join(wanted, scored, ["answer_id"], spread_by=columns).distinct()
 
 
 def post_class(
