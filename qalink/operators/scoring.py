@@ -21,6 +21,7 @@ def closest_category(
     category_words: DataFrame,
     vectors: DataFrame,
     keys: Sequence[str],
+    weight: str | None = None,
     max_categories: int = MAX_CATEGORIES,
 ) -> DataFrame:
     """``keys…, category, similarity``: the category most similar to the words of each key.
@@ -28,9 +29,10 @@ def closest_category(
     The similarity is the dot product of the two sentence vectors. It is linear in the words, so
     each word of the vocabulary is scored against the categories once, and a key sums the scores
     of its words along with their vectors; no key is paired with every category. Keys without a
-    known word have no result. Equal scores go to the smaller category name.
+    known word have no result. Equal scores go to the smaller category name. ``weight`` names a
+    column of repeat counts in ``category_words``.
     """
-    sentences = sentence_vectors(category_words, vectors, ["category"])
+    sentences = sentence_vectors(category_words, vectors, ["category"], weight)
     first = sentences.orderBy("category").limit(max_categories + 1).collect()
     if len(first) > max_categories:
         return _closest_of_many(words, sentences, vectors, keys, max_categories)

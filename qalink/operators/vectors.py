@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qalink.functions import vectors as V
@@ -55,36 +55,49 @@ def pair_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return with_vectors(first, vectors, word="word_b", vector="vector_b")
 
 
-def summed(rows: DataFrame, keys: Sequence[str], size: int, column: str = "vector") -> DataFrame:
+def _sums(size: int, column: str = "vector", weight: str | None = None) -> list[Column]:
+    elements = [F.get(column, F.lit(i)).cast("double") for i in range(size)]
+    if weight:
+        elements = [e * F.col(weight) for e in elements]
+    return [F.sum(e).alias(f"_{i}") for i, e in enumerate(elements)]
+
+
+def summed(
+    rows: DataFrame, keys: Sequence[str], size: int, column: str = "vector", weight: str | None = None
+) -> DataFrame:
     """Element-wise sums of ``column`` per key, as columns ``_0 … _size-1``.
 
     One plain sum per element: partial sums form in the map tasks, so a key costs one row per
     task in the shuffle no matter how many words it has.
     """
-    sums = [F.sum(F.get(column, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(size)]
-    return rows.groupBy(*keys).agg(*sums)
+    return rows.groupBy(*keys).agg(*_sums(size, column, weight))
 
 
 def vector_sums(
-    words: DataFrame, vectors: DataFrame, keys: Sequence[str], known_only: bool = False
+    words: DataFrame,
+    vectors: DataFrame,
+    keys: Sequence[str],
+    known_only: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Sum of the word vectors per key; a key with an unknown word has none.
 
-    ``known_only`` skips unknown words instead.
+    ``known_only`` skips unknown words instead. ``weight`` names a column of repeat counts.
     """
     size = dimension(vectors)
     array = F.array(*[F.col(f"_{i}") for i in range(size)]).alias("vector")
     if known_only:
-        return summed(with_vectors(words, vectors), keys, size).select(*keys, array)
-    sums = [F.sum(F.get("vector", F.lit(i)).cast("double")).alias(f"_{i}") for i in range(size)]
+        return summed(with_vectors(words, vectors), keys, size, weight=weight).select(*keys, array)
     unknown = F.count_if(F.col("vector").isNull()).alias("_unknown")
-    per_key = with_vectors(words, vectors, "left").groupBy(*keys).agg(unknown, *sums)
+    per_key = with_vectors(words, vectors, "left").groupBy(*keys).agg(unknown, *_sums(size, weight=weight))
     return per_key.where(F.col("_unknown") == 0).select(*keys, array)
 
 
-def sentence_vectors(words: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+def sentence_vectors(
+    words: DataFrame, vectors: DataFrame, keys: Sequence[str], weight: str | None = None
+) -> DataFrame:
     """Unit vector of the known words per key; none when nothing is known or the sum is zero."""
-    sums = vector_sums(words, vectors, keys, known_only=True)
+    sums = vector_sums(words, vectors, keys, known_only=True, weight=weight)
     return sums.select(*keys, V.normalize(F.col("vector")).alias("vector")).where("vector is not null")
 
 
