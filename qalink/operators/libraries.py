@@ -59,7 +59,9 @@ def with_coordinates(df: DataFrame, libraries: DataFrame) -> DataFrame:
 
 # Read-outs. A class name such as ``a.b.C$D`` has the simple name ``C$D``.
 
-_IS_CLASS = F.col("member_name").isNull
+def _is_class() -> Column:
+    return F.col("member_name").isNull()
+
 
 
 def _simple_name() -> Column:
@@ -76,12 +78,12 @@ def _symbol(symbols: DataFrame, value: Column) -> DataFrame:
 
 def class_symbols(symbols: DataFrame) -> DataFrame:
     """Simple class names, nested names apart."""
-    return _symbol(symbols.where(_IS_CLASS()), _spaced_name())
+    return _symbol(symbols.where(_is_class()), _spaced_name())
 
 
 def method_symbols(symbols: DataFrame) -> DataFrame:
     """All method names, repeats and constructors kept."""
-    return _symbol(symbols.where(~_IS_CLASS()), F.col("member_name"))
+    return _symbol(symbols.where(~_is_class()), F.col("member_name"))
 
 
 def class_and_method_symbols(symbols: DataFrame) -> DataFrame:
@@ -91,19 +93,19 @@ def class_and_method_symbols(symbols: DataFrame) -> DataFrame:
 
 def qualified_class_symbols(symbols: DataFrame) -> DataFrame:
     """Fully qualified class names with dots between nested names."""
-    return _symbol(symbols.where(_IS_CLASS()), F.translate("class_name", "$", "."))
+    return _symbol(symbols.where(_is_class()), F.translate("class_name", "$", "."))
 
 
 def module_symbols(symbols: DataFrame) -> DataFrame:
     """Simple class names, and each proper method name once per class."""
-    proper = _IS_CLASS() | ~(F.startswith("member_name", F.lit("<")) | F.contains("member_name", F.lit("$")))
+    proper = _is_class() | ~(F.startswith("member_name", F.lit("<")) | F.contains("member_name", F.lit("$")))
     once = (
-        symbols.where(~_IS_CLASS())
+        symbols.where(~_is_class())
         .where(proper)
         .groupBy(*VERSION_KEY, "class_name", "member_name")
         .agg(F.min("ord").alias("ord"))
     )
-    return _symbol(symbols.where(_IS_CLASS()), _simple_name()).unionByName(
+    return _symbol(symbols.where(_is_class()), _simple_name()).unionByName(
         _symbol(once, F.col("member_name"))
     )
 

@@ -25,12 +25,17 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def list_entries(files: DataFrame) -> DataFrame:
+    """``path, entry, is_dir`` of archives given as ``path, content``; unreadable ones have no rows."""
+    return files.select("path", "content").mapInPandas(_list, schemas.ARCHIVE_ENTRIES)
+
+
 def archive_entries(spark: SparkSession, path: str, pattern: str = "*.jar") -> DataFrame:
-    """``path, entry, is_dir`` for every archive below ``path``; unreadable files have no rows."""
+    """:func:`list_entries` for every archive below ``path``."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(path)
     )
-    return files.select("path", "content").mapInPandas(_list, schemas.ARCHIVE_ENTRIES)
+    return list_entries(files)
