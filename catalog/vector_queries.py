@@ -119,7 +119,7 @@ def _sql_unit(name, source, keys):
 
 def _sql_top(scores, n, exclude="true"):
     return f"""
-    SELECT query_id, CAST(rank AS INTEGER) AS rank, word, round(score, 6) AS score
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, word, round(round(score, 9), 6) AS score
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, word) AS rank
           FROM ({scores}) WHERE {exclude}) WHERE rank <= {n}
     """
@@ -190,7 +190,7 @@ QUERIES = {
         rank_words,
         f"""WITH {SQL_LINES}, {_sql_unit('w', 'e', 'word, label')},
             centers AS (SELECT label, CAST(min(vec_id) AS VARCHAR) AS center FROM embeddings GROUP BY 1)
-            SELECT center, b.word, round(sum(a.u * b.u), 6) AS score
+            SELECT center, b.word, round(round(sum(a.u * b.u), 9), 6) AS score
             FROM centers JOIN w a ON a.word = center JOIN w b ON b.label = centers.label AND a.i = b.i GROUP BY 1, 2""",
     ),
     "closest_category_ml": (

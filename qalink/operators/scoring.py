@@ -40,21 +40,21 @@ def closest_category(
         nothing = words.select(*keys, F.lit("").alias("category"), F.lit(0.0).alias("similarity"))
         return nothing.where(F.lit(False))
     table = vectors.sparkSession.createDataFrame([([r["vector"] for r in first],)], "m array<array<double>>")
-    scores = F.transform(table.scalar(), lambda category: V.dot(category, F.col("vector")))
+    scores = F.transform("_m", lambda category: V.dot(category, F.col("vector")))
     size, count = dimension(vectors), len(first)
-    scored = vectors.select("word", F.concat(F.col("vector").cast("array<double>"), scores).alias("row"))
+    scored = vectors.withColumn("_m", table.scalar()).select(
+        "word", F.concat(F.col("vector").cast("array<double>"), scores).alias("row")
+    )
     found = lookup_join(words, scored, ["word"], broadcast_bytes=VOCABULARY_BYTES)
     sums = summed(found, keys, size + count, "row")
     total = sum((F.col(f"_{i}") * F.col(f"_{i}") for i in range(1, size)), F.col("_0") * F.col("_0"))
     ranked = sums.select(*keys, F.sqrt(total).alias("_norm"), F.array(*[F.col(f"_{size + i}") for i in range(count)]).alias("_s"))
-    similarity = F.round(F.try_divide(F.array_max("_s"), F.col("_norm")), 9)
-
-    def named(best: Column) -> Column:
-        rounded = F.transform("_s", lambda s: F.round(F.try_divide(s, F.col("_norm")), 9))
-        return F.get(F.array(*[F.lit(r["category"]) for r in first]), F.array_position(rounded, best) - 1)
-
+    names = F.array(*[F.lit(r["category"]) for r in first])
+    # Rounded for the choice only, so that equal scores stay equal whatever the order of summing.
+    rounded = F.transform("_s", lambda s: F.round(s / F.col("_norm"), 9))
+    best = let(rounded, lambda r: F.get(names, F.array_position(r, F.array_max(r)) - 1))
     return ranked.where(F.col("_norm") > 0).select(
-        *keys, let(similarity, named).alias("category"), similarity.alias("similarity")
+        *keys, best.alias("category"), (F.array_max("_s") / F.col("_norm")).alias("similarity")
     )
 
 
@@ -78,8 +78,8 @@ def _closest_of_many(
     array = F.array(*[F.col(f"_{i}") for i in range(size)])
     norms = summed(with_vectors(words, vectors), keys, size).select(*keys, V.magnitude(array).alias("_norm"))
     both = per_category.join(norms, list(keys)).where(F.col("_norm") > 0)
-    similarity = F.round(F.col("_s") / F.col("_norm"), 9).alias("similarity")
-    order = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "category")
+    similarity = (F.col("_s") / F.col("_norm")).alias("similarity")
+    order = Window.partitionBy(*keys).orderBy(F.round("similarity", 9).desc(), "category")
     ranked = both.select(*keys, "category", similarity).withColumn("_r", F.row_number().over(order))
     return ranked.where(F.col("_r") == 1).drop("_r")
 
