@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.standins import VECTORS, table, vectors
 from qalink import schemas
 from qalink.sources import tables, word_vectors
+from qalink.sources.scratch import shared_folder
 
 
 def csv_roundtrip(spark, d):
@@ -17,7 +18,7 @@ def csv_roundtrip(spark, d):
         F.col("l_returnflag").alias("category"),
         F.col("l_discount").alias("similarity"),
     )
-    folder = tables.shared_folder(spark)
+    folder = shared_folder(spark)
     tables.write_csv(rows, folder)
     return tables.read_csv(spark, folder, schemas.SIMILARITIES)
 
@@ -30,7 +31,7 @@ def csv_quoted_roundtrip(spark, d):
         F.concat(F.lit('<p class="b">'), "text", F.lit("</p>")).alias("body"),
         F.concat(F.lit("<"), "lang", F.lit(">")).alias("tags"),
     )
-    folder = tables.shared_folder(spark)
+    folder = shared_folder(spark)
     tables.write_csv(rows, folder, quoted=True)
     return tables.read_csv(spark, folder, schemas.POSTS, quoted=True, multi_line=True)
 
@@ -38,7 +39,7 @@ def csv_quoted_roundtrip(spark, d):
 def word_vectors_load(spark, d):
 
     words = vectors(spark, d)
-    folder = tables.shared_folder(spark)
+    folder = shared_folder(spark)
     word_vectors.write_word_vectors(words, folder)
     loaded = word_vectors.read_word_vectors(spark, folder)
     return loaded.select("word", F.posexplode("vector").alias("pos", "x"))

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalink.functions import text as X
+from qalink.sources.tables import read_table
+
+
+# Tables whose rows are texts: a scan of few files is dealt out before the work on them.
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", deal_out=name in TEXT_TABLES)
 
 
 # Posts with tags: one answer per order line, tags from the part.

@@ -11,6 +11,7 @@ from qalink.operators import posts as P
 from qalink.operators import tags as G
 from qalink.plans import tag_mining
 from qalink.sources import tables
+from qalink.sources.scratch import shared_folder
 
 
 def tag_bigrams(spark, d):
@@ -61,7 +62,7 @@ FROM ({_pairs(_OPENED, ())})
 
 
 def bigram_labels_load(spark, d):
-    folder = tables.shared_folder(spark)
+    folder = shared_folder(spark)
     tables.write_csv(spread_labels(spark, d), folder, header=False)
     return tables.read_bigrams(spark, folder)
 

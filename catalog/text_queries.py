@@ -13,9 +13,9 @@ from qalink.functions import mentions as M
 from qalink.functions import text as X
 from qalink.operators import libraries as L
 from qalink.operators import posts as P
-from qalink.operators import scoring as S
 from qalink.operators import titles as T
 from qalink.operators import usages as U
+from qalink.operators import words as R
 
 NEEDLE = "the"
 NAMES = ("spam-farm", "Onesat", "thanedble")
@@ -148,7 +148,7 @@ def library_versions(spark, d):
 
 def most_frequent_words(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("word"))
-    return S.most_frequent_words(words, ["doc_id"], 5)
+    return R.most_frequent_words(words, ["doc_id"], 5)
 
 
 def answer_records(spark, d):

@@ -23,12 +23,14 @@ GENERAL_TAGS = ("java", "android", "c++", "c", "c#", "eclipse", "intellij", "jav
 
 # A letter of the basic multilingual plane; letters beyond it count as blanks.
 _LETTER = r"[\p{L}&&[\x{0}-\x{FFFF}]]"
-_NOT_LETTER = r"[^\p{L}]|[\x{10000}-\x{10FFFF}]"
+_NOT_LETTER = r"[^\p{L}\n]|[\x{10000}-\x{10FFFF}]"
 
 
 def tokens(text: Column, separator: str = " ") -> Column:
-    """Split on a literal separator and drop the empty pieces."""
-    return F.filter(F.split(text, rf"\Q{separator}\E"), lambda t: t != "")
+    """Split on a separator sign and drop the empty pieces."""
+    # An escaped sign is split without the regex engine, unlike a quoted one.
+    pattern = "\\" + separator if separator in "|.$" else separator
+    return F.filter(F.split(text, pattern), lambda t: t != "")
 
 
 def _without(words: Column, stop_words: Sequence[str]) -> Column:
@@ -49,7 +51,9 @@ def chunk_identifiers(text: Column, stop_words: Sequence[str] = JAVA_WORDS) -> C
     Signs inside a chunk turn into blanks, and a chunk is dropped only when the whole of it
     is a stop word, so ``x.int`` keeps its ``int`` while a lone ``int`` goes.
     """
-    return F.transform(_chunks(text, stop_words), lambda c: F.regexp_replace(c, _NOT_LETTER, " "))
+    # Chunks hold no line break, so they are cleaned as the lines of one string.
+    lines = F.regexp_replace(F.array_join(_chunks(text, stop_words), "\n"), _NOT_LETTER, " ")
+    return tokens(lines, "\n")
 
 
 def word_identifiers(text: Column, stop_words: Sequence[str] = JAVA_WORDS) -> Column:
@@ -146,7 +150,7 @@ def decode_usages(field: Column) -> Column:
         tokens(field, "|"),
         lambda item: F.struct(
             F.substring_index(item, "->", 1).alias("library"),
-            F.get(F.split(item, "->"), F.lit(1)).cast("int").alias("matches"),
+            F.substring_index(item, "->", -1).try_cast("int").alias("matches"),
         ),
     )
 

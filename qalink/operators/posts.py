@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from qalink.functions import html as H
 from qalink.functions import text as X
-from qalink.operators.joins import lookup_join
+from qalink.operators.joins import BROADCAST_BYTES, lookup_join, measured_bytes, spread_join
 from qalink.operators.lists import chunked_lists
 
 # Labels of the split report, in report order.
@@ -45,11 +45,13 @@ def questions_of_category(
 ) -> DataFrame:
     """Selected questions with the wanted post columns, each distinct combination once.
 
-    Only the named columns are carried. The copies a question has (one per answer) collapse
-    before the shuffle, so a question with very many answers joins as a single row.
+    Only the named columns are carried, and the copies a question has (one per answer) collapse
+    before any shuffle, so a question with very many answers joins as a single row.
     """
-    wanted = posts.select("question_id", *columns).distinct()
-    return lookup_join(wanted, selected.distinct(), ["question_id"], spread_by=columns)
+    wanted, selected = posts.select("question_id", *columns), selected.distinct()
+    if measured_bytes(selected) <= BROADCAST_BYTES:
+        return wanted.join(F.broadcast(selected), "question_id").distinct()
+    return spread_join(wanted.distinct(), selected, ["question_id"], spread_by=columns)
 
 
 def posts_of_category(selected: DataFrame, posts: DataFrame) -> DataFrame:

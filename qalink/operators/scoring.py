@@ -11,7 +11,8 @@ from qalink.functions import text as X
 from qalink.functions import vectors as V
 from qalink.functions.binding import let
 from qalink.operators.joins import lookup_join
-from qalink.operators.vectors import VOCABULARY_BYTES, dimension, sentence_vectors, summed, with_vectors
+from qalink.operators.vectors import VOCABULARY_BYTES, dimension, elements, sentence_vectors, summed, with_vectors
+from qalink.sources.scratch import stored
 
 MAX_CATEGORIES = 256
 
@@ -47,8 +48,8 @@ def closest_category(
     )
     found = lookup_join(words, scored, ["word"], broadcast_bytes=VOCABULARY_BYTES)
     sums = summed(found, keys, size + count, "row")
-    total = sum((F.col(f"_{i}") * F.col(f"_{i}") for i in range(1, size)), F.col("_0") * F.col("_0"))
-    ranked = sums.select(*keys, F.sqrt(total).alias("_norm"), F.array(*[F.col(f"_{size + i}") for i in range(count)]).alias("_s"))
+    norm = F.expr("sqrt(" + " + ".join(f"_{i} * _{i}" for i in range(size)) + ")")
+    ranked = sums.select(*keys, norm.alias("_norm"), elements(size, size + count).alias("_s"))
     names = F.array(*[F.lit(r["category"]) for r in first])
     # Rounded for the choice only, so that equal scores stay equal whatever the order of summing.
     rounded = F.transform("_s", lambda s: F.round(s / F.col("_norm"), 9))
@@ -75,8 +76,8 @@ def _closest_of_many(
         F.sum("score").alias("_s")
     )
     size = dimension(vectors)
-    array = F.array(*[F.col(f"_{i}") for i in range(size)])
-    norms = summed(with_vectors(words, vectors), keys, size).select(*keys, V.magnitude(array).alias("_norm"))
+    norms = summed(with_vectors(words, vectors), keys, size)
+    norms = norms.select(*keys, V.magnitude(elements(0, size)).alias("_norm"))
     both = per_category.join(norms, list(keys)).where(F.col("_norm") > 0)
     similarity = (F.col("_s") / F.col("_norm")).alias("similarity")
     order = Window.partitionBy(*keys).orderBy(F.round("similarity", 9).desc(), "category")
@@ -116,7 +117,7 @@ def question_scores(
     tokens = kept.select(
         "question_id", "answer_id", "lower", F.explode(F.array_distinct("identifiers")).alias("token")
     )
-    hits = lookup_join(tokens, vocabulary, ["token"], spread_by=["question_id", "answer_id"])
+    hits = lookup_join(tokens, stored(vocabulary), ["token"], spread_by=["question_id", "answer_id"])
     per_answer = hits.groupBy("question_id", "answer_id", "category").agg(
         F.max(F.col("is_class").cast("int")).alias("class_hit"),
         F.count_if(~F.col("is_class")).alias("method_hits"),
@@ -164,10 +165,3 @@ def closest_category_classical(
     return best.where((F.col("_r") == 1) & (method > min_method)).select(
         "question_id", "category", F.col("method_similarity").alias("similarity")
     )
-
-
-def most_frequent_words(words: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The ``n`` most frequent words per key: ``keys…, word, count, rank``; ties by word."""
-    counts = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("count"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "word"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from qalink.functions import text as X
 from qalink.operators.joins import lookup_join
+from qalink.sources.scratch import stored
 
 # Tag families of nouns, verbs and adjectives.
 KEYWORD_TAGS = ("NN", "VB", "JJ")
@@ -36,7 +37,7 @@ def title_keywords(
     words = F.filter(F.split(F.lower(X.title_without_commas(F.col("title"))), r"\s+"), lambda t: t != "")
     # The marker at the end keeps titles of which no token is left.
     listed = titles.select(*keys, F.posexplode(F.concat(words, F.array(F.lit("")))).alias("pos", "token"))
-    tagged = lookup_join(listed, lexicon.select("token", "tag"), ["token"], "left", spread_by=[*keys, "pos"])
+    tagged = lookup_join(listed, stored(lexicon.select("token", "tag")), ["token"], "left", spread_by=[*keys, "pos"])
     tag = F.coalesce("tag", F.lit(unknown_tag).cast("string"))
     wanted = (F.col("token") != "") & tag.rlike("|".join(families))
     entry = F.when(wanted, F.struct("pos", "token"))

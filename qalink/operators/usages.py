@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qalink.functions import text as X
 from qalink.operators.joins import lookup_join
+from qalink.sources.scratch import stored
 
 
 def post_tokens(posts: DataFrame, keys: list[str], identifiers: str = "identifiers") -> DataFrame:
@@ -16,7 +17,8 @@ def post_tokens(posts: DataFrame, keys: list[str], identifiers: str = "identifie
 
 def token_overlap(tokens: DataFrame, other: DataFrame, keys: list[str], other_keys: list[str]) -> DataFrame:
     """Number of shared distinct tokens for every pair sharing one; found through the tokens."""
-    shared = lookup_join(tokens, other.select(*other_keys, "token").distinct(), ["token"], spread_by=keys)
+    listed = stored(other.select(*other_keys, "token").distinct())
+    shared = lookup_join(tokens, listed, ["token"], spread_by=keys)
     return shared.groupBy(*keys, *other_keys).agg(F.count(F.lit(1)).cast("int").alias("matches"))
 
 

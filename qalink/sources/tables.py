@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qalink import schemas
-from qalink.operators.joins import lookup_join
 
 MAX_STOP_WORDS = 10_000
 
@@ -47,8 +43,17 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, deal_out: bool = False) -> DataFrame:
+    """Parquet. ``deal_out`` is for work that is heavy per row, such as text and HTML.
+
+    When the files give fewer tasks than there are cores, the rows are then dealt out over the
+    cores first. A large table has more tasks than cores, and nothing is moved.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if deal_out and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def read_bigrams(spark: SparkSession, path: str) -> DataFrame:
@@ -63,22 +68,3 @@ def read_stop_words(spark: SparkSession, path: str) -> list[str]:
     if len(found) > MAX_STOP_WORDS:
         raise ValueError(f"more than {MAX_STOP_WORDS} stop words: join the list instead")
     return found
-
-
-def drop_stop_words(tokens: DataFrame, stop_words: DataFrame, column: str = "token") -> DataFrame:
-    """Anti-join form for lists of any length: ``stop_words(word)``."""
-    listed = stop_words.select(F.col("word").alias(column)).distinct()
-    return lookup_join(tokens, listed, [column], "left_anti").select(*tokens.columns)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one (``spark.checkpoint.dir``).
-
-    Only a session without that setting, as in tests, gets a local one.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if not base:
-        base = tempfile.mkdtemp(prefix="qalink-")
-    return f"{base.rstrip('/')}/qalink-{uuid.uuid4().hex}"
