@@ -13,6 +13,7 @@ from qalink.functions import text as X
 from qalink.operators import libraries as L
 from qalink.operators import scoring as S
 from qalink.sources import archives
+from qalink.sources.scratch import stored
 
 
 def library_version_lookup(spark, d):
@@ -80,7 +81,7 @@ def archive_entries(spark, d):
 
 
 def category_vocabulary(spark, d):
-    return L.category_vocabulary(library_version_lookup(spark, d), symbols(spark, d))
+    return L.category_vocabulary(stored(library_version_lookup(spark, d)), symbols(spark, d))
 
 
 def _spaced(name):
@@ -102,7 +103,8 @@ def _overlap_input(spark, d):
     )
     words = table(spark, d, "documents").select(
         F.col("lang").alias("category"), F.explode(X.word_identifiers(F.col("text"))).alias("token")
-    ).distinct()
+    )
+    words = stored(words.distinct())
     return answers, words, words
 
 

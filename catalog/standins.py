@@ -13,8 +13,8 @@ from qalink.sources.tables import read_table
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", deal_out=name in TEXT_TABLES)
+def table(spark: SparkSession, sf_dir: str, name: str, deal_out: bool = False) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet", deal_out or name in TEXT_TABLES)
 
 
 # Posts with tags: one answer per order line, tags from the part.
@@ -127,7 +127,7 @@ def label_words(spark, sf_dir):
 
 
 def line_words(spark, sf_dir, *keys):
-    return table(spark, sf_dir, "lineitem").select(*keys, F.col("l_partkey").cast("string").alias("word"))
+    return table(spark, sf_dir, "lineitem", deal_out=True).select(*keys, F.col("l_partkey").cast("string").alias("word"))
 
 
 # Usages as text: three amounts of an order line.
@@ -146,7 +146,7 @@ def usages(spark, sf_dir):
         X.encode_usage(F.lit("linenumber"), F.col("l_linenumber")),
         X.encode_usage(F.lit("discount"), F.round(F.col("l_discount") * 100).cast("int")),
     ]
-    return table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem", deal_out=True).select(
         F.concat(F.lit("line "), F.col("l_orderkey")).alias("title"), F.concat_ws("|", *fields).alias("libraries")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from qalink.functions import text as X
 from qalink.operators.joins import lookup_join
+from qalink.sources.scratch import stored
 
 UNSEEN, NOT_VALID, VALID = 0, 1, 2
 
@@ -44,12 +45,13 @@ def posts_with_tags(posts: DataFrame, tags: DataFrame) -> DataFrame:
     """Distinct posts having at least one of ``tags``."""
     columns = posts.columns
     exploded = posts.distinct().withColumn("tag", F.explode(F.array_distinct(X.parse_tags(F.col("tags")))))
-    return lookup_join(exploded, tags.select("tag").distinct(), ["tag"], "left_semi").select(*columns).distinct()
+    chosen = stored(tags.select("tag").distinct())
+    return lookup_join(exploded, chosen, ["tag"], "left_semi").select(*columns).distinct()
 
 
 def spread_labels(bigrams: DataFrame, labels: DataFrame) -> DataFrame:
     """Give every occurrence of a tag its label; a tag without one stays unseen."""
-    out = bigrams.select("tag_a", "tag_b")
+    out, labels = bigrams.select("tag_a", "tag_b"), stored(labels.select("tag", "label"))
     for side in ("a", "b"):
         named = labels.select(F.col("tag").alias(f"tag_{side}"), F.col("label").alias(f"label_{side}"))
         out = lookup_join(out, named, [f"tag_{side}"], "left")

@@ -10,6 +10,7 @@ from qalink.functions import text as X
 from qalink.operators import libraries as L
 from qalink.operators import posts as P
 from qalink.operators import scoring as S
+from qalink.sources.scratch import stored
 
 
 def _pre_identifiers():
@@ -17,7 +18,7 @@ def _pre_identifiers():
 
 
 def _libraries(selected: DataFrame, details: DataFrame) -> DataFrame:
-    return L.library_version_lookup(L.selected_libraries(selected), details)
+    return stored(L.library_version_lookup(L.selected_libraries(selected), details))
 
 
 def score_answers(
