@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qalink.sources.scratch import stored
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 # A key is hot when it holds more than one row in HOT_SHARE, so at most HOT_SHARE keys are hot.
 HOT_SHARE = 1024
@@ -40,15 +42,18 @@ def lookup_join(
     how: str = "inner",
     spread_by: Sequence[str] = (),
     broadcast_bytes: int = BROADCAST_BYTES,
+    store_left: bool = False,
 ) -> DataFrame:
     """Join a large table with a side that is usually small.
 
     The right side is measured. Up to ``broadcast_bytes`` it is broadcast and the left side is
     not shuffled at all; beyond that the join shuffles, with hot keys spread over many tasks.
+    ``store_left`` writes a dearly computed left side first in that case, since its keys are
+    sampled before it is joined.
     """
     if measured_bytes(right) <= broadcast_bytes:
         return left.join(F.broadcast(right), list(on), how)
-    return spread_join(left, right, on, how, spread_by)
+    return spread_join(stored(left) if store_left else left, right, on, how, spread_by)
 
 
 def hot_keys(

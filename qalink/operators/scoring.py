@@ -46,10 +46,9 @@ def closest_category(
     scored = vectors.withColumn("_m", table.scalar()).select(
         "word", F.concat(F.col("vector").cast("array<double>"), scores).alias("row")
     )
-    found = lookup_join(words, scored, ["word"], broadcast_bytes=VOCABULARY_BYTES)
+    found = lookup_join(words, scored, ["word"], spread_by=keys, broadcast_bytes=VOCABULARY_BYTES, store_left=True)
     sums = summed(found, keys, size + count, "row")
-    norm = F.expr("sqrt(" + " + ".join(f"_{i} * _{i}" for i in range(size)) + ")")
-    ranked = sums.select(*keys, norm.alias("_norm"), elements(size, size + count).alias("_s"))
+    ranked = sums.select(*keys, V.magnitude(elements(0, size)).alias("_norm"), elements(size, size + count).alias("_s"))
     names = F.array(*[F.lit(r["category"]) for r in first])
     # Rounded for the choice only, so that equal scores stay equal whatever the order of summing.
     rounded = F.transform("_s", lambda s: F.round(s / F.col("_norm"), 9))
@@ -101,10 +100,17 @@ def question_scores(
     Tokens meet the vocabulary by equality and collapse to one row per answer and category, then
     to one per question and category; both steps start in the map tasks.
     """
-    lower = F.size(F.filter("identifiers", X.starts_lower))
-    kept = answers.where(F.size("identifiers") > 2).select(
-        "question_id", "answer_id", "identifiers", lower.alias("lower")
-    )
+    # Stored, because it is read twice and the identifiers are dear to compute; filtered
+    # afterwards, because a filter on them would be pushed down and compute them once more.
+    kept = stored(
+        answers.select(
+            "question_id",
+            "answer_id",
+            F.size("identifiers").alias("n"),
+            F.size(F.filter("identifiers", X.starts_lower)).alias("lower"),
+            F.array_distinct("identifiers").alias("distinct"),
+        )
+    ).where(F.col("n") > 2)
     totals = kept.groupBy("question_id").agg(
         F.count(F.lit(1)).alias("answers"), F.count_if(F.col("lower") == 0).alias("empty")
     )
@@ -114,9 +120,7 @@ def question_scores(
         .union(methods.where(X.starts_lower(F.col("token"))).select("category", "token", F.lit(False)))
         .distinct()
     )
-    tokens = kept.select(
-        "question_id", "answer_id", "lower", F.explode(F.array_distinct("identifiers")).alias("token")
-    )
+    tokens = kept.select("question_id", "answer_id", "lower", F.explode("distinct").alias("token"))
     hits = lookup_join(tokens, stored(vocabulary), ["token"], spread_by=["question_id", "answer_id"])
     per_answer = hits.groupBy("question_id", "answer_id", "category").agg(
         F.max(F.col("is_class").cast("int")).alias("class_hit"),

@@ -18,7 +18,7 @@ def post_tokens(posts: DataFrame, keys: list[str], identifiers: str = "identifie
 def token_overlap(tokens: DataFrame, other: DataFrame, keys: list[str], other_keys: list[str]) -> DataFrame:
     """Number of shared distinct tokens for every pair sharing one; found through the tokens."""
     listed = stored(other.select(*other_keys, "token").distinct())
-    shared = lookup_join(tokens, listed, ["token"], spread_by=keys)
+    shared = lookup_join(tokens, listed, ["token"], spread_by=keys, store_left=True)
     return shared.groupBy(*keys, *other_keys).agg(F.count(F.lit(1)).cast("int").alias("matches"))
 
 

@@ -19,6 +19,8 @@ from qalink.operators.joins import lookup_join, measured_bytes
 VOCABULARY_BYTES = 512 * 1024 * 1024
 # Query vectors compared in one go, and the size of a block when there are more.
 BLOCK_BYTES = 32 * 1024 * 1024
+# Scores a task holds at a time while comparing a block with a batch of words.
+SCORES_AT_ONCE = 8_000_000
 
 
 def vector_stats(vectors: DataFrame) -> DataFrame:
@@ -101,8 +103,11 @@ def sentence_vectors(
     words: DataFrame, vectors: DataFrame, keys: Sequence[str], weight: str | None = None
 ) -> DataFrame:
     """Unit vector of the known words per key; none when nothing is known or the sum is zero."""
-    sums = vector_sums(words, vectors, keys, known_only=True, weight=weight)
-    return sums.select(*keys, V.normalize(F.col("vector")).alias("vector")).where("vector is not null")
+    size = dimension(vectors)
+    sums = summed(with_vectors(words, vectors), keys, size, weight=weight)
+    arrays = sums.select(*keys, elements(0, size).alias("_v")).withColumn("_norm", V.magnitude(F.col("_v")))
+    unit = F.transform("_v", lambda x: x / F.col("_norm"))
+    return arrays.where("_norm > 0").select(*keys, unit.alias("vector"))
 
 
 def n_similarity(words: DataFrame, vectors: DataFrame, keys: Sequence[str], side: str = "side") -> DataFrame:
@@ -125,7 +130,7 @@ class _Best:
         self.ids = [i for i, ok in zip(ids, usable) if ok]
         self.units = matrix[usable] / norms[usable, None]
         self.n = n
-        self.best = [(np.empty(0), np.empty(0, dtype=object)) for _ in self.ids]
+        self.best = [(np.empty(0, dtype=object), np.empty(0)) for _ in self.ids]
 
     def add(self, words: np.ndarray, matrix: np.ndarray) -> None:
         norms = np.linalg.norm(matrix, axis=1)
@@ -133,25 +138,29 @@ class _Best:
         words, units = words[usable], matrix[usable] / norms[usable, None]
         if not len(words) or not self.ids:
             return
-        for row, scores in enumerate(np.round(self.units @ units.T, 9)):
-            if len(scores) > self.n:
-                least = np.partition(scores, len(scores) - self.n)[len(scores) - self.n]
-                keep = scores >= least
-                candidates, names = scores[keep], words[keep]
-            else:
-                candidates, names = scores, words
-            candidates = np.concatenate([self.best[row][0], candidates])
-            names = np.concatenate([self.best[row][1], names])
-            order = np.lexsort((names.astype(str), -candidates))[: self.n]
-            self.best[row] = candidates[order], names[order]
+        step = max(1, SCORES_AT_ONCE // len(words))
+        for start in range(0, len(self.ids), step):
+            block = np.round(self.units[start : start + step] @ units.T, 9)
+            for row, scores in enumerate(block, start):
+                self._keep(row, words, scores)
+
+    def _keep(self, row: int, words: np.ndarray, scores: np.ndarray) -> None:
+        if len(scores) > self.n:
+            least = np.partition(scores, len(scores) - self.n)[len(scores) - self.n]
+            keep = scores >= least
+            words, scores = words[keep], scores[keep]
+        scores = np.concatenate([self.best[row][1], scores])
+        words = np.concatenate([self.best[row][0], words])
+        order = np.lexsort((words.astype(str), -scores))[: self.n]
+        self.best[row] = words[order], scores[order]
 
     def rows(self) -> pd.DataFrame:
-        sizes = [len(scores) for scores, _ in self.best]
+        sizes = [len(words) for words, _ in self.best]
         return pd.DataFrame(
             {
                 "query_id": np.repeat(np.array(self.ids, dtype=object), sizes),
-                "word": np.concatenate([w for _, w in self.best]) if self.best else [],
-                "score": np.concatenate([s for s, _ in self.best]) if self.best else [],
+                "word": np.concatenate([w for w, _ in self.best]) if self.best else [],
+                "score": np.concatenate([s for _, s in self.best]) if self.best else [],
             }
         )
 
