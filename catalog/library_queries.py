@@ -46,14 +46,18 @@ GROUP BY 1, 2
 """
 
 
-def _entries(spark, d):
+def _archives(spark, d):
+    """An archive per part with the five names it holds."""
     folder = F.concat(F.lower("p_type"), F.lit("/"), F.translate("p_name", " ", "/"), F.lit("/"))
     names = F.array(
         folder, F.lit("META-INF/"), F.lit("module-info.class"), F.concat(folder, F.lit("A$B.class")), F.concat(folder, F.lit("notes.txt"))
     )
-    return table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.explode(names).alias("entry")).select(
-        "path", "entry", F.endswith("entry", F.lit("/")).alias("is_dir")
-    )
+    return table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), names.alias("names"))
+
+
+def _entries(spark, d):
+    entries = _archives(spark, d).select("path", F.explode("names").alias("entry"))
+    return entries.withColumn("is_dir", F.endswith("entry", F.lit("/")))
 
 
 SQL_ENTRIES = """
@@ -75,9 +79,7 @@ def archive_entries(spark, d):
 
         return names.map(pack)
 
-    # An archive per part, with the entries of that part: five names each.
-    files = _entries(spark, d).groupBy("path").agg(F.collect_list("entry").alias("names"))
-    return archives.list_entries(files.select("path", packed("names").alias("content")))
+    return archives.list_entries(_archives(spark, d).select("path", packed("names").alias("content")))
 
 
 def category_vocabulary(spark, d):
