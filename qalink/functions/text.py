@@ -102,15 +102,17 @@ def tag_pairs(tags: Column) -> Column:
 
     A repeated tag pairs with itself once, and each pair is listed once.
     """
-    ordered = F.sort_array(tags)
-    pairs = F.transform(
-        ordered,
-        lambda a, i: F.transform(
-            F.slice(ordered, i + 2, F.size(ordered)),
-            lambda b: F.struct(a.alias("tag_a"), b.alias("tag_b")),
-        ),
-    )
-    return F.array_distinct(F.flatten(pairs))
+
+    def pairs(ordered: Column) -> Column:
+        return F.transform(
+            ordered,
+            lambda a, i: F.transform(
+                F.slice(ordered, i + 2, F.size(ordered)),
+                lambda b: F.struct(a.alias("tag_a"), b.alias("tag_b")),
+            ),
+        )
+
+    return F.array_distinct(F.flatten(let(F.sort_array(tags), pairs)))
 
 
 def title_commas_to_blanks(title: Column) -> Column:
@@ -157,7 +159,12 @@ def decode_usages(field: Column) -> Column:
 
 def best_usages(usages: Column, above: int = 1) -> Column:
     """The entries sharing the highest match count, if that count exceeds ``above``."""
-    highest = F.array_max(F.transform(usages, lambda u: u["matches"]))
-    return let(
-        highest, lambda best: F.filter(usages, lambda u: (u["matches"] == best) & (best > above))
-    )
+
+    def kept(all_usages: Column) -> Column:
+        highest = F.array_max(F.transform(all_usages, lambda u: u["matches"]))
+        return let(
+            highest,
+            lambda best: F.filter(all_usages, lambda u: (u["matches"] == best) & (best > above)),
+        )
+
+    return let(usages, kept)

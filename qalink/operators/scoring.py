@@ -48,14 +48,14 @@ def closest_category(
     )
     found = lookup_join(words, scored, ["word"], spread_by=keys, broadcast_bytes=VOCABULARY_BYTES, store_left=True)
     sums = summed(found, keys, size + count, "row")
-    ranked = sums.select(*keys, V.magnitude(elements(0, size)).alias("_norm"), elements(size, size + count).alias("_s"))
+    ranked = sums.select(
+        *keys, V.scale(elements(size, size + count), V.magnitude(elements(0, size))).alias("_s")
+    ).where("_s is not null")
     names = F.array(*[F.lit(r["category"]) for r in first])
     # Rounded for the choice only, so that equal scores stay equal whatever the order of summing.
-    rounded = F.transform("_s", lambda s: F.round(s / F.col("_norm"), 9))
+    rounded = F.transform("_s", lambda s: F.round(s, 9))
     best = let(rounded, lambda r: F.get(names, F.array_position(r, F.array_max(r)) - 1))
-    return ranked.where(F.col("_norm") > 0).select(
-        *keys, best.alias("category"), (F.array_max("_s") / F.col("_norm")).alias("similarity")
-    )
+    return ranked.select(*keys, best.alias("category"), F.array_max("_s").alias("similarity"))
 
 
 def _closest_of_many(

@@ -105,9 +105,7 @@ def sentence_vectors(
     """Unit vector of the known words per key; none when nothing is known or the sum is zero."""
     size = dimension(vectors)
     sums = summed(with_vectors(words, vectors), keys, size, weight=weight)
-    arrays = sums.select(*keys, elements(0, size).alias("_v")).withColumn("_norm", V.magnitude(F.col("_v")))
-    unit = F.transform("_v", lambda x: x / F.col("_norm"))
-    return arrays.where("_norm > 0").select(*keys, unit.alias("vector"))
+    return sums.select(*keys, V.normalize(elements(0, size)).alias("vector")).where("vector is not null")
 
 
 def n_similarity(words: DataFrame, vectors: DataFrame, keys: Sequence[str], side: str = "side") -> DataFrame:
