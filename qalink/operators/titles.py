@@ -31,12 +31,13 @@ def title_keywords(
     """``keys…, keywords``: the lower-case nouns, verbs and adjectives of a title, in order.
 
     A token outside the lexicon counts as ``unknown_tag``; with None it is left out. ``keys``
-    identify a title. Every title has a row, so one without keywords has the empty text.
+    identify a title; copies of a title collapse first. Every title has a row, so one without keywords has the empty text.
     """
     keys = list(keys)
     words = F.filter(F.split(F.lower(X.title_without_commas(F.col("title"))), r"\s+"), lambda t: t != "")
     # The marker at the end keeps titles of which no token is left.
-    listed = titles.select(*keys, F.posexplode(F.concat(words, F.array(F.lit("")))).alias("pos", "token"))
+    once = titles.select(*keys, "title").distinct()
+    listed = once.select(*keys, F.posexplode(F.concat(words, F.array(F.lit("")))).alias("pos", "token"))
     tagged = lookup_join(listed, stored(lexicon.select("token", "tag")), ["token"], "left", spread_by=[*keys, "pos"])
     tag = F.coalesce("tag", F.lit(unknown_tag).cast("string"))
     wanted = (F.col("token") != "") & tag.rlike("|".join(families))

@@ -23,7 +23,10 @@ def token_overlap(tokens: DataFrame, other: DataFrame, keys: list[str], other_ke
 
 
 def library_usages(posts: DataFrame, library_tokens: DataFrame) -> DataFrame:
-    """``answer_id, title, library, matches``: identifiers a post shares with a library."""
+    """``answer_id, title, library, matches``: identifiers a post shares with a library.
+
+    ``posts`` has one row per answer and title, ``identifiers`` among its columns.
+    """
     keys = ["answer_id", "title"]
     libraries = library_tokens.select(
         X.coordinates(F.col("group_id"), F.col("artifact_id")).alias("library"), "token"

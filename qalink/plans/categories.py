@@ -25,7 +25,8 @@ def score_answers(
     posts: DataFrame, selected: DataFrame, details: DataFrame, symbols: DataFrame, vectors: DataFrame
 ) -> DataFrame:
     """Word-vector approach: ``question_id, answer_id, title, identifiers, category, similarity``."""
-    records = P.answer_records(P.complete_rows(posts), _pre_identifiers())
+    # Stored: the identifiers are read out of the markup once, then used twice.
+    records = stored(P.answer_records(P.complete_rows(posts), _pre_identifiers()))
     keys = ["question_id", "answer_id"]
     words = records.select(*keys, F.explode("identifiers").alias("word"))
     vocabulary = L.category_vocabulary(_libraries(selected, details), symbols)

@@ -13,6 +13,7 @@ from qalink.operators import libraries as L
 from qalink.operators import posts as P
 from qalink.operators import titles as T
 from qalink.operators import usages as U
+from qalink.sources.scratch import stored
 
 # Names looked for in titles and prose.
 LIBRARY_NAMES = ("Jackson", "Gson", "JSON in Java", "Fastjson", "JSON Simple", "JSON Path")
@@ -48,7 +49,8 @@ def extract_usages(
     """
     answers = P.answers_of_category(similarities, P.complete_rows(posts), category)
     identifiers = X.word_identifiers(H.joined_text(F.col("body"), "code")).alias("identifiers")
-    coded = answers.select("answer_id", "title", identifiers)
+    # Stored: the markup is read once for the tokens, the empty answers and the titles.
+    coded = stored(answers.select("answer_id", "title", identifiers))
     listed = L.library_versions(versions).select("group_id", "artifact_id", "version").distinct()
     of_category = L.with_coordinates(symbols, listed.withColumnRenamed("version", "_v"))
     tokens = L.library_symbols(of_category.where(F.col("version") == F.col("_v")).drop("_v"))
