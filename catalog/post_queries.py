@@ -156,6 +156,10 @@ QUERIES = {
             FROM (SELECT *, sum(votes) OVER (PARTITION BY question_id) AS n FROM ({SQL_VOTES}))
             WHERE n >= 2 AND votes > n // 2 AND round(mean_similarity, 9) >= 0.05""",
     ),
+    "value_counts": (
+        lambda s, d: O.value_counts(table(s, d, "events"), "event_type"),
+        "SELECT event_type, count(*) AS count FROM events GROUP BY 1",
+    ),
     "library_usages": (library_usages, SQL_USAGES),
     "library_usages_encoded": (
         library_usages_encoded,

@@ -151,6 +151,13 @@ def most_frequent_words(spark, d):
     return R.most_frequent_words(words, ["doc_id"], 5)
 
 
+def drop_stop_words(spark, d):
+    """Distinct document words that no benchmark item has."""
+    words = table(spark, d, "documents").select("doc_id", X.word_identifiers(F.col("text")).alias("identifiers"))
+    items = table(spark, d, "benchmark").select(F.explode(X.word_identifiers(F.col("text"))).alias("word"))
+    return R.drop_stop_words(U.post_tokens(words, ["doc_id"]), items)
+
+
 def answer_records(spark, d):
     posts = table(spark, d, "conversations").select(
         F.col("conv_id").alias("question_id"), F.col("turn").alias("answer_id"), F.col("text").alias("title"), F.col("text").alias("body")
@@ -309,6 +316,11 @@ QUERIES = {
                     FROM (SELECT doc_id, unnest({sql_split('text')}) AS word FROM documents) GROUP BY 1, 2))
             WHERE rank <= 5""",
     ),
+    "drop_stop_words": (
+        drop_stop_words,
+        f"""SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({sql_words('text')}) AS token FROM documents)
+            WHERE token NOT IN (SELECT unnest({sql_words('text')}) FROM benchmark)""",
+    ),
     "answer_records": (
         answer_records,
         f"""SELECT conv_id AS question_id, turn AS answer_id, replace(text, ',', ' ') AS title,

@@ -89,15 +89,20 @@ def spread_join(
     share: int = HOT_SHARE,
     sample: float = 0.02,
     min_rows: int = HOT_ROWS,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join in which the rows of a hot left key are dealt out to many tasks.
 
     A left row of a hot key goes to one salt, by the hash of ``spread_by`` (all columns by
     default); the matching right rows are copied to each salt of that key. Left rows without a
     key match nothing and are dealt out too. ``how``: inner, left, left_semi or left_anti.
+    ``keys_from`` is a table to count the keys in, when that is cheaper than in ``left``.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, share, sample, min_rows))
+    hot = hot_keys(left if keys_from is None else keys_from, on, share, sample, min_rows)
+    if how in ("inner", "left_semi") and hot.isEmpty():
+        return left.join(right, on, how)
+    hot = F.broadcast(hot)
     row_hash = F.xxhash64(*(spread_by or left.columns))
     no_key = F.lit(False)
     for key in on:

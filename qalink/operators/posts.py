@@ -51,7 +51,7 @@ def questions_of_category(
     wanted, selected = posts.select("question_id", *columns), selected.distinct()
     if measured_bytes(selected) <= BROADCAST_BYTES:
         return wanted.join(F.broadcast(selected), "question_id").distinct()
-    return spread_join(wanted.distinct(), selected, ["question_id"], spread_by=columns)
+    return spread_join(wanted.distinct(), selected, ["question_id"], spread_by=columns, keys_from=posts)
 
 
 def posts_of_category(selected: DataFrame, posts: DataFrame) -> DataFrame:

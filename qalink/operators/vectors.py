@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from qalink.functions import vectors as V
 from qalink.operators.joins import lookup_join, measured_bytes
+from qalink.sources.scratch import stored
 
 # A vocabulary does not grow with the posts; it is broadcast up to this measured size.
 VOCABULARY_BYTES = 512 * 1024 * 1024
@@ -265,10 +266,12 @@ def rank_words(sets: DataFrame, vectors: DataFrame) -> DataFrame:
 
     The centre is ranked too if it is a member. A set with an unknown word has no result.
     """
-    members = with_vectors(sets.select("center", "word").distinct(), vectors, "left")
-    incomplete = members.where("vector is null").select("center").distinct()
-    whole = lookup_join(members, incomplete, ["center"], "left_anti", spread_by=["word"])
-    both = with_vectors(whole, vectors, word="center", vector="center_vector")
+    sets = sets.select("center", "word").distinct()
+    unknown = lookup_join(sets, vectors.select("word"), ["word"], "left_anti", ["center"])
+    incomplete = stored(unknown.select("center").distinct())
+    whole = lookup_join(sets, incomplete, ["center"], "left_anti", spread_by=["word"])
+    members = with_vectors(whole, vectors)
+    both = with_vectors(members, vectors, word="center", vector="center_vector")
     score = V.cosine(F.col("center_vector"), F.col("vector"))
     return both.select("center", "word", F.round(score, 9).alias("score")).orderBy(
         "center", F.desc("score"), "word"
