@@ -12,17 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from qalink import schemas
 
 
+# Rows gathered before they are handed on.
+_ROWS_AT_ONCE = 100_000
+
+
+def _frame(rows: list[tuple[str, str]]) -> pd.DataFrame:
+    df = pd.DataFrame(rows, columns=["path", "entry"])
+    return df.assign(is_dir=df["entry"].str.endswith("/").astype(bool))
+
+
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple[str, str]] = []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    entries = archive.namelist()
+                    rows += [(path, entry) for entry in archive.namelist()]
             except zipfile.BadZipFile:
                 continue
-            yield pd.DataFrame(
-                {"path": path, "entry": entries, "is_dir": [e.endswith("/") for e in entries]}
-            )
+            if len(rows) >= _ROWS_AT_ONCE:
+                yield _frame(rows)
+                rows = []
+    if rows:
+        yield _frame(rows)
 
 
 def list_entries(files: DataFrame) -> DataFrame:
