@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.standins import CATEGORY, EXCLUDED, SELECTED, TAGGED_POSTS, selected, sql_list, sql_split, tagged_posts
-from qalink import schemas
 from qalink.functions import text as X
-from qalink.operators import posts as P
 from qalink.operators import tags as G
 from qalink.plans import tag_mining
 from qalink.sources import tables

@@ -21,24 +21,18 @@ def chunked_lists(
     """``keys, chunk, output``: the values of a key as lists, sorted by ``order``.
 
     A key of up to ``chunk_rows`` rows has one list, chunk 0. A larger key is dealt out by the
-    hash of its order columns into as many chunks as it needs, so no row and no task ever holds
-    a whole hot key. The group sizes are counted first; the values move once when all are small.
+    hash of its order columns into as many chunks as it needs, and copies of one row are cut into
+    pieces first, so no row and no task ever holds a whole hot key. The group sizes are counted
+    first; the values move once when all are small.
     """
-    keys = list(keys)
+    keys, order, values = list(keys), list(order), list(values)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= chunk_rows:
-        numbered = df.withColumn("chunk", F.lit(0))
+        numbered = df.withColumn("chunk", F.lit(0)).withColumn("_copies", F.lit(1))
     else:
-        # Counted and joined per slot of a key, so that a hot key is never in one task either.
-        slot = F.pmod(F.xxhash64(*order), F.lit(_SLOTS)).cast("int")
-        slotted = df.withColumn("_slot", slot)
-        per_slot = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
-        n = F.sum("_c").over(Window.partitionBy(*keys))
-        chunks = per_slot.select(*keys, "_slot", F.ceil(n / chunk_rows).cast("int").alias("_chunks"))
-        spread = F.pmod(F.xxhash64(*order, F.lit("chunk")), F.col("_chunks")).cast("int")
-        numbered = slotted.join(chunks, [*keys, "_slot"]).withColumn("chunk", spread)
-    entry = F.struct(*order, *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])
+        numbered = _dealt_out(df, keys, order, values, chunk_rows)
+    entry = F.struct(*order, *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)], "_copies")
     lists = numbered.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
 
     def value(e):
@@ -46,4 +40,24 @@ def chunked_lists(
             return e["_v0"]
         return F.struct(*[e[f"_v{i}"].alias(v) for i, v in enumerate(values)])
 
-    return lists.select(*keys, "chunk", F.transform("_entries", value).alias(output))
+    repeated = F.transform("_entries", lambda e: F.array_repeat(value(e), e["_copies"]))
+    return lists.select(*keys, "chunk", F.flatten(repeated).alias(output))
+
+
+def _dealt_out(
+    df: DataFrame, keys: list[str], order: list[str], values: list[str], chunk_rows: int
+) -> DataFrame:
+    """Distinct rows with ``_copies`` and the ``chunk`` they belong to."""
+    copies = df.groupBy(*keys, *order, *values).agg(F.count(F.lit(1)).alias("_n"))
+    last = F.ceil(F.col("_n") / chunk_rows).cast("int") - 1
+    pieces = copies.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
+    left = F.col("_n") - F.col("_piece").cast("long") * chunk_rows
+    pieces = pieces.withColumn("_copies", F.least(left, F.lit(chunk_rows)).cast("int"))
+    # Counted and joined per slot of a key, so that a hot key is never in one task here either.
+    slot = F.pmod(F.xxhash64(*order, "_piece"), F.lit(_SLOTS)).cast("int")
+    slotted = pieces.withColumn("_slot", slot)
+    per_slot = slotted.groupBy(*keys, "_slot").agg(F.sum("_copies").alias("_c"))
+    n = F.sum("_c").over(Window.partitionBy(*keys))
+    chunks = per_slot.select(*keys, "_slot", F.ceil(n / chunk_rows).cast("int").alias("_chunks"))
+    spread = F.pmod(F.xxhash64(*order, "_piece", F.lit("chunk")), F.col("_chunks")).cast("int")
+    return slotted.join(chunks, [*keys, "_slot"]).withColumn("chunk", spread)

@@ -56,6 +56,16 @@ def test_bodies_in_bounded_lists(spark):
     assert [r["bodies"] for r in chunked if r["question_id"] == 2] == [["y", "x"]]
 
 
+def test_copies_of_one_row_are_cut_into_pieces(spark):
+    posts = [(1, 7, "same")] * 23 + [(1, 8, "other"), (2, 1, None)]
+    df = spark.createDataFrame(posts, "question_id long, answer_id long, body string")
+    chunked = P.bodies_per_question(df, chunk_rows=5).collect()
+    first = [b for r in chunked if r["question_id"] == 1 for b in r["bodies"]]
+    assert sorted(first) == ["other"] + ["same"] * 23
+    assert len([r for r in chunked if r["question_id"] == 1]) > 1
+    assert [r["bodies"] for r in chunked if r["question_id"] == 2] == [[None]]
+
+
 def test_questions_of_category_both_ways(spark, rows, monkeypatch):
     selected = spark.createDataFrame([(1,), (1,), (3,)], "question_id long")
     posts = spark.createDataFrame([(1, "a", "t"), (1, "b", "t"), (2, "c", "u"), (3, "d", "v")], "question_id long, title string, tags string")

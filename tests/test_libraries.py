@@ -1,8 +1,6 @@
-import io
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from qalink import schemas
 from qalink.operators import libraries as L

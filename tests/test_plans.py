@@ -1,7 +1,6 @@
 """The jobs end to end on a small set of posts, and the shape of their plans."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__
 from qalink import schemas
@@ -9,7 +8,7 @@ from qalink.operators import scoring as S
 from qalink.operators import titles as T
 from qalink.operators import usages as U
 from qalink.operators import words as R
-from qalink.plans import categories, library_use, tag_mining
+from qalink.plans import categories, library_use
 from qalink.sources import scratch, tables
 
 POSTS = [

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from qalink.operators import tags as G
 from qalink.operators import votes as O
