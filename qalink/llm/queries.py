@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from qalink.llm import cuckoo, merge_automaton, planes
+from qalink.llm import cuckoo, merge_automaton, mixing, planes, url_rules
 from qalink.sources.scratch import shared_folder
 
 
@@ -35,6 +36,75 @@ OP2_SQL = r"""
 """
 
 
+#: The verdicts asked for, and the method's own patterns for all other URLs.
+HOST_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+OWN_PATTERNS = [(None, "block", 0, "||spam-farm."), (None, "block", 0, "||ads."), (None, "block", 0, "*/banner/*")]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_rules.rule_table(spark, url_rules.host_rules(HOST_RULES) + OWN_PATTERNS)
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = r"""
+  WITH p AS (SELECT page_id, row_number() OVER () AS r,
+                    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+             FROM pages),
+       q AS (SELECT page_id, r,
+                    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz') AS host,
+                    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+             FROM p),
+       rules(rule, verdict, h, p) AS (VALUES
+         ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+         ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'),
+         ('net/fr/', 'block', 'net', '/fr/')),
+       m AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+             FROM q JOIN rules ON (q.host = h OR ends_with(q.host, '.' || h)) AND starts_with(q.path, p) GROUP BY r)
+  SELECT page_id, host, path, rule,
+         coalesce(verdict, CASE WHEN regexp_matches(host || path, '^([^/]*\.)?(spam-farm|ads)\.')
+                                  OR contains(host || path, '/banner/') THEN 'block' ELSE 'allow' END) AS verdict
+  FROM q LEFT JOIN m USING (r)
+"""
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select("given.doc_id", "size", "source_size", "target", taken)
+
+
+OP4_SQL = r"""
+  WITH d AS (SELECT doc_id, source, CAST(length(regexp_replace(regexp_replace(coalesce(text, ''),
+                      '[^ 	-]+', 'x', 'g'), '[ 	-]', '', 'g')) AS BIGINT) AS size
+             FROM documents),
+       s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                    [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+             FROM d GROUP BY source),
+       o AS (SELECT *, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () AS everything,
+                    row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST) AS r FROM s),
+       l AS (SELECT *, (everything - coalesce(sum(most) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                       / sum(weight) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+       f AS (SELECT coalesce(arg_min(level, r) FILTER (WHERE most > level * weight), max(level)) AS level FROM l),
+       t AS (SELECT source, source_size, least(most, (SELECT level FROM f) * weight) AS target FROM o),
+       u AS (SELECT doc_id, size, source_size, target,
+                    CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+                    CAST('0x' || substr(sha256('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' ||
+                      coalesce('0' || t.source, '1') || '|' || size), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS draw
+             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT doc_id, size, source_size, target,
+         CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  FROM u
+"""
+
+
 def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     planes.write_ids(_table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=1)
@@ -47,6 +117,8 @@ def op9_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_cuckoo_dedup": (op2_cuckoo_dedup, OP2_SQL),
+    "op3_url_rules": (op3_url_rules, OP3_SQL),
+    "op4_source_mix": (op4_source_mix, OP4_SQL),
     "op6_plane_files": (op6_plane_files, None),
     "op9_merge_automaton": (op9_merge_automaton, None),
 }
