@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalink.llm import cuckoo, merge_automaton, mixing, planes, url_rules
+from qalink.llm import cuckoo, merge_automaton, mixing, norm_search, planes, url_rules
 from qalink.sources.scratch import shared_folder
 
 
@@ -83,7 +83,9 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
   WITH d AS (SELECT doc_id, source, CAST(length(regexp_replace(regexp_replace(coalesce(text, ''),
-                      '[^ 	-]+', 'x', 'g'), '[ 	-]', '', 'g')) AS BIGINT) AS size
+                      '[^ 	-
+]+', 'x', 'g'), '[ 	-
+]', '', 'g')) AS BIGINT) AS size
              FROM documents),
        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
                     [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
@@ -115,10 +117,30 @@ def op9_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.encoding_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return norm_search.top_products(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+OP10_SQL = r"""
+  WITH v AS (SELECT row_number() OVER () AS r, vec_id,
+                    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+             FROM embeddings
+             WHERE embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+       s AS (SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id,
+                    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+             FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(q.v) = len(c.v)),
+       k AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
+
 QUERIES = {
     "op2_cuckoo_dedup": (op2_cuckoo_dedup, OP2_SQL),
     "op3_url_rules": (op3_url_rules, OP3_SQL),
     "op4_source_mix": (op4_source_mix, OP4_SQL),
     "op6_plane_files": (op6_plane_files, None),
     "op9_merge_automaton": (op9_merge_automaton, None),
+    "op10_norm_buckets": (op10_norm_buckets, OP10_SQL),
 }
