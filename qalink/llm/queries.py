@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalink.llm import cuckoo, merge_automaton, mixing, norm_search, planes, url_rules
+from qalink.llm import cuckoo, kneser_ney, merge_automaton, mixing, norm_search, planes, url_rules
 from qalink.sources.scratch import shared_folder
 
 
@@ -113,6 +113,11 @@ def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_checksums(spark, folder)
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return kneser_ney.judge(docs, _table(spark, sf_dir, "labels")).drop("key")
+
+
 def op9_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.encoding_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -141,6 +146,7 @@ QUERIES = {
     "op3_url_rules": (op3_url_rules, OP3_SQL),
     "op4_source_mix": (op4_source_mix, OP4_SQL),
     "op6_plane_files": (op6_plane_files, None),
+    "op8_kneser_ney": (op8_kneser_ney, None),
     "op9_merge_automaton": (op9_merge_automaton, None),
     "op10_norm_buckets": (op10_norm_buckets, OP10_SQL),
 }
