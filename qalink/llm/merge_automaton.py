@@ -50,7 +50,7 @@ class Vocabulary(NamedTuple):
     pattern: str
 
 
-def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
+def read_vocabulary(path: str) -> Vocabulary:
     """A byte-level BPE tokenizer file with word ends, lower-casing and removed white space."""
     with open(path, encoding="utf-8") as file:  # part of the installation, not of the data
         spec = json.load(file)
@@ -206,6 +206,22 @@ def split_pattern(pattern: str, highest: int) -> str:
     return pattern
 
 
+def word_splitter(vocabulary: Vocabulary) -> Callable[[str], list[str]]:
+    """Normalises a text without special tokens and cuts it into words.
+
+    Code points are classed by Python's Unicode tables; younger ones belong to no class.
+    """
+    split = re.compile(split_pattern(vocabulary.pattern, 0xFFFF)).findall
+    split_any = re.compile(split_pattern(vocabulary.pattern, sys.maxunicode)).findall
+    beyond = re.compile("[\U00010000-\U0010ffff]").search
+
+    def words(text: str) -> list[str]:
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return split_any(text) if beyond(text) else split(text)
+
+    return words
+
+
 class _Known(dict):
     """What is known of words; asks for a word when it first comes up."""
 
@@ -225,9 +241,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, automaton: Automaton):
         self.automaton, self.special = automaton, vocabulary.special
-        self.split = re.compile(split_pattern(vocabulary.pattern, 0xFFFF)).findall
-        self.split_any = re.compile(split_pattern(vocabulary.pattern, sys.maxunicode)).findall
-        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+        self.words = word_splitter(vocabulary)
         self.marks = re.compile("|".join(map(re.escape, vocabulary.special)) or "(?!)").finditer
         self.labels = list(automaton.labels)
         for label, number in vocabulary.special.items():
@@ -235,10 +249,6 @@ class Encoder:
             self.labels[number] = label
         self.known = _Known(lambda word: self.written(self.word_ids(word)))
 
-    def words(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.split_any(text) if self.beyond(text) else self.split(text)
-
     def word_ids(self, word: str) -> list[int]:
         automaton, raw = self.automaton, word.encode("utf-8", "surrogatepass")
         return automaton.encode([*map(automaton.base.__getitem__, raw[:-1]), automaton.final[raw[-1]]])
@@ -264,7 +274,7 @@ class Encoder:
 
 def compile_tokenizer(spark: SparkSession, path: str) -> Callable[[], Encoder]:
     """Compiled once here; the tables, bounded by the vocabulary file, go to each task."""
-    vocabulary = read_vocabulary(spark, path)
+    vocabulary = read_vocabulary(path)
     sent = spark.sparkContext.broadcast((vocabulary, Automaton(vocabulary)))
     return lambda: Encoder(*sent.value)
 

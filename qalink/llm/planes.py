@@ -13,7 +13,9 @@ read without any payload.
 
 from __future__ import annotations
 
+import itertools
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalink.llm.base import text_of
+from qalink.llm.merge_automaton import character_class, read_vocabulary, word_splitter
 
 BLOCK_IDS = 65_536
 SEGMENT_IDS = 1 << 20
 LEVEL = 3
-MEMO_PIECES = 400_000
+MEMO_WORDS = 250_000
 
 _INDEX = pa.list_(pa.struct([("first_id", pa.int64()), ("n_ids", pa.int32()), ("plane_ends", pa.list_(pa.int64()))]))
 _SEGMENT = pa.schema(
@@ -94,10 +97,12 @@ def unpack(index: list[dict], payload: bytes, planes: str) -> np.ndarray:
     return np.concatenate(blocks) if blocks else np.zeros(0, "<u4")
 
 
-class PieceEncoder:
-    """The tokenizers library over the pieces between ASCII white space, each different one once.
+class LibraryEncoder:
+    """The tokenizers library over the different words of the texts, each asked for once.
 
-    Right for tokenizers whose words never reach across white space and that drop it.
+    Words are cut as the tokenizer cuts them and sent to the library joined by spaces; every word's
+    ids end with the one id that has the mark of a word's end. Texts with special tokens, or with
+    signs that are unassigned here but may be known to the library, are sent whole.
     """
 
     def __init__(self, path: str):
@@ -106,23 +111,43 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.pieces = re.compile(r"[^ \t-\r]+").findall
+        vocabulary = read_vocabulary(path)
+        self.ends = np.zeros(max([*vocabulary.ids.values(), *vocabulary.special.values()]) + 1, bool)
+        self.ends[[i for label, i in vocabulary.ids.items() if label.endswith(vocabulary.suffix)]] = True
+        self.words = word_splitter(vocabulary)
+        self.whole = re.compile("|".join([f"[{character_class('Cn', sys.maxunicode)}]", *map(re.escape, vocabulary.special)])).search
         self.known: dict[str, bytes] = {}
 
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            joined = [" ".join(some[i : i + 500]) for i in range(0, len(some), 500)]
+            ids = np.fromiter(itertools.chain.from_iterable(self._library(joined)), "<u4")
+            ends = (np.nonzero(self.ends[ids])[0] + 1) * 4
+            if len(ends) != len(some):
+                raise ValueError("the library cuts words otherwise than the tokenizer's file says")
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist()):
+                self.known[word] = raw[start:end]
+                start = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(text) for text in texts]
-        if len(self.known) > MEMO_PIECES:
+        if len(self.known) > MEMO_WORDS:
             self.known.clear()
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for piece, found in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        cut = [None if self.whole(text) else self.words(text) for text in texts]
+        self._learn(list({w for words in cut if words for w in words if w not in self.known}))
+        known = self.known.__getitem__
+        return [
+            np.array(self._library([text])[0], "<u4").tobytes() if words is None else b"".join(map(known, words))
+            for text, words in zip(texts, cut)
+        ]
 
 
-def _few(texts: list[str], chars: int = 4_000_000) -> Iterator[slice]:
+def _few(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
     """Slices of a batch that hold about so many characters each, one text at least."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -162,7 +187,7 @@ def write_ids(
         return pa.RecordBatch.from_arrays(arrays, schema=_SEGMENT)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = LibraryEncoder(tokenizer)
         part, number, first, size = TaskContext.get().partitionId(), 0, 0, 0
         ids: list = []
         raw: list[bytes] = []

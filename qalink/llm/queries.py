@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalink.llm import cuckoo, kneser_ney, merge_automaton, mixing, norm_search, planes, url_rules
+from qalink.llm import cuckoo, kneser_ney, merge_automaton, mixing, norm_search, planes, toxic_spans, url_rules
 from qalink.sources.scratch import shared_folder
 
 
@@ -107,6 +107,12 @@ OP4_SQL = r"""
 """
 
 
+def op5_toxic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxic_spans.score(docs, _table(spark, sf_dir, "labels"))
+    return scored.withColumn("spans", F.size("spans"))
+
+
 def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     planes.write_ids(_table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=1)
@@ -145,6 +151,7 @@ QUERIES = {
     "op2_cuckoo_dedup": (op2_cuckoo_dedup, OP2_SQL),
     "op3_url_rules": (op3_url_rules, OP3_SQL),
     "op4_source_mix": (op4_source_mix, OP4_SQL),
+    "op5_toxic_field": (op5_toxic_field, None),
     "op6_plane_files": (op6_plane_files, None),
     "op8_kneser_ney": (op8_kneser_ney, None),
     "op9_merge_automaton": (op9_merge_automaton, None),
