@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalink.llm import cuckoo, kneser_ney, merge_automaton, mixing, norm_search, planes, toxic_spans, url_rules
+from qalink.llm import cuckoo, kneser_ney, merge_automaton, mixing, near_copies, norm_search, planes, toxic_spans, url_rules
 from qalink.sources.scratch import shared_folder
 
 
@@ -119,6 +119,10 @@ def op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_checksums(spark, folder)
 
 
+def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(_table(spark, sf_dir, "documents")).drop("key", "class")
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return kneser_ney.judge(docs, _table(spark, sf_dir, "labels")).drop("key")
@@ -153,6 +157,7 @@ QUERIES = {
     "op4_source_mix": (op4_source_mix, OP4_SQL),
     "op5_toxic_field": (op5_toxic_field, None),
     "op6_plane_files": (op6_plane_files, None),
+    "op7_near_copies": (op7_near_copies, None),
     "op8_kneser_ney": (op8_kneser_ney, None),
     "op9_merge_automaton": (op9_merge_automaton, None),
     "op10_norm_buckets": (op10_norm_buckets, OP10_SQL),
