@@ -289,8 +289,8 @@ def perplexities(docs: DataFrame, model: Model, broadcast_grams: int = BROADCAST
 
     Both ways give the same numbers; ``broadcast_grams`` only decides how they get there.
     """
-    counted = gram_counts(docs).select("g")
-    table = stored(model.probabilities(counted))
+    asked = stored(gram_counts(docs).select("g"))
+    table = stored(model.probabilities(asked))
     if table.count() <= broadcast_grams:
         scored = _by_broadcast(docs, table)
     else:
