@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalink.llm import cuckoo, kneser_ney, merge_automaton, mixing, near_copies, norm_search, planes, toxic_spans, url_rules
+from qalink.llm import cuckoo, kneser_ney, merge_automaton, mixing, near_copies, norm_search, planes, surrogates, toxic_spans, url_rules
 from qalink.sources.scratch import shared_folder
 
 
@@ -19,6 +19,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The production key comes from the caller's secret store; reruns of the registered query agree.
+SURROGATE_KEY = "registered-query"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.without_personal_data(docs, SURROGATE_KEY)
+
+
 def op2_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.duplicates(_table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -152,6 +161,7 @@ OP10_SQL = r"""
 
 
 QUERIES = {
+    "op1_surrogates": (op1_surrogates, None),
     "op2_cuckoo_dedup": (op2_cuckoo_dedup, OP2_SQL),
     "op3_url_rules": (op3_url_rules, OP3_SQL),
     "op4_source_mix": (op4_source_mix, OP4_SQL),
