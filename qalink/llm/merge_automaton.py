@@ -299,7 +299,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids, decoded = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 parts = encoder.parts(text)
-                ids.append([int(i) for part in parts for i in part[1].split(" ")])
+                ids.append([*map(int, " ".join([part[1] for part in parts]).split())])
                 decoded.append(" ".join(part[2] for part in parts))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
