@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +32,14 @@ def partitions(df: DataFrame) -> int:
 def shards_for(df: DataFrame, rows: int, rows_per_shard: int) -> int:
     """Enough shards that none holds much more than ``rows_per_shard``, and all cores have work."""
     return max(-(-rows // rows_per_shard), partitions(df), 1)
+
+
+def per_process(name: str, make: Callable[[], object]) -> object:
+    """One object per Python worker and name, made when first asked for.
+
+    Functions of this package come to a worker anew with every task, so they cannot hold it.
+    """
+    held = sys.modules.setdefault("_qalink_held", ModuleType("_qalink_held")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qalink.llm.base import partitions, text_of
+from qalink.llm.base import per_process, text_of
 
 #: Entries of a per-task table before it is started anew.
 MEMO_WORDS = 400_000
@@ -206,13 +206,17 @@ def split_pattern(pattern: str, highest: int) -> str:
     return pattern
 
 
-def word_splitter(vocabulary: Vocabulary) -> Callable[[str], list[str]]:
+def split_patterns(vocabulary: Vocabulary) -> tuple[str, str]:
+    """The split pattern for texts up to U+FFFF, and for all."""
+    return split_pattern(vocabulary.pattern, 0xFFFF), split_pattern(vocabulary.pattern, sys.maxunicode)
+
+
+def word_splitter(patterns: tuple[str, str]) -> Callable[[str], list[str]]:
     """Normalises a text without special tokens and cuts it into words.
 
     Code points are classed by Python's Unicode tables; younger ones belong to no class.
     """
-    split = re.compile(split_pattern(vocabulary.pattern, 0xFFFF)).findall
-    split_any = re.compile(split_pattern(vocabulary.pattern, sys.maxunicode)).findall
+    split, split_any = (re.compile(p).findall for p in patterns)
     beyond = re.compile("[\U00010000-\U0010ffff]").search
 
     def words(text: str) -> list[str]:
@@ -239,9 +243,9 @@ class _Known(dict):
 class Encoder:
     """Whole texts to ids, word by word; words seen before are looked up."""
 
-    def __init__(self, vocabulary: Vocabulary, automaton: Automaton):
+    def __init__(self, vocabulary: Vocabulary, automaton: Automaton, patterns: tuple[str, str]):
         self.automaton, self.special = automaton, vocabulary.special
-        self.words = word_splitter(vocabulary)
+        self.words = word_splitter(patterns)
         self.marks = re.compile("|".join(map(re.escape, vocabulary.special)) or "(?!)").finditer
         self.labels = list(automaton.labels)
         for label, number in vocabulary.special.items():
@@ -275,8 +279,9 @@ class Encoder:
 def compile_tokenizer(spark: SparkSession, path: str) -> Callable[[], Encoder]:
     """Compiled once here; the tables, bounded by the vocabulary file, go to each task."""
     vocabulary = read_vocabulary(path)
-    sent = spark.sparkContext.broadcast((vocabulary, Automaton(vocabulary)))
-    return lambda: Encoder(*sent.value)
+    automaton = Automaton(vocabulary)
+    sent = spark.sparkContext.broadcast((vocabulary._replace(merges=[]), automaton, split_patterns(vocabulary)))
+    return lambda: per_process(f"automaton {path}", lambda: Encoder(*sent.value))
 
 
 def spread_texts(docs: DataFrame) -> DataFrame:

@@ -14,25 +14,27 @@ read without any payload.
 from __future__ import annotations
 
 import itertools
+import os
 import re
-import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalink.llm.base import text_of
-from qalink.llm.merge_automaton import character_class, read_vocabulary, word_splitter
+from qalink.llm.base import per_process, text_of
+from qalink.llm.merge_automaton import read_vocabulary, split_patterns, word_splitter
 
 BLOCK_IDS = 65_536
 SEGMENT_IDS = 1 << 20
 LEVEL = 3
-MEMO_WORDS = 250_000
+MEMO_WORDS = 200_000
 
 _INDEX = pa.list_(pa.struct([("first_id", pa.int64()), ("n_ids", pa.int32()), ("plane_ends", pa.list_(pa.int64()))]))
 _SEGMENT = pa.schema(
@@ -105,18 +107,35 @@ class LibraryEncoder:
     signs that are unassigned here but may be known to the library, are sent whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, prepared: tuple):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task its core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        vocabulary = read_vocabulary(path)
-        self.ends = np.zeros(max([*vocabulary.ids.values(), *vocabulary.special.values()]) + 1, bool)
-        self.ends[[i for label, i in vocabulary.ids.items() if label.endswith(vocabulary.suffix)]] = True
-        self.words = word_splitter(vocabulary)
-        self.whole = re.compile("|".join([f"[{character_class('Cn', sys.maxunicode)}]", *map(re.escape, vocabulary.special)])).search
+        self.ends, patterns, special = prepared
+        self.words = word_splitter(patterns)
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
+        self.ordinary: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    @staticmethod
+    def prepare(path: str) -> tuple:
+        """Which ids end a word, the split patterns, and the special tokens; made once, for all tasks."""
+        vocabulary = read_vocabulary(path)
+        ends = np.zeros(max([*vocabulary.ids.values(), *vocabulary.special.values()]) + 1, bool)
+        ends[[i for label, i in vocabulary.ids.items() if label.endswith(vocabulary.suffix)]] = True
+        return ends, split_patterns(vocabulary), [*vocabulary.special]
+
+    def whole(self, text: str) -> bool:
+        """Whether a text has to go to the library as it is."""
+        signs = set(text)
+        for sign in signs - self.ordinary.keys():
+            # Python's split() also cuts at these four, the tokenizer does not.
+            self.ordinary[sign] = unicodedata.category(sign) != "Cn" and sign not in "\x1c\x1d\x1e\x1f"
+        return not all(map(self.ordinary.__getitem__, signs)) or self.special(text) is not None
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -134,27 +153,37 @@ class LibraryEncoder:
                 self.known[word] = raw[start:end]
                 start = end
 
+    def _compose(self, pieces: list[str]) -> None:
+        """Learns pieces between white space from their words."""
+        cut = [self.words(piece) for piece in pieces]
+        self._learn(list({w for words in cut for w in words if w not in self.known}))
+        known = self.known.__getitem__
+        self.pieces.update((piece, b"".join(map(known, words))) for piece, words in zip(pieces, cut))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MEMO_WORDS:
             self.known.clear()
-        cut = [None if self.whole(text) else self.words(text) for text in texts]
-        self._learn(list({w for words in cut if words for w in words if w not in self.known}))
-        known = self.known.__getitem__
+        if len(self.pieces) > MEMO_WORDS:
+            self.pieces.clear()
+        # Pieces may still hold other white space, where the tokenizer cuts as well.
+        cut = [None if self.whole(text) else text.split() for text in texts]
+        self._compose(list({p for pieces in cut if pieces for p in pieces if p not in self.pieces}))
+        known = self.pieces.__getitem__
         return [
-            np.array(self._library([text])[0], "<u4").tobytes() if words is None else b"".join(map(known, words))
-            for text, words in zip(texts, cut)
+            np.array(self._library([text])[0], "<u4").tobytes() if pieces is None else b"".join(map(known, pieces))
+            for text, pieces in zip(texts, cut)
         ]
 
 
-def _few(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
-    """Slices of a batch that hold about so many characters each, one text at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= chars:
+def _few(texts: pa.Array, size: int = 2_000_000) -> Iterator[slice]:
+    """Slices of a batch that hold about so many bytes each, one text at least."""
+    start = held = 0
+    for i, length in enumerate(pc.binary_length(texts).to_pylist()):
+        held += length
+        if held >= size:
             yield slice(start, i + 1)
-            start, size = i + 1, 0
+            start, held = i + 1, 0
     if start < len(texts):
         yield slice(start, len(texts))
 
@@ -176,6 +205,7 @@ def write_ids(
     """
     if planes not in ("byte", "bit"):
         raise ValueError("planes: byte or bit")
+    prepared = LibraryEncoder.prepare(tokenizer)
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def segment(part: int, number: int, first: int, ids: list, raw: list[bytes]) -> pa.RecordBatch:
@@ -187,14 +217,15 @@ def write_ids(
         return pa.RecordBatch.from_arrays(arrays, schema=_SEGMENT)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(tokenizer)
+        encoder = per_process(f"library {tokenizer}", lambda: LibraryEncoder(tokenizer, prepared))
         part, number, first, size = TaskContext.get().partitionId(), 0, 0, 0
         ids: list = []
         raw: list[bytes] = []
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some in _few(texts):
-                for doc_id, found in zip(doc_ids[some], encoder.encode(texts[some])):
+            for some in _few(batch.column(1)):
+                part_of = batch.slice(some.start, some.stop - some.start)
+                texts = part_of.column(1).to_pylist()
+                for doc_id, found in zip(part_of.column(0).to_pylist(), encoder.encode(texts)):
                     ids.append(doc_id)
                     raw.append(found + tail)
                     size += len(raw[-1]) // 4

@@ -37,7 +37,7 @@ def texts(spark):
 
 def test_automaton_encodes_and_decodes_like_the_library(texts, library):
     vocabulary = merge_automaton.read_vocabulary(tokenizer_path())
-    encoder = merge_automaton.Encoder(vocabulary, merge_automaton.Automaton(vocabulary))
+    encoder = merge_automaton.Encoder(vocabulary, merge_automaton.Automaton(vocabulary), merge_automaton.split_patterns(vocabulary))
     for text in texts:
         if "Ᲊ" in text:  # younger than Python's Unicode tables
             continue
