@@ -32,7 +32,7 @@ USING (group_id, artifact_id)
 
 def library_name_suffix_join(spark, d):
     keys = table(spark, d, "part").select(
-        F.substring("p_brand", 2, 100).alias("group_id"), F.col("p_type").alias("artifact_id")
+        F.expr("substring(p_brand, 2)").alias("group_id"), F.col("p_type").alias("artifact_id")
     )
     return L.library_names(keys, library_urls(spark, d).withColumnRenamed("category", "name"))
 

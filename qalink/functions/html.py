@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator, Sequence
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,65 +16,136 @@ from pyspark.sql import types as T
 from qalink.functions.binding import let
 from qalink.functions.mentions import quote
 
-_HIDDEN = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
-_BREAKING = (
-    r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|"
-    r"main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:\s[^>]*)?/?>"
+#: Attributes up to the end of a tag: quotes may hold the closing sign, and no tag reaches beyond a mark.
+_REST = r"""(?:[^<>"'\x01]++|"[^"\x01]*+"|'[^'\x01]*+')*+>"""
+_HIDDEN = rf"(?is)<!--.*?-->|<script(?![\w-]){_REST}.*?</script\s*>|<style(?![\w-]){_REST}.*?</style\s*>"
+_BREAKING_TAGS = (
+    "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|"
+    "main|nav|ol|p|pre|section|table|td|th|tr|ul"
 )
-_ANY_TAG = "<[^>]*>"
-# Fixed values; the ampersand comes last, so that nothing is decoded twice.
+_BREAKING = rf"(?i)</?(?:{_BREAKING_TAGS})(?![\w-]){_REST}"
+#: A tag begins with a letter, a slash and a letter, or a declaration; a lone < is text.
+_ANY_TAG = rf"</?[A-Za-z]{_REST}|<[!?][^>\x01]*+>"
+#: Elements whose end tag may be left out: the next one of the kind ends them.
+_IMPLIED_END = ("li", "p", "dt", "dd", "tr", "td", "th", "option")
+# Fixed values.
 _ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&"))
+#: All other named references, as the standard library lists them.
+_NAMED = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")} | dict(_ENTITIES))
 # Control character that separates blocks while they are cleaned as one string.
 _MARK = "\u0001"
 
 
 def visible(html: Column) -> Column:
     """The markup without comments, scripts and styles."""
-    return F.regexp_replace(html, _HIDDEN, "")
+    return F.regexp_replace(F.translate(html, _MARK, ""), _HIDDEN, "")
 
 
 def elements(html: Column, tag: str) -> Column:
-    """Inner markup of every ``tag`` element, in order of appearance."""
-    pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
-    return F.regexp_extract_all(visible(html), F.lit(pattern), F.lit(1))
+    """Inner markup of every ``tag`` element, in the order of the start tags.
+
+    Nested elements are given as well as the one around them; in the outer one, the tags of the inner
+    ones are gone, replaced by a blank where they break the line. An element ends at its end tag, or
+    else at the end of the text; one whose end tag may be left out ends at the next of its kind.
+    """
+    pattern = rf"(?i)</?{tag}(?![\w-]){_REST}"
+    gap = " " if re.fullmatch(_BREAKING_TAGS, tag, re.I) else ""
+    none = F.array().cast("array<string>")
+
+    def cut(text: Column) -> Column:
+        return let(
+            F.struct(
+                F.split(text, pattern, -1).alias("pieces"),
+                F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda m: ~F.startswith(m, F.lit("</"))).alias("opens"),
+            ),
+            lambda s: F.when(F.size(s["opens"]) == 0, none).otherwise(inner(s["pieces"], s["opens"])),
+        )
+
+    def inner(pieces: Column, opens: Column) -> Column:
+        count = F.size(opens)
+        starts = F.filter(F.sequence(F.lit(1), count), lambda k: F.get(opens, k - 1))
+
+        def one(k: Column) -> Column:
+            following = F.get(opens, k)
+            simple = following.isNull() | ~following
+            if tag.lower() in _IMPLIED_END:
+                # A start tag right behind ends an element that is never closed; nested lists close theirs.
+                simple = simple | (ends(k) > count)
+            return F.when(simple, F.get(pieces, k)).otherwise(
+                F.array_join(F.slice(pieces, k + 1, F.least(ends(k), count + 1) - k), gap)
+            )
+
+        def ends(k: Column) -> Column:
+            """Number of the tag that closes the k-th, beyond the last if none does."""
+            found = F.aggregate(
+                F.sequence(k + 1, F.greatest(count, k + 1)),
+                F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at")),
+                lambda a, i: F.when((a["at"] > 0) | (i > count), a).otherwise(
+                    let(
+                        a["depth"] + F.when(F.get(opens, i - 1), 1).otherwise(-1),
+                        lambda d: F.struct(d.alias("depth"), F.when(d == 0, i).otherwise(0).alias("at")),
+                    )
+                ),
+            )
+            return F.when(found["at"] > 0, found["at"]).otherwise(count + 1)
+
+        return F.transform(starts, one)
+
+    return let(visible(html), cut)
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode numeric references and the common named ones, each reference once."""
+    """Decode numeric and named references, each once, in one pass.
 
-    def decoded(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        code = F.when(
-            digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 6), 16, 10)
-        ).otherwise(F.when(digits != "", digits)).cast("long")
+    Numeric ones may lack their semicolon and have any number of digits; of named ones only the
+    everyday ones ``lt gt amp quot nbsp`` may lack it. What is no character becomes U+FFFD.
+    """
+
+    def char(digits: Column) -> Column:
+        hexadecimal = F.rlike(digits, F.lit("^[xX]"))
+        plain = F.regexp_replace(digits, "^[xX]?0*(?=.)", "")
+        short = F.length(plain) <= F.when(hexadecimal, 6).otherwise(7)
+        code = F.when(short & hexadecimal, F.conv(plain, 16, 10)).when(short, plain).cast("long")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
-        rest = F.substring(piece, F.length(digits) + 2, F.length(piece))
-        return F.when(digits == "", F.concat(F.lit("&#"), piece)).otherwise(
-            F.concat(F.coalesce(char, F.lit("�")), rest)
-        )
+        made = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+        return F.coalesce(made, F.lit("�"))
+
+    def named(name: Column) -> Column:
+        out = None
+        for entity, sign in _ENTITIES:
+            out = F.when(name == entity, sign) if out is None else out.when(name == entity, sign)
+        return out.otherwise(F.element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), name))
 
-    def numeric(value: Column) -> Column:
+    def decoded(piece: Column) -> Column:
+        def by_number(digits: Column) -> Column:
+            rest = F.regexp_replace(piece, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")
+            return F.when(digits != "", F.concat(char(digits), rest)).otherwise(by_name())
+
+        def by_name() -> Column:
+            name = F.regexp_extract(piece, "^(?:([A-Za-z][A-Za-z0-9]*);|(lt|gt|amp|quot|nbsp)(?![A-Za-z0-9=]))", 0)
+            return let(
+                name,
+                lambda n: F.coalesce(
+                    F.when(
+                        n != "",
+                        F.concat(named(F.regexp_replace(n, ";$", "")), F.substring(piece, F.length(n) + 1, F.length(piece))),
+                    ),
+                    F.concat(F.lit("&"), piece),
+                ),
+            )
+
+        return let(F.regexp_extract(piece, "^#([xX][0-9a-fA-F]+|[0-9]+);?", 1), by_number)
+
+    def whole(t: Column) -> Column:
         return let(
-            F.split(value, "&#"),
+            F.split(t, "&"),
             lambda pieces: F.concat(
                 F.get(pieces, F.lit(0)),
                 F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded), ""),
             ),
         )
 
-    def named(value: Column) -> Column:
-        for entity, char in _ENTITIES:
-            value = F.replace(value, F.lit(f"&{entity};"), F.lit(char))
-        return value
-
-    def has(value: Column, sign: str) -> Column:
-        return F.contains(value, F.lit(sign))
-
-    return let(
-        text,
-        lambda t: F.when(has(t, "&#"), named(numeric(t))).when(has(t, "&"), named(t)).otherwise(t),
-    )
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), whole(t)).otherwise(t))
 
 
 def plain_text(markup: Column) -> Column:
@@ -81,8 +155,8 @@ def plain_text(markup: Column) -> Column:
 
 
 def joined_text(html: Column, tag: str, separator: str = " ") -> Column:
-    """Text of all ``tag`` elements as one string."""
-    return plain_text(F.array_join(elements(html, tag), separator))
+    """Text of all ``tag`` elements as one string; a tag cut off in one never reaches into the next."""
+    return F.array_join(block_texts(html, tag), separator)
 
 
 def block_texts(html: Column, tag: str) -> Column:
@@ -108,7 +182,7 @@ def has_element(html: Column, tag: str = "a") -> Column:
 def without_elements(html: Column, tags: Sequence[str] = ("pre", "code")) -> Column:
     out = html
     for tag in tags:
-        out = F.regexp_replace(out, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "")
+        out = F.regexp_replace(out, rf"(?is)<{tag}(?![\w-]){_REST}.*?(?:</{tag}\s*>|\z)", "")
     return out
 
 

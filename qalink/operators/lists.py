@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLOTS = 256
+from qalink.sources.scratch import stored
 
 
 def chunked_lists(
@@ -20,44 +20,43 @@ def chunked_lists(
 ) -> DataFrame:
     """``keys, chunk, output``: the values of a key as lists, sorted by ``order``.
 
-    A key of up to ``chunk_rows`` rows has one list, chunk 0. A larger key is dealt out by the
-    hash of its order columns into as many chunks as it needs, and copies of one row are cut into
-    pieces first, so no row and no task ever holds a whole hot key. The group sizes are counted
-    first; the values move once when all are small.
+    Rows of a key are numbered in that order, and each run of ``chunk_rows`` numbers is one list;
+    null keys are a key like any other. Rows are dealt out by ranges of key, order and row, so a
+    hot key, or very many rows of one order value, fill many partitions; a row's number is its
+    place in its partition plus what earlier partitions hold of its key.
     """
     keys, order, values = list(keys), list(order), list(values)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= chunk_rows:
-        numbered = df.withColumn("chunk", F.lit(0)).withColumn("_copies", F.lit(1))
-    else:
-        numbered = _dealt_out(df, keys, order, values, chunk_rows)
-    entry = F.struct(*order, *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)], "_copies")
-    lists = numbered.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    rows = df.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
+        *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)],
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    named, sorting = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
+    dealt = stored(rows.repartitionByRange(*named, *sorting, "_row").withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part", *named).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*named).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(
+        F.col("_part").alias("_p"),
+        *[F.col(k).alias(f"_b{k}") for k in named],
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+    )
+    same = F.col("_part") == F.col("_p")
+    for k in named:
+        same = same & F.col(k).eqNullSafe(F.col(f"_b{k}"))
+    place = F.row_number().over(Window.partitionBy("_part", *named).orderBy(*sorting, "_row"))
+    numbered = dealt.withColumn("_place", place).join(before, same)
+    number = F.col("_before") + F.col("_place") - 1
+    entry = F.struct(number.alias("_number"), *[F.col(f"_v{i}") for i in range(len(values))])
+    lists = numbered.groupBy(*named, F.floor(number / chunk_rows).cast("int").alias("chunk")).agg(
+        F.sort_array(F.collect_list(entry)).alias("_entries")
+    )
 
     def value(e):
         if len(values) == 1:
             return e["_v0"]
         return F.struct(*[e[f"_v{i}"].alias(v) for i, v in enumerate(values)])
 
-    repeated = F.transform("_entries", lambda e: F.array_repeat(value(e), e["_copies"]))
-    return lists.select(*keys, "chunk", F.flatten(repeated).alias(output))
-
-
-def _dealt_out(
-    df: DataFrame, keys: list[str], order: list[str], values: list[str], chunk_rows: int
-) -> DataFrame:
-    """Distinct rows with ``_copies`` and the ``chunk`` they belong to."""
-    copies = df.groupBy(*keys, *order, *values).agg(F.count(F.lit(1)).alias("_n"))
-    last = F.ceil(F.col("_n") / chunk_rows).cast("int") - 1
-    pieces = copies.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
-    left = F.col("_n") - F.col("_piece").cast("long") * chunk_rows
-    pieces = pieces.withColumn("_copies", F.least(left, F.lit(chunk_rows)).cast("int"))
-    # Counted and joined per slot of a key, so that a hot key is never in one task here either.
-    slot = F.pmod(F.xxhash64(*order, "_piece"), F.lit(_SLOTS)).cast("int")
-    slotted = pieces.withColumn("_slot", slot)
-    per_slot = slotted.groupBy(*keys, "_slot").agg(F.sum("_copies").alias("_c"))
-    n = F.sum("_c").over(Window.partitionBy(*keys))
-    chunks = per_slot.select(*keys, "_slot", F.ceil(n / chunk_rows).cast("int").alias("_chunks"))
-    spread = F.pmod(F.xxhash64(*order, "_piece", F.lit("chunk")), F.col("_chunks")).cast("int")
-    return slotted.join(chunks, [*keys, "_slot"]).withColumn("chunk", spread)
+    return lists.select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "chunk", F.transform("_entries", value).alias(output)
+    )

@@ -80,10 +80,17 @@ def post_class(
     )
 
 
-def class_counts(classified: DataFrame) -> DataFrame:
-    """Posts per class plus a ``total`` row, in one pass."""
-    counts = classified.rollup("class").agg(F.count(F.lit(1)).alias("n"), F.grouping("class").alias("g"))
-    return counts.select(F.when(F.col("g") == 1, "total").otherwise(F.col("class")).alias("class"), "n")
+def class_counts(classified: DataFrame, named: str | None = None) -> DataFrame:
+    """Posts per class plus a ``total`` row; rows are counted per class first.
+
+    ``named`` is a boolean column of posts that name a library in the text; their number is then the
+    row ``named``. It is counted beside the classes: a naming post is of some class as well.
+    """
+    hits = F.count_if(F.col(named)) if named else F.lit(0).cast("long")
+    counts = classified.groupBy("class").agg(F.count(F.lit(1)).alias("n"), hits.alias("named"))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("named"), F.lit(0)).alias("named"))
+    rows = counts.select("class", "n").union(sums.select(F.lit("total"), "total"))
+    return rows.union(sums.select(F.lit("named"), "named")) if named else rows
 
 
 def class_split_report(classified: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from qalink.functions import text as X
 from qalink.functions import vectors as V
 from qalink.functions.binding import let
 from qalink.operators.joins import lookup_join
-from qalink.operators.vectors import VOCABULARY_BYTES, dimension, elements, sentence_vectors, summed, with_vectors
+from qalink.operators.vectors import sentence_vectors
 from qalink.sources.scratch import stored
 
-MAX_CATEGORIES = 256
+#: Categories whose vectors one row holds while answers are scored.
+CATEGORY_BLOCK = 256
 
 
 def closest_category(
@@ -23,65 +24,36 @@ def closest_category(
     vectors: DataFrame,
     keys: Sequence[str],
     weight: str | None = None,
-    max_categories: int = MAX_CATEGORIES,
+    category_block: int = CATEGORY_BLOCK,
 ) -> DataFrame:
     """``keys…, category, similarity``: the category most similar to the words of each key.
 
-    The similarity is the dot product of the two sentence vectors. It is linear in the words, so
-    each word of the vocabulary is scored against the categories once, and a key sums the scores
-    of its words along with their vectors; no key is paired with every category. Keys without a
-    known word have no result. Equal scores go to the smaller category name. ``weight`` names a
-    column of repeat counts in ``category_words``.
+    The similarity is the dot product of the two sentence vectors. Repeats of a word within a key
+    are counted first, so vectors meet each word of a key once; the vector of a key is then scored
+    against blocks of category vectors, whatever their number, and only the best of each block goes
+    on. Keys without a known word have no result; a null key is a key. Equal scores go to the
+    smaller category name. ``weight`` names a column of repeat counts in ``category_words``.
     """
-    sentences = sentence_vectors(category_words, vectors, ["category"], weight)
-    first = sentences.orderBy("category").limit(max_categories + 1).collect()
-    if len(first) > max_categories:
-        return _closest_of_many(words, sentences, vectors, keys, max_categories)
-    if not first:
-        nothing = words.select(*keys, F.lit("").alias("category"), F.lit(0.0).alias("similarity"))
-        return nothing.where(F.lit(False))
-    table = vectors.sparkSession.createDataFrame([([r["vector"] for r in first],)], "m array<array<double>>")
-    scores = F.transform("_m", lambda category: V.dot(category, F.col("vector")))
-    size, count = dimension(vectors), len(first)
-    scored = vectors.withColumn("_m", table.scalar()).select(
-        "word", F.concat(F.col("vector").cast("array<double>"), scores).alias("row")
+    categories = sentence_vectors(category_words, vectors, ["category"], weight)
+    blocks = max(1, -(-categories.count() // category_block))
+    entry = F.struct("category", F.col("vector").alias("v"))
+    table = categories.groupBy(F.pmod(F.xxhash64("category"), F.lit(blocks)).cast("int").alias("_b")).agg(
+        F.collect_list(entry).alias("_block")
     )
-    found = lookup_join(words, scored, ["word"], spread_by=keys, broadcast_bytes=VOCABULARY_BYTES, store_left=True)
-    sums = summed(found, keys, size + count, "row")
-    ranked = sums.select(
-        *keys, V.scale(elements(size, size + count), V.magnitude(elements(0, size))).alias("_s")
-    ).where("_s is not null")
-    names = F.array(*[F.lit(r["category"]) for r in first])
-    # Rounded for the choice only, so that equal scores stay equal whatever the order of summing.
-    rounded = F.transform("_s", lambda s: F.round(s, 9))
-    best = let(rounded, lambda r: F.get(names, F.array_position(r, F.array_max(r)) - 1))
-    return ranked.select(*keys, best.alias("category"), F.array_max("_s").alias("similarity"))
-
-
-def _closest_of_many(
-    words: DataFrame, sentences: DataFrame, vectors: DataFrame, keys: Sequence[str], block: int
-) -> DataFrame:
-    """The same for any number of categories, scored in blocks of a bounded size."""
-    blocks = max(1, -(-sentences.count() * 2 // block))
-    own = F.pmod(F.xxhash64("category"), F.lit(blocks)).cast("int").alias("b")
-    entry = F.struct(F.col("category"), F.col("vector").alias("v"))
-    table = sentences.select(own, entry.alias("e")).groupBy("b").agg(F.collect_list("e").alias("block"))
-    every = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scores = F.transform(
-        "block", lambda e: F.struct(e["category"].alias("category"), V.dot(e["v"], F.col("vector")).alias("score"))
-    )
-    scored = lookup_join(every, table, ["b"], spread_by=["word"]).select("word", F.inline(scores))
-    per_category = lookup_join(words, scored, ["word"], spread_by=keys).groupBy(*keys, "category").agg(
-        F.sum("score").alias("_s")
-    )
-    size = dimension(vectors)
-    norms = summed(with_vectors(words, vectors), keys, size)
-    norms = norms.select(*keys, V.magnitude(elements(0, size)).alias("_norm"))
-    both = per_category.join(norms, list(keys)).where(F.col("_norm") > 0)
-    similarity = (F.col("_s") / F.col("_norm")).alias("similarity")
-    order = Window.partitionBy(*keys).orderBy(F.round("similarity", 9).desc(), "category")
-    ranked = both.select(*keys, "category", similarity).withColumn("_r", F.row_number().over(order))
-    return ranked.where(F.col("_r") == 1).drop("_r")
+    counted = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("_times"))
+    sentences = sentence_vectors(counted, vectors, keys, "_times")
+    each = sentences.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = lookup_join(each, table, ["_b"], spread_by=keys)
+
+    def scored(e):
+        return let(
+            V.dot(e["v"], F.col("vector")),
+            # Rounded for the choice only, so that equal scores stay equal whatever the order of summing.
+            lambda s: F.struct((-F.round(s, 9)).alias("_order"), e["category"].alias("category"), s.alias("similarity")),
+        )
+
+    best = met.groupBy(*keys).agg(F.min(F.array_min(F.transform("_block", scored))).alias("_best"))
+    return best.select(*keys, "_best.category", "_best.similarity")
 
 
 def question_scores(

@@ -50,8 +50,8 @@ def posts_with_tags(posts: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def spread_labels(bigrams: DataFrame, labels: DataFrame) -> DataFrame:
-    """Give every occurrence of a tag its label; a tag without one stays unseen."""
-    out, labels = bigrams.select("tag_a", "tag_b"), stored(labels.select("tag", "label"))
+    """Give every occurrence of a tag its label; a tag without one stays unseen, of several the highest counts."""
+    out, labels = bigrams.select("tag_a", "tag_b"), stored(labels.groupBy("tag").agg(F.max("label").alias("label")))
     for side in ("a", "b"):
         named = labels.select(F.col("tag").alias(f"tag_{side}"), F.col("label").alias(f"label_{side}"))
         out = lookup_join(out, named, [f"tag_{side}"], "left")

@@ -129,19 +129,36 @@ class _Best:
         self.ids = [i for i, ok in zip(ids, usable) if ok]
         self.units = matrix[usable] / norms[usable, None]
         self.n = n
+        self.places: dict = {}
+        for row, i in enumerate(self.ids):
+            self.places.setdefault(i, []).append(row)
         self.best = [(np.empty(0, dtype=object), np.empty(0)) for _ in self.ids]
 
-    def add(self, words: np.ndarray, matrix: np.ndarray) -> None:
+    def add(self, words: np.ndarray, matrix: np.ndarray, excluded: Sequence = ()) -> None:
+        """``excluded``: for each word the queries it is no answer to, or None."""
+        if not len(words) or not self.ids:
+            return
         norms = np.linalg.norm(matrix, axis=1)
         usable = norms > 0
+        barred: dict[int, list[int]] = {}
+        places = self.places
+        for at, ids in enumerate([e for e, ok in zip(excluded, usable) if ok]):
+            for i in () if ids is None else ids:
+                for row in places.get(i, ()):
+                    barred.setdefault(row, []).append(at)
         words, units = words[usable], matrix[usable] / norms[usable, None]
-        if not len(words) or not self.ids:
+        if not len(words):
             return
         step = max(1, SCORES_AT_ONCE // len(words))
         for start in range(0, len(self.ids), step):
             block = np.round(self.units[start : start + step] @ units.T, 9)
             for row, scores in enumerate(block, start):
-                self._keep(row, words, scores)
+                if row in barred:
+                    left = np.ones(len(words), bool)
+                    left[barred[row]] = False
+                    self._keep(row, words[left], scores[left])
+                else:
+                    self._keep(row, words, scores)
 
     def _keep(self, row: int, words: np.ndarray, scores: np.ndarray) -> None:
         if len(scores) > self.n:
@@ -154,60 +171,71 @@ class _Best:
         self.best[row] = words[order], scores[order]
 
     def rows(self) -> pd.DataFrame:
-        sizes = [len(words) for words, _ in self.best]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(np.array(self.ids, dtype=object), sizes),
-                "word": np.concatenate([w for w, _ in self.best]) if self.best else [],
-                "score": np.concatenate([s for _, s in self.best]) if self.best else [],
-            }
-        )
+        rows = [(i, word, score) for i, (words, scores) in zip(self.ids, self.best) for word, score in zip(words, scores)]
+        return pd.DataFrame(rows, columns=["query_id", "word", "score"]) if rows else pd.DataFrame()
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
+def _plain(value):
+    """A query id as a key of a dictionary; not-a-number stands for a null one."""
+    return None if value is None or value != value else value
+
+
 def _candidates(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int) -> DataFrame:
-    """At least the ``n`` best words per query, as ``query_id, word, score``."""
+    """The ``n`` best words per query and task, as ``query_id, word, score``.
+
+    ``vectors(word, vector, excluded)``; ``excluded`` lists the queries the word is no answer to.
+    """
     spark = vectors.sparkSession
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, word string, score double"
     size = measured_bytes(queries)
+
+    def compare(best: _Best, batch: pd.DataFrame) -> None:
+        excluded = [None if e is None else [*map(_plain, e)] for e in batch["excluded"]]
+        best.add(batch["word"].to_numpy(dtype=object), _matrix(batch["vector"]), excluded)
+
+    def found(best: _Best) -> Iterator[pd.DataFrame]:
+        rows = best.rows()
+        if len(rows):
+            yield rows
+
     if size <= block_bytes:
-        held = queries.toPandas()
-        shared = spark.sparkContext.broadcast((held["query_id"].tolist(), _matrix(held["vector"])))
+        held = queries.collect()
+        shared = spark.sparkContext.broadcast(
+            ([r["query_id"] for r in held], np.array([r["vector"] for r in held], np.float64).reshape(len(held), -1))
+        )
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = _Best(*shared.value, n)
             for batch in batches:
-                best.add(batch["word"].to_numpy(dtype=object), _matrix(batch["vector"]))
-            yield best.rows()
+                compare(best, batch)
+            yield from found(best)
 
-        return vectors.select("word", "vector").mapInPandas(search, schema)
+        return vectors.select("word", "vector", "excluded").mapInPandas(search, schema)
 
     # More queries than one task should hold: blocks of queries meet blocks of words.
     query_blocks = -(-size // block_bytes)
     word_blocks = max(1, -(-measured_bytes(vectors) // block_bytes))
 
     def blocks(df: DataFrame, key: str, own: str, count: int, other: str, copies: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(key), F.lit(count)).alias(own)
-        every = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other)
-        return df.select(key, "vector", mine.cast("long").alias(own), every)
+        mine = F.pmod(F.xxhash64(key), F.lit(count)).cast("long").alias(own)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias(other)
+        return df.select("*", mine, every)
 
-    left = blocks(queries, "query_id", "q", query_blocks, "w", word_blocks)
-    right = blocks(vectors, "word", "w", word_blocks, "q", query_blocks)
+    left = blocks(queries.select("query_id", "vector"), "query_id", "q", query_blocks, "w", word_blocks)
+    right = blocks(vectors.select("word", "vector", "excluded"), "word", "w", word_blocks, "q", query_blocks)
 
     def meet(some: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(some["query_id"].tolist(), _matrix(some["vector"]), n)
-        if len(some) and len(words):
-            best.add(words["word"].to_numpy(dtype=object), _matrix(words["vector"]))
-        return best.rows()
-
-    grouped = left.groupBy(F.col("q").cast("long"), F.col("w").cast("long"))
-    return grouped.cogroup(right.groupBy(F.col("q").cast("long"), F.col("w").cast("long"))).applyInPandas(
-        meet, schema
-    )
+        best = _Best([*map(_plain, some["query_id"])], _matrix(some["vector"]), n)
+        compare(best, words)
+        rows = best.rows()
+        return rows if len(rows) else pd.DataFrame({"query_id": some["query_id"][:0], "word": words["word"][:0], "score": np.zeros(0)})
+
+    return left.groupBy("q", "w").cogroup(right.groupBy("q", "w")).applyInPandas(meet, schema)
 
 
 def nearest_neighbors(
@@ -221,21 +249,20 @@ def nearest_neighbors(
     """The ``n`` words closest to each query by cosine: ``query_id, word, score, rank``.
 
     ``queries(query_id, vector)``; ``in_set(word)`` limits the words; ``out_set(query_id, word)``
-    excludes words per query. Each task keeps its own best words, so only ``n`` rows per query
-    and task are shuffled. The search widens by the largest exclusion list, which makes the
-    result exact after the exclusion.
+    excludes words per query, of a null ``query_id`` too. Each word brings the queries it is excluded
+    from to its task, so a task keeps and passes on ``n`` rows per query, however long the lists are.
+    A query with a zero or null vector has no result.
     """
-    words = vectors
+    words = vectors.select("word", "vector")
     if in_set is not None:
-        words = lookup_join(vectors, in_set.select("word").distinct(), ["word"], "left_semi")
-    wider = n
-    if out_set is not None:
-        out_set = out_set.select("query_id", "word").distinct()
-        most = out_set.groupBy("query_id").count().agg(F.max("count")).first()[0]
-        wider += most or 0
-    found = _candidates(words, queries, wider, block_bytes)
-    if out_set is not None:
-        found = found.join(out_set, ["query_id", "word"], "left_anti")
+        words = lookup_join(words, in_set.select("word").distinct(), ["word"], "left_semi")
+    if out_set is None:
+        words = words.withColumn("excluded", F.lit(None).cast(f"array<{queries.schema['query_id'].dataType.simpleString()}>"))
+    else:
+        # Structs keep a null id, which the collecting of plain values would lose.
+        ids = F.transform(F.collect_set(F.struct("query_id")), lambda e: e["query_id"]).alias("excluded")
+        words = lookup_join(words, out_set.groupBy("word").agg(ids), ["word"], "left")
+    found = _candidates(words, queries.where("vector is not null"), n, block_bytes)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "word")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from qalink import schemas
 
-MAX_STOP_WORDS = 10_000
-
 
 def read_csv(
     spark: SparkSession,
@@ -61,10 +59,6 @@ def read_bigrams(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.BIGRAMS, header=False)
 
 
-def read_stop_words(spark: SparkSession, path: str) -> list[str]:
-    """A word list, one word per line, for use inside an expression; its length is checked."""
-    words = spark.read.text(path).select(F.trim("value").alias("w")).where("w <> ''").distinct()
-    found = [r["w"] for r in words.orderBy("w").limit(MAX_STOP_WORDS + 1).collect()]
-    if len(found) > MAX_STOP_WORDS:
-        raise ValueError(f"more than {MAX_STOP_WORDS} stop words: join the list instead")
-    return found
+def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
+    """``word``: a list of one word per line, of any length, each word once, for joins."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()

@@ -11,7 +11,7 @@ BODY = (
 
 
 def test_blocks(one):
-    assert one(lambda h: H.block_texts(h, "pre"), h=BODY) == ["List<String> a = \"x'\";\n\timport b;"]
+    assert one(lambda h: H.block_texts(h, "pre"), h=BODY) == ["List<String> a = \"x'\";\n\timport b;", "open"]
     assert one(lambda h: H.block_texts(h, "code"), h=BODY)[1] == "inner"
     assert one(lambda h: H.block_texts(h, "em"), h=BODY) == []
     assert one(lambda h: H.joined_text(h, "em"), h=BODY) == ""
@@ -24,7 +24,10 @@ def test_blocks(one):
         ("&amp;lt;", "&lt;"),
         ("&#233;&#xE9;&#XE9;", "ééé"),
         ("&#128512;", "😀"),
-        ("&#;&#x;&#12", "&#;&#x;&#12"),
+        ("&#;&#x;", "&#;&#x;"),
+        ("&#00000039;&#39s&#x00000027;&#99999999999999999999;", "''s'\ufffd"),
+        ("&#38;lt; &amp;#39;", "&lt; &#39;"),
+        ("x &rarr; y&hellip; &eacute; &ltb &lt b &ampx;", "x → y… é &ltb < b &ampx;"),
         ("&#0;&#xD800;", "��"),
         ("a&nbsp;b &unknown;", "a b &unknown;"),
         ("", ""),
@@ -66,3 +69,29 @@ def test_both_readers_agree_on_flat_markup(spark):
     both = H.parsed_block_texts(df, "html", "pre").select(H.block_texts(F.col("html"), "pre").alias("own"), "blocks")
     row = both.first()
     assert row["own"] == row["blocks"]
+
+
+@pytest.mark.parametrize(
+    "html, tag, blocks",
+    [
+        ("<li>1 < 2</li><li>x</li><li>3 > 2</li>", "li", ["1 < 2", "x", "3 > 2"]),
+        ("<pre>List a = b; a < b &hellip; x &rarr; foo</pre><pre>Foo > bar</pre>", "pre", ["List a = b; a < b … x → foo", "Foo > bar"]),
+        ("<code>import x", "code", ["import x"]),
+        ("<div>aaa<div>bbb</div>ccc</div>", "div", ["aaa bbb ccc", "bbb"]),
+        ("<code>a<code>b<code>c</code></code>d</code><code>e</code>", "code", ["abcd", "bc", "c", "e"]),
+        ('<code title="a>b">x</code>', "code", ["x"]),
+        ("<code>Map<String, List<T>> m; a<b</code><pre>y</pre>", "code", ["Map<String, List> m; a<b"]),
+        ("<ul><li>a<li>b</ul>", "li", ["a", "b "]),
+        ("<codex>no</codex><CODE\n class='x'>yes</CODE >", "code", ["yes"]),
+        ("</code>a<code>b</code></code>", "code", ["b"]),
+        ("<code>a\x01b</code><code>c</code>", "code", ["ab", "c"]),
+        ("", "code", []),
+    ],
+)
+def test_blocks_of_untidy_markup(one, html, tag, blocks):
+    assert one(lambda h: H.block_texts(h, tag), h=html) == blocks
+
+
+def test_unclosed_code_counts(one):
+    assert one(lambda h: H.mentions_in_elements(h, "import"), h="<p>x</p><code>import y")
+    assert one(lambda h: H.joined_text(h, "code"), h="<code>a < b</code> <code>c</code>") == "a < b c"

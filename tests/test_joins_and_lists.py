@@ -89,3 +89,31 @@ def test_post_class_order(spark):
     bodies = [("<code>import x</code><a>y</a>",), ("<a>y</a>",), ("<p>import</p>",)]
     df = spark.createDataFrame(bodies, "body string").select(P.post_class(F.col("body")).alias("c"))
     assert [r["c"] for r in df.collect()] == ["withImport", "withLinks", "not(ImportLinks)"]
+
+
+def test_lists_keep_null_keys_order_and_bound(spark):
+    posts = [(None, i, f"n{i}") for i in range(7)] + [(1, None, f"x{i}") for i in range(3000)] + [(2, i, f"b{i}") for i in range(12)]
+    df = spark.createDataFrame(posts, "question_id long, answer_id long, body string").repartition(5)
+    got = P.bodies_per_question(df, chunk_rows=5).collect()
+    assert all(len(r["bodies"]) <= 5 for r in got)
+    whole = {}
+    for r in sorted(got, key=lambda r: r["chunk"]):
+        whole.setdefault(r["question_id"], []).extend(r["bodies"])
+    assert whole[None] == [f"n{i}" for i in range(7)] and whole[2] == [f"b{i}" for i in range(12)]
+    assert sorted(whole[1]) == sorted(f"x{i}" for i in range(3000))
+    one = P.bodies_per_question(df).where("question_id is null").collect()
+    assert [r["bodies"] for r in one] == [whole[None]]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_both_ways_of_a_lookup_agree_on_null_keys(skewed, rows, how):
+    left, right = skewed
+    right = right.unionByName(right.sparkSession.createDataFrame([(None, 9)], "key string, v int"))
+    small = lookup_join(left, right, ["key"], how)
+    assert rows(small) == rows(lookup_join(left, right, ["key"], how, broadcast_bytes=0))
+
+
+def test_naming_posts_are_counted_beside_their_class(spark, rows):
+    df = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("b", None)], "class string, named boolean")
+    assert dict(rows(P.class_counts(df, "named"))) == {"a": 2, "b": 2, "total": 4, "named": 2}
+    assert dict(rows(P.class_counts(df.limit(0), "named"))) == {"total": 0, "named": 0}

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qalink.operators import scoring as S
 from qalink.operators import vectors as W
@@ -128,7 +129,7 @@ def test_closest_category_against_brute_force_in_both_ways(spark, many):
         if v is not None:
             want[a] = min((-round(float(v @ u), 9), c) for c, u in centers.items())
     for limit in (256, 2):
-        got = S.closest_category(words, category_words, vectors, ["a"], max_categories=limit).collect()
+        got = S.closest_category(words, category_words, vectors, ["a"], category_block=limit).collect()
         assert {r["a"]: r["category"] for r in got} == {a: c for a, (_, c) in want.items()}
         assert all(abs(r["similarity"] + want[r["a"]][0]) < 1e-6 for r in got)
 
@@ -138,3 +139,46 @@ def test_no_category_gives_no_rows(spark, many):
     words = spark.createDataFrame([(1, "w001")], "a long, word string")
     nothing = spark.createDataFrame([("c", "unknown")], "category string, word string")
     assert S.closest_category(words, nothing, vectors, ["a"]).collect() == []
+
+
+def test_many_categories_and_null_keys_alike(spark, many):
+    data, vectors = many
+    names = [w for w, _ in data]
+    words = spark.createDataFrame([(None, names[0]), (None, names[1]), (1, names[2])], "a long, word string")
+    categories = spark.createDataFrame([(f"c{i:03}", names[i % len(names)]) for i in range(300)], "category string, word string")
+    got = [sorted(S.closest_category(words, categories, vectors, ["a"], category_block=b).collect(), key=repr) for b in (1000, 256, 1)]
+    assert got[0] == got[1] == got[2] and {r["a"] for r in got[0]} == {None, 1}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_searches_without_an_answer(spark, many, block):
+    _, vectors = many
+    none = spark.createDataFrame([(1, [0.0] * 6), (2, None)], "query_id long, vector array<double>")
+    assert W.nearest_neighbors(vectors, none, 5, block_bytes=block).collect() == []
+    assert W.nearest_neighbors(vectors, none.limit(0), 5, block_bytes=block).collect() == []
+    few = vectors.limit(3)
+    queries = vectors.limit(2).selectExpr("word AS query_id", "vector")
+    assert W.nearest_neighbors(few, queries, 5, block_bytes=block).count() == 6
+
+
+def test_groups_and_triples_with_unknown_words_have_no_result(spark, many):
+    _, vectors = many
+    group = spark.createDataFrame([(1, "w001"), (1, "unknown")], "query_id long, word string")
+    assert W.nearest_to_words(group, vectors, 5).collect() == []
+    triple = spark.createDataFrame([(1, "w001", "unknown", "w002")], "query_id long, word1 string, word2 string, word3 string")
+    assert W.analogy(triple, vectors, 5).collect() == []
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_exclusions_cost_no_candidates(spark, many, block):
+    data, vectors = many
+    queries = spark.createDataFrame([(1, [1.0] * 6), (None, [0.5, 1, 0, 0, 1, 2.0])], "query_id long, vector array<double>")
+    every = [w for w, _ in data]
+    left = every[-7:]
+    out = spark.createDataFrame([(i, w) for i in (1, None) for w in every if w not in left], "query_id long, word string")
+    got = W.nearest_neighbors(vectors, queries, 5, out_set=out, block_bytes=block).collect()
+    assert len(got) == 10 and {r["word"] for r in got} <= set(left)
+    ids = spark.createDataFrame([], "query_id long, word string").groupBy("word").agg(F.collect_set("query_id").alias("excluded"))
+    tasks = vectors.rdd.getNumPartitions()
+    found = W._candidates(vectors.join(ids, "word", "left"), queries, 5, 1 << 20)
+    assert found.count() <= 5 * 2 * tasks
