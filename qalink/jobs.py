@@ -1,23 +1,32 @@
 """The jobs as one command, from folder to folder.
 
-``spark-submit qalink/jobs.py JOB --input FOLDER --output FOLDER [--category NAME] [--format csv|parquet]``
+``qalink JOB --input FOLDER --output FOLDER [--category NAME] [--format parquet|csv] [--work-dir FOLDER]``
 
 The input folder holds one table per name of ``TABLES``, as a file or a folder. A job reads what
-it needs and writes its result as CSV with a header, or as Parquet. Each job is one lazy plan
-that the tasks write out; the next job reads it as it is.
+it needs and writes its result as Parquet, or as CSV with a header. Each job is one lazy plan
+that the tasks write out; the next job reads it as it is. Intermediate tables go to the work
+folder, which all executors must share (by default ``spark.checkpoint.dir``), and are removed at
+the end. Bodies with line breaks make a CSV file one task; Parquet splits.
 """
 
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 from collections.abc import Callable
 
+if __package__ in (None, ""):  # started as a script: its folder stands first instead of the package's
+    sys.path[0] = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 from pyspark.sql import DataFrame, SparkSession
 
 from qalink import schemas
 from qalink.functions import text as X
+from qalink.operators.posts import complete_rows
 from qalink.plans import categories, library_use, tag_mining
-from qalink.sources import tables
+from qalink.sources import archives, tables
+from qalink.sources.scratch import remove_folders
 from qalink.sources.word_vectors import read_word_vectors
 
 TABLES = {
@@ -90,6 +99,14 @@ def _analyze_usages(t: Inputs) -> DataFrame:
     return library_use.analyze_usages(t["usages"])
 
 
+def _list_symbols(t: Inputs) -> DataFrame:
+    return archives.class_symbols(archives.archive_entries(t.spark, f"{t.folder}/archives"))
+
+
+def _clean_posts(t: Inputs) -> DataFrame:
+    return complete_rows(t["posts"])
+
+
 JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     "score-answers": _score_answers,
     "score-questions": _score_questions,
@@ -99,6 +116,8 @@ JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     "extract-usages": _extract_usages,
     "classify-posts": _classify_posts,
     "analyze-usages": _analyze_usages,
+    "list-symbols": _list_symbols,
+    "clean-posts": _clean_posts,
 }
 
 
@@ -116,10 +135,17 @@ def main() -> None:
     parser.add_argument("--input", required=True)
     parser.add_argument("--output", required=True)
     parser.add_argument("--category", default="")
-    parser.add_argument("--format", choices=("csv", "parquet"), default="csv")
+    parser.add_argument("--format", choices=("csv", "parquet"), default="parquet")
+    parser.add_argument("--work-dir")
     given = parser.parse_args()
-    spark = SparkSession.builder.appName(f"qalink {given.job}").getOrCreate()
-    run(spark, given.job, given.input, given.output, given.category, given.format)
+    builder = SparkSession.builder.appName(f"qalink {given.job}")
+    if given.work_dir:
+        builder = builder.config("spark.checkpoint.dir", given.work_dir)
+    spark = builder.getOrCreate()
+    try:
+        run(spark, given.job, given.input, given.output, given.category, given.format)
+    finally:
+        remove_folders(spark)
 
 
 if __name__ == "__main__":

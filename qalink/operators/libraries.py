@@ -23,11 +23,20 @@ def selected_libraries(selected: DataFrame) -> DataFrame:
 
 
 def library_version_lookup(libraries: DataFrame, details: DataFrame) -> DataFrame:
-    """Attach a version to each library: the smallest one when several are listed."""
+    """Attach a version to each library: the smallest one when several are listed.
+
+    Libraries without details are left out; :func:`without_version` names them.
+    """
     versions = details.groupBy("group_id", "artifact_id").agg(F.min("version").alias("version"))
     return lookup_join(libraries, versions, ["group_id", "artifact_id"])
 
 
+def without_version(libraries: DataFrame, details: DataFrame) -> DataFrame:
+    """The libraries that no row of ``details`` gives a version."""
+    known = details.where("version is not null").select("group_id", "artifact_id").distinct()
+    return lookup_join(libraries, known, ["group_id", "artifact_id"], "left_anti")
+
+
 def library_versions(versions: DataFrame) -> DataFrame:
     """One row per version of the ``|``-separated list."""
     return versions.select(

@@ -205,8 +205,10 @@ def _candidates(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int
 
     if size <= block_bytes:
         held = queries.collect()
+        if not held:
+            return spark.createDataFrame([], schema)
         shared = spark.sparkContext.broadcast(
-            ([r["query_id"] for r in held], np.array([r["vector"] for r in held], np.float64).reshape(len(held), -1))
+            ([r["query_id"] for r in held], np.array([r["vector"] for r in held], np.float64))
         )
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,8 @@
-"""From scored answers to selected questions, frequent tag pairs, and posts by tag."""
+"""From scored answers to selected questions, frequent tag pairs, and posts by tag.
+
+Tags and titles are all that is read of the posts; posts that lack anything are dropped beforehand,
+once, by the ``clean-posts`` job.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +24,8 @@ def frequent_tag_pairs(
 ) -> DataFrame:
     """``tag_a, tag_b, count`` of a category, most frequent first."""
     questions = P.of_category(selected, category).select("question_id")
-    tagged = P.questions_of_category(questions, P.complete_rows(posts), ["tags"])
+    posts = posts.select("question_id", "tags").na.drop()
+    tagged = P.questions_of_category(questions, posts, ["tags"])
     return G.by_frequency(G.tag_bigrams(tagged, excluded, above))
 
 
@@ -29,6 +34,7 @@ def posts_with_selected_tags(
 ) -> DataFrame:
     """``question_id, title, tags`` of the category's questions having a tag labelled valid."""
     questions = P.of_category(selected, category).select("question_id")
-    common = P.questions_of_category(questions, P.complete_rows(posts), ["title", "tags"])
+    posts = posts.select("question_id", "title", "tags").na.drop()
+    common = P.questions_of_category(questions, posts, ["title", "tags"])
     chosen = G.posts_with_tags(common.select("question_id", "title", "tags"), G.selected_tags(labelled))
     return chosen.withColumn("title", X.title_without_commas(F.col("title")))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from qalink import schemas
 
@@ -38,7 +39,8 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def list_entries(files: DataFrame) -> DataFrame:
-    """``path, entry, is_dir`` of archives given as ``path, content``; unreadable ones have no rows."""
+    """``path, entry, is_dir`` of archives given as ``path, content``; unreadable ones have no rows,
+    see :func:`unreadable`."""
     return files.select("path", "content").mapInPandas(_list, schemas.ARCHIVE_ENTRIES)
 
 
@@ -51,3 +53,32 @@ def archive_entries(spark: SparkSession, path: str, pattern: str = "*.jar") -> D
         .load(path)
     )
     return list_entries(files)
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """``path`` of the archives given as ``path, content`` that :func:`list_entries` has no rows for."""
+    readable = list_entries(files).select("path").distinct()
+    return files.select("path").join(readable, "path", "left_anti")
+
+
+def class_symbols(entries: DataFrame) -> DataFrame:
+    """Class rows of ``symbols`` from ``entries(path, entry)``: the inverse of ``jar_path``.
+
+    ``…/org/json/json/1.2/json-1.2.jar`` is group ``org.json``, artifact ``json``, version ``1.2``; an
+    entry ``a/b/C$D.class`` is the class ``a.b.C$D``. A path names a group in as many folders as follow
+    the last one called ``archives``, or ``repository``, or else all of them. Other paths and entries
+    have no rows. ``ord`` is a hash of the class name; members are not listed.
+    """
+    parts = F.split(F.regexp_replace("path", r"^.*/(?:archives|repository)/", ""), "/")
+    size = F.size(parts)
+    artifact, version = F.get(parts, size - 3), F.get(parts, size - 2)
+    named = F.get(parts, size - 1) == F.concat(artifact, F.lit("-"), version, F.lit(".jar"))
+    classes = entries.where(F.col("entry").rlike(r"\.class$") & ~F.col("entry").rlike(r"(?:^|/)module-info\.class$"))
+    rows = classes.where((size > 3) & named).select(
+        F.array_join(F.slice(parts, F.lit(1), size - 3), ".").alias("group_id"),
+        artifact.alias("artifact_id"),
+        version.alias("version"),
+        F.translate(F.regexp_replace("entry", r"\.class$", ""), "/", ".").alias("class_name"),
+        F.lit(None).cast("string").alias("member_name"),
+    )
+    return rows.distinct().withColumn("ord", F.xxhash64("class_name"))
