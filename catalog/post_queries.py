@@ -64,9 +64,11 @@ def _library_input(spark, d):
     posts = table(spark, d, "documents").select(
         F.col("doc_id").alias("answer_id"),
         F.col("source").alias("title"),
+        F.col("source").alias("category"),
         X.word_identifiers(F.col("text")).alias("identifiers"),
     )
     items = table(spark, d, "benchmark").select(
+        F.concat(F.lit("src"), F.col("item_id") % 20).alias("category"),
         F.lit("item").alias("group_id"),
         F.col("item_id").cast("string").alias("artifact_id"),
         F.explode(X.word_identifiers(F.col("text"))).alias("token"),
@@ -75,18 +77,19 @@ def _library_input(spark, d):
 
 
 def library_usages(spark, d):
-    return U.library_usages(*_library_input(spark, d))
+    return U.library_usages(*_library_input(spark, d), within=["category"])
 
 
 def library_usages_encoded(spark, d):
     posts, items = _library_input(spark, d)
-    return U.encode_usages(posts, U.library_usages(posts, items))
+    return U.encode_usages(posts, U.library_usages(posts, items, within=["category"]))
 
 
 SQL_USAGES = f"""
 SELECT answer_id, title, library, CAST(count(*) AS INTEGER) AS matches
-FROM (SELECT DISTINCT doc_id AS answer_id, source AS title, unnest({sql_words('text')}) AS token FROM documents)
-JOIN (SELECT DISTINCT 'item ' || item_id AS library, unnest({sql_words('text')}) AS token FROM benchmark) USING (token)
+FROM (SELECT DISTINCT doc_id AS answer_id, source AS title, source AS category, unnest({sql_words('text')}) AS token FROM documents)
+JOIN (SELECT DISTINCT 'item ' || item_id AS library, 'src' || (item_id % 20) AS category, unnest({sql_words('text')}) AS token
+      FROM benchmark) USING (category, token)
 GROUP BY 1, 2, 3
 """
 

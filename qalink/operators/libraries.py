@@ -61,9 +61,9 @@ def library_names(libraries: DataFrame, info: DataFrame) -> DataFrame:
     return lookup_join(listed, keys, ["suffix"]).groupBy("group_id", "artifact_id").agg(F.min("name").alias("name"))
 
 
-def with_coordinates(df: DataFrame, libraries: DataFrame) -> DataFrame:
-    """Rows of ``df`` joined with their library by coordinates."""
-    return lookup_join(df, libraries, ["group_id", "artifact_id"])
+def with_coordinates(df: DataFrame, libraries: DataFrame, version: bool = False) -> DataFrame:
+    """Rows of ``df`` joined with their library by coordinates, with ``version`` by the version too."""
+    return lookup_join(df, libraries, VERSION_KEY if version else VERSION_KEY[:2])
 
 
 # Read-outs. A class name such as ``a.b.C$D`` has the simple name ``C$D``.

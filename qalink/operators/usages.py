@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,23 +17,29 @@ def post_tokens(posts: DataFrame, keys: list[str], identifiers: str = "identifie
     return posts.select(*keys, F.explode(F.array_distinct(F.col(identifiers))).alias("token"))
 
 
-def token_overlap(tokens: DataFrame, other: DataFrame, keys: list[str], other_keys: list[str]) -> DataFrame:
-    """Number of shared distinct tokens for every pair sharing one; found through the tokens."""
-    listed = stored(other.select(*other_keys, "token").distinct())
-    shared = lookup_join(tokens, listed, ["token"], spread_by=keys, store_left=True)
+def token_overlap(
+    tokens: DataFrame, other: DataFrame, keys: list[str], other_keys: list[str], within: Sequence[str] = ()
+) -> DataFrame:
+    """Number of shared distinct tokens for every pair sharing one; found through the tokens.
+
+    ``within`` names columns of both sides that must agree, so that pairs stay within a category.
+    """
+    listed = stored(other.select(*other_keys, *within, "token").distinct())
+    shared = lookup_join(tokens, listed, [*within, "token"], spread_by=keys, store_left=True)
     return shared.groupBy(*keys, *other_keys).agg(F.count(F.lit(1)).cast("int").alias("matches"))
 
 
-def library_usages(posts: DataFrame, library_tokens: DataFrame) -> DataFrame:
+def library_usages(posts: DataFrame, library_tokens: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """``answer_id, title, library, matches``: identifiers a post shares with a library.
 
-    ``posts`` has one row per answer and title, ``identifiers`` among its columns.
+    ``posts`` has one row per answer and title, ``identifiers`` among its columns. With ``within``, a
+    post only meets the libraries of its own category, and the output grows with the posts.
     """
     keys = ["answer_id", "title"]
     libraries = library_tokens.select(
-        X.coordinates(F.col("group_id"), F.col("artifact_id")).alias("library"), "token"
+        X.coordinates(F.col("group_id"), F.col("artifact_id")).alias("library"), *within, "token"
     )
-    return token_overlap(post_tokens(posts, keys), libraries, keys, ["library"])
+    return token_overlap(post_tokens(posts, [*keys, *within]), libraries, keys, ["library"], within)
 
 
 def encode_usages(posts: DataFrame, usages: DataFrame) -> DataFrame:

@@ -111,13 +111,19 @@ def sentence_vectors(
 
 def n_similarity(words: DataFrame, vectors: DataFrame, keys: Sequence[str], side: str = "side") -> DataFrame:
     """Dot product of the sentence vectors of the two sides (``a`` and ``b``) of each key."""
-    sentences = sentence_vectors(words, vectors, [*keys, side])
-
-    def of(name: str):
-        return F.max(F.when(F.col(side) == name, F.col("vector"))).alias(name)
-
-    both = sentences.groupBy(*keys).agg(of("a"), of("b")).where("a is not null and b is not null")
-    return both.select(*keys, V.dot(F.col("a"), F.col("b")).alias("similarity"))
+    size = dimension(vectors)
+    both = with_vectors(words, vectors)
+    sums = [
+        F.expr(f"sum(if({side} = '{name}', cast(get(vector, {i}) as double), 0.0D)) as {name}_{i}")
+        for name in ("a", "b")
+        for i in range(size)
+    ]
+
+    def unit(name: str) -> Column:
+        return V.normalize(F.expr("array(" + ", ".join(f"{name}_{i}" for i in range(size)) + ")"))
+
+    units = both.groupBy(*keys).agg(*sums).select(*keys, unit("a").alias("a"), unit("b").alias("b"))
+    return units.where("a is not null and b is not null").select(*keys, V.dot(F.col("a"), F.col("b")).alias("similarity"))
 
 
 class _Best:

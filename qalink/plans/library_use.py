@@ -52,8 +52,7 @@ def extract_usages(
     # Stored: the markup is read once for the tokens, the empty answers and the titles.
     coded = stored(answers.select("answer_id", "title", identifiers))
     listed = L.library_versions(versions).select("group_id", "artifact_id", "version").distinct()
-    of_category = L.with_coordinates(symbols, listed.withColumnRenamed("version", "_v"))
-    tokens = L.library_symbols(of_category.where(F.col("version") == F.col("_v")).drop("_v"))
+    tokens = L.library_symbols(L.with_coordinates(symbols, stored(listed), version=True))
     usages = U.library_usages(coded, tokens)
     encoded = U.encode_usages(coded, usages)
     titles = coded.select("answer_id", "title").distinct()

@@ -1,11 +1,11 @@
-"""Every registered query against its SQL in DuckDB, on the smallest tables."""
+"""Every query of the catalog against its SQL in DuckDB, on the smallest tables."""
 
 import os
 
 import duckdb
 import pytest
 
-import __spark_entry__
+import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = [f.removesuffix(".parquet") for f in os.listdir(FOLDER)] if os.path.isdir(FOLDER) else []
@@ -29,10 +29,10 @@ def _normal(columns, data):
 
 
 @pytest.mark.skipif(not TABLES, reason="no test tables")
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.all_queries()))
 def test_query(spark, duck, name):
-    df = __spark_entry__.queries()[name](spark, FOLDER)
-    result = duck.execute(__spark_entry__.oracle_sql()[name])
+    df = catalog.all_queries()[name](spark, FOLDER)
+    result = duck.execute(catalog.all_oracles()[name])
     columns = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(columns)
     got, want = _normal(df.columns, df.collect()), _normal(columns, result.fetchall())

@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__
+import catalog
 from qalink import schemas
 from qalink.operators import scoring as S
 from qalink.operators import titles as T
@@ -133,9 +133,9 @@ PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow
 WITH_PYTHON = {"html_blocks_parsed", "archive_entries", "nearest_neighbors", "nearest_to_words", "analogy"}
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.all_queries()))
 def test_plan_shape(spark, name):
-    df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    df = catalog.all_queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan

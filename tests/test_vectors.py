@@ -172,7 +172,7 @@ def test_groups_and_triples_with_unknown_words_have_no_result(spark, many):
 @pytest.mark.parametrize("block", [1 << 20, 200])
 def test_exclusions_cost_no_candidates(spark, many, block):
     data, vectors = many
-    queries = spark.createDataFrame([(1, [1.0] * 6), (None, [0.5, 1, 0, 0, 1, 2.0])], "query_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0] * 6), (None, [0.5, 1.0, 0.0, 0.0, 1.0, 2.0])], "query_id long, vector array<double>")
     every = [w for w, _ in data]
     left = every[-7:]
     out = spark.createDataFrame([(i, w) for i in (1, None) for w in every if w not in left], "query_id long, word string")
