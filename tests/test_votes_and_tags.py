@@ -1,5 +1,6 @@
 import pytest
 
+from qalink.operators import posts as P
 from qalink.operators import tags as G
 from qalink.operators import votes as O
 from qalink.plans import tag_mining
@@ -64,6 +65,7 @@ def test_mining_counts_distinct_tag_strings(spark, rows):
         (4, 14, "t4", None, "<file><io><x>"),
     ]
     posts = spark.createDataFrame(posts, "question_id long, answer_id long, title string, body string, tags string")
+    posts = P.complete_rows(posts)  # dropped once, when the posts are cleaned
     pairs = tag_mining.frequent_tag_pairs(selected, posts, "io", above=0)
     assert [tuple(r) for r in pairs.collect()] == [("file", "io", 2), ("file", "path", 1), ("io", "path", 1)]
     assert G.distinct_tag_count(pairs).first()[0] == 3
