@@ -28,7 +28,9 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,10 @@ from pyspark.sql import types as T
 from qalink.llm.base import per_process, text_of
 
 #: Entries of a per-task table before it is started anew.
-MEMO_WORDS = 400_000
-MEMO_ARCS = 1_000_000
+MEMO_WORDS = 150_000
+MEMO_ARCS = 300_000
+#: Signs of the texts whose ids are held at once.
+HELD_SIGNS = 1_000_000
 
 
 class Vocabulary(NamedTuple):
@@ -298,18 +302,27 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     tokenizer = compile_tokenizer(docs.sparkSession, path)
     others = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
 
+    def some(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
+        ids, ends, decoded = [], [0], []
+        for text in batch.column(batch.num_columns - 1).to_pylist():
+            parts = encoder.parts(text)
+            ids.append(np.array(" ".join([part[1] for part in parts]).split(), np.int32))
+            ends.append(ends[-1] + len(ids[-1]))
+            decoded.append(" ".join([part[2] for part in parts]))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], lists, pa.array(decoded, pa.string())], names=[*others, "ids", "decoded"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer()
         for batch in batches:
-            ids, decoded = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                parts = encoder.parts(text)
-                ids.append([*map(int, " ".join([part[1] for part in parts]).split())])
-                decoded.append(" ".join(part[2] for part in parts))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                names=[*others, "ids", "decoded"],
-            )
+            start = held = 0
+            for i, size in enumerate(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()):
+                held += size
+                if held >= HELD_SIGNS or i + 1 == batch.num_rows:
+                    yield some(batch.slice(start, i + 1 - start), encoder)
+                    start, held = i + 1, 0
 
     fields = [docs.schema[c] for c in others]
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
