@@ -126,3 +126,26 @@ def test_registered_sql(spark, name):
     df = run(spark, SF)
     assert sorted(df.columns) == columns
     assert sorted([rounded(r) for r in df.select(*columns).collect()], key=repr) == expected
+
+
+@pytest.mark.parametrize("name", [n for n, (_, sql) in queries.QUERIES.items() if not sql])
+def test_registered_queries_answer_for_every_document(spark, name):
+    ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+    assert sorted(r["doc_id"] for r in queries.QUERIES[name][0](spark, SF).collect()) == ids
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    rows = corpus_pipeline.run(spark, SF).collect()
+    stayed = {r["doc_id"] for r in rows}
+    assert len(stayed) > 0.5 * len(docs)
+    for r in rows:
+        assert r["ids"] == library.encode(docs[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+    links = brute_links({i: docs[i] for i in stayed})
+    assert not any(links.values())  # no two near copies are left
+    assert max(sum(r["doc_id"] == i for r in rows) for i in stayed) <= 2
