@@ -70,6 +70,7 @@ def chunk_words(text: Column, stop_words: Sequence[str] = JAVA_WORDS) -> Column:
 
 def split_camel_case(token: Column) -> Column:
     """``HTTPClient`` -> ``http client``."""
+    # Fixed value: where a word of a name ends.
     humps = "(?<=[A-Z])(?=[A-Z][a-z])|(?<=[^A-Z])(?=[A-Z])|(?<=[A-Za-z])(?=[^A-Za-z])"
     return F.trim(F.lower(F.regexp_replace(token, humps, " ")))
 

@@ -26,7 +26,7 @@ from qalink.functions import text as X
 from qalink.operators.posts import complete_rows
 from qalink.plans import categories, library_use, tag_mining
 from qalink.sources import archives, tables
-from qalink.sources.scratch import remove_folders
+from qalink.sources.scratch import remove_folders, stored
 from qalink.sources.word_vectors import read_word_vectors
 
 TABLES = {
@@ -53,7 +53,7 @@ class Inputs:
     def __getitem__(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         if name == "vectors":
-            return read_word_vectors(self.spark, path)
+            return stored(read_word_vectors(self.spark, path))  # read several times
         if self.kind == "parquet":
             return tables.read_table(self.spark, path, deal_out=name == "posts")
         if name == "bigrams":
