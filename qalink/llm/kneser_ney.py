@@ -38,9 +38,9 @@ START, END = 0, 1
 #: Rows of the table of probabilities up to which it is broadcast, at 12 bytes each.
 BROADCAST_GRAMS = 4_000_000
 #: Signs that a task works on at once, and of a block beyond the broadcast limit.
-CHUNK_SIGNS = 4_000_000
+CHUNK_SIGNS = 1_000_000
 #: Different 5-grams that a task gathers before it passes them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Units of average text that a document is judged together with, so that a few signs decide little.
 PRIOR_UNITS = 20
 #: One trusted document in so many is not learned from but gives the quantiles.

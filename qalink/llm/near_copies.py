@@ -36,8 +36,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 192
 BLOCK_NODES = 1024
-CHUNK_SIGNS = 2_000_000
-MEMO_WORDS = 400_000
+CHUNK_SIGNS = 1_000_000
+MEMO_WORDS = 200_000
 _COLUMNS = 2048
 
 _WORD = re.compile(r"[^ \t-\r]+").findall
