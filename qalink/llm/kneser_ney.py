@@ -125,7 +125,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for some in slices(texts):
                 gathered.add(*_distinct(grams(texts[some])[0]))
-                if gathered.size > GATHERED // 2:
+                if len(gathered.parts) == 1 and gathered.size > GATHERED // 2:  # merged, and still many
                     yield rows()
         yield rows()
 
@@ -267,8 +267,8 @@ def blocks(docs: DataFrame, signs: int = CHUNK_SIGNS) -> DataFrame:
 
 
 def _by_blocks(packed: DataFrame, table: DataFrame) -> DataFrame:
-    asked = packed.select("block", F.explode("grams").alias("g"))
-    known = asked.join(table.select("g", F.log("p").alias("l")), "g").select("block", "g", "l")
+    asked = packed.select(F.col("block").alias("owner"), F.explode("grams").alias("g"))
+    known = asked.join(table.select("g", F.log("p").alias("l")), "g").select("owner", "g", "l")
 
     def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         order = known["g"].to_numpy().argsort()
@@ -281,7 +281,7 @@ def _by_blocks(packed: DataFrame, table: DataFrame) -> DataFrame:
             out += zip(row.keys, *_sums(cut, keys, logs))
         return pd.DataFrame(out, columns=["key", "logp", "units"]).astype({"logp": "float64", "units": "int64"})
 
-    return packed.drop("grams").groupBy("block").cogroup(known.groupBy("block")).applyInPandas(score, "key string, " + _SCORED)
+    return packed.drop("grams").groupBy("block").cogroup(known.groupBy("owner")).applyInPandas(score, "key string, " + _SCORED)
 
 
 def perplexities(docs: DataFrame, model: Model, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
