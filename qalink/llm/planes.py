@@ -34,7 +34,9 @@ from qalink.llm.merge_automaton import read_vocabulary, split_patterns, word_spl
 BLOCK_IDS = 65_536
 SEGMENT_IDS = 1 << 20
 LEVEL = 3
-MEMO_WORDS = 250_000
+#: Words, and pieces between white space, that a worker remembers before it starts anew.
+MEMO_WORDS = 400_000
+MEMO_PIECES = 800_000
 
 _INDEX = pa.list_(pa.struct([("first_id", pa.int64()), ("n_ids", pa.int32()), ("plane_ends", pa.list_(pa.int64()))]))
 _SEGMENT = pa.schema(
@@ -164,7 +166,7 @@ class LibraryEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MEMO_WORDS:
             self.known.clear()
-        if len(self.pieces) > MEMO_WORDS:
+        if len(self.pieces) > MEMO_PIECES:
             self.pieces.clear()
         # Pieces may still hold other white space, where the tokenizer cuts as well.
         cut = [None if self.whole(text) else text.split() for text in texts]
