@@ -1,6 +1,7 @@
 """Document perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The units are signs: code points below 2,046 stand for themselves, all others share 2,048 classes
+``judge`` scores with the word model of ``word_model``. ``Model`` and ``perplexities`` here are a
+model of signs, which no query uses. Its units are signs: code points below 2,046 stand for themselves, all others share 2,048 classes
 by a fixed hash, and two more mark the start and the end of a document. Five units of 12 bits fit
 one long, so an n-gram is a number, its context is the number without the last 12 bits and its
 suffix the number without the first. Four start marks stand before a document.
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qalink.llm.base import row_key, text_of
+from qalink.llm.word_model import WordModel
 from qalink.operators.joins import lookup_join
 from qalink.sources.scratch import stored
 
@@ -322,9 +324,9 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: flo
     rows = docs.select("doc_id", "lang", row_key().alias("key"), text_of().alias("text"))
     trusted = trusted_ids(labels)
     learn = lookup_join(rows.select("doc_id", "text"), trusted.where("not held_out").select("doc_id"), ["doc_id"], "left_semi")
-    model = Model(learn)
+    model = WordModel(learn)
     named = rows.select(F.to_json(F.struct("key", "doc_id", "lang")).alias("key"), "text")
-    scored = stored(perplexities(named, model))
+    scored = stored(model.scores(named).withColumn("perplexity", F.exp(-F.col("logp") / F.col("units"))))
     kind = f"key string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string"
     scored = scored.select(F.from_json("key", kind).alias("r"), "logp", "units", "perplexity").select("r.*", "logp", "units", "perplexity")
     held = lookup_join(scored, trusted.where("held_out").select("doc_id"), ["doc_id"], "left_semi")
