@@ -66,3 +66,10 @@ def test_quality_drops_repeated_words(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
     kept = [r["doc_id"] for r in kn.kept_documents(docs, labels).collect()]
     assert not [i for i in kept if i >= 1000] and len(kept) >= 290
+
+
+def test_scoring_collects_no_table_of_the_corpus(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words and word{i}.", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("collected"))
+    assert kn.judge(docs, labels).count() == 40
