@@ -1,7 +1,7 @@
 """Replaces personal data by surrogates of the same kind and form.
 
-Found are e-mail addresses, phone numbers, IP addresses, card numbers, long hexadecimal secrets and
-names after a form of address. What identifies a mention is its canonical form (lower case, digits
+Found are e-mail addresses, phone numbers, IP addresses, card and account numbers, social security
+numbers, long hexadecimal secrets and names after a form of address. What identifies a mention is its canonical form (lower case, digits
 without separators), so all mentions of one entity, in all documents, get the same surrogate,
 written in the form of the mention. A surrogate is drawn from a keyed hash of kind and canonical
 form: digits become digits, letters become letters of their script and case, checksums that held
@@ -27,16 +27,28 @@ from qalink.sources.scratch import stored
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος")
+#: Titles that say nothing about gender; names after them are drawn like those after MALE.
+NEUTRAL = ("Dr", "Prof", "Professor", "Doctor")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Κυρία")
 
+#: A part of a name: inner capitals, apostrophes and hyphens belong to it, a possessive 's does not.
+_SIGN = r"(?:['’](?!s(?!\p{L})))?\p{L}"
+_PART = rf"\p{{Lu}}(?:{_SIGN}){{1,40}}(?:-\p{{L}}(?:{_SIGN}){{0,40}}){{0,4}}"
+
 #: What is searched for, in the order in which it is tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?=[0-9A-Fa-f:]{0,39}[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-    "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})(?!\d)",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
-    "name": r"(?<!\p{L})(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
+    "card": r"(?<![\d.])(?:\d{13,19}|\d{4}[ -]\d{6}[ -]\d{5}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})(?!\d)",
+    "iban": r"(?<![\p{L}\p{N}])\p{Lu}{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
+    "ssn": r"(?<![\p{L}\p{N}.-])(?!000|666|9\d\d)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|[.-]\d)",
+    # National forms: three groups of an area code, or a leading 0 and two groups.
+    "national": r"(?<![\p{L}\p{N}+.-])(?<!\d[ )])(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}|0\d{2,4}[ /-]\d{5,8})(?![\p{L}\p{N}]|[.-]\d)",
+    "secret": r"(?<![\p{L}\p{N}])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![\p{L}\p{N}])",
+    "name": r"(?<!\p{L})(?:" + "|".join(MALE + NEUTRAL + FEMALE) + rf")\.? {_PART}(?: {_PART})*(?!\p{{L}})",
 }
 FIND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -145,6 +157,25 @@ def _secret(canonical: Column, numbers: Column) -> Column:
     return F.array_join(F.transform(_signs(canonical), lambda c, i: _pick("0123456789abcdef", F.get(numbers, i))), "")
 
 
+def _hexadecimal(canonical: Column, numbers: Column) -> Column:
+    """Hexadecimal digits anew, none of them 0, and the colons where they are."""
+    return F.array_join(F.transform(_signs(canonical), lambda c, i: F.when(c == ":", c).otherwise(_pick("123456789abcdef", F.get(numbers, i)))), "")
+
+
+def _mod97(text: Column) -> Column:
+    """What is left of an IBAN, its first four signs moved to the end, by 97."""
+    values = F.transform(_signs(F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))), lambda c: F.conv(c, 36, 10).cast("int"))
+    return F.aggregate(values, F.lit(0), lambda a, x: F.pmod(F.when(x > 9, a * 100 + x).otherwise(a * 10 + x), F.lit(97)))
+
+
+def _iban(canonical: Column, numbers: Column) -> Column:
+    """Another account of the same country, valid if this one is."""
+    country, body = F.substring(canonical, 1, 2), _spelled(F.substring(canonical, F.lit(5), F.length(canonical)), numbers)
+    check = F.lit(98) - _mod97(F.concat(country, F.lit("00"), body))
+    other = F.when(_mod97(canonical) == 1, check).otherwise(F.pmod(check + 1, F.lit(97)))
+    return F.concat(country, F.lpad(other.cast("string"), 2, "0"), body)
+
+
 def _name(kind: Column, canonical: Column, attempt: Column, numbers: Column) -> Column:
     """One name of the list of its kind and script; more with every second attempt."""
     script = (
@@ -177,6 +208,9 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, numbers: Column)
         .when(kind == "phone", _phone(canonical, numbers))
         .when(kind == "card", _card(canonical, numbers))
         .when(kind == "secret", _secret(canonical, numbers))
+        .when(kind == "ipv6", _hexadecimal(canonical, numbers))
+        .when(kind.isin("national", "ssn"), _spelled(canonical, numbers))
+        .when(kind == "iban", _iban(canonical, numbers))
         .otherwise(F.lower(_name(kind, canonical, attempt, numbers)))
     )
 
@@ -226,16 +260,19 @@ def _units(kind: Column, mention: Column) -> Column:
         return F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), F.lower(c).alias("canonical"))
 
     digits = F.regexp_replace(mention, r"\D", "")
+    bare = F.regexp_replace(mention, " ", "")
     country = F.regexp_extract(mention, r"^\+(\d+)", 1)
     parts = F.split(mention, " ")
     gender = F.when(F.regexp_replace(F.get(parts, F.lit(0)), r"\.$", "").isin(*FEMALE), "female").otherwise("male")
     last = F.get(parts, F.size(parts) - 1)
     family = unit("family", last)
+    given = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda p: unit(gender, p))
     return (
         F.when(kind == "card", F.array(unit("card", digits)))
         .when(kind == "phone", F.array(unit("phone", F.concat(country, F.lit(":"), F.substring(digits, F.length(country) + 1, F.length(digits))))))
-        .when((kind == "name") & (F.size(parts) == 3), F.array(unit(gender, F.get(parts, F.lit(1))), family))
-        .when(kind == "name", F.array(family))
+        .when(kind.isin("national", "ssn"), F.array(unit(kind, digits)))
+        .when(kind == "iban", F.array(unit("iban", bare)))
+        .when(kind == "name", F.concat(given, F.array(family)))
         .otherwise(F.array(unit(kind, mention)))
     )
 
@@ -245,6 +282,8 @@ def _rendered(kind: Column, mention: Column, made: Column) -> Column:
     one = F.get(made, F.lit(0))
     digits = F.regexp_replace(one, r"\D", "")
     signs = _signs(mention)
+    grouped = F.array_join(F.transform(signs, lambda c, i: F.when(c == " ", c).otherwise(F.upper(F.substring(
+        one, F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), " ", "")), F.lit(1))))), "")
     before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"\D", ""))
     numbered = F.array_join(
         F.transform(signs, lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(digits, before(i), F.lit(1))).otherwise(c)), ""
@@ -260,7 +299,8 @@ def _rendered(kind: Column, mention: Column, made: Column) -> Column:
     capital = F.transform(made, lambda n: F.array_join(F.transform(F.split(n, "-"), lambda p: F.initcap(p)), "-"))
     title = F.substring_index(mention, " ", 1)
     return (
-        F.when(kind.isin("card", "phone"), numbered)
+        F.when(kind.isin("card", "phone", "national", "ssn"), numbered)
+        .when(kind == "iban", grouped)
         .when(kind == "name", F.concat_ws(" ", title, F.array_join(capital, " ")))
         .when(kind == "ip", one)
         .otherwise(cased)
@@ -276,7 +316,7 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
     )
     made = assigned(each.select("kind", "canonical").distinct(), key)
     found = each.join(made, ["kind", "canonical"]).groupBy("mention", "form").agg(
-        F.sort_array(F.collect_list(F.struct("place", "made"))).alias("parts")  # two at most
+        F.sort_array(F.collect_list(F.struct("place", "made"))).alias("parts")  # as many as the name has
     )
     made = F.transform("parts", lambda p: p["made"])
     return found.select("mention", _rendered(F.col("form"), F.col("mention"), made).alias("replacement"))

@@ -213,3 +213,19 @@ def test_quality_keeps_text_like_the_trusted_and_drops_junk(spark):
     kept = [r["doc_id"] for r in kn.kept_documents(docs, labels).collect()]
     assert not [i for i in kept if i >= 1000] and len(kept) >= 195
     assert kn.kept_documents(docs, labels.limit(0)).count() == 220  # nothing trusted, nothing dropped
+
+
+def test_surrogates_of_further_forms(spark):
+    said = {
+        "Mr. Smith-Jones": "Jones", "Mr John Fitzgerald Kennedy": "Kennedy", "Mrs McDonald": "McDonald", "Mr. O'Neil": "Neil",
+        "Dr. Jane Roe": "Roe", "(743) 555-3824": "555-3824", "743-555-3824": "555", "0171 5557713": "5557713",
+        "3782-822463-10005": "822463", "2001:db8::8a2e:370:7334": "8a2e", "DE89 3704 0044 0532 0130 00": "3704",
+        "078-05-1120": "1120", "ab1" * 60: "ab1ab1", "aB3f" * 10: "aB3faB3f",
+    }
+    docs = spark.createDataFrame([(i, f"see {m}, so") for i, m in enumerate(said)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in surrogates.without_personal_data(docs, "k").collect()}
+    for i, (mention, part) in enumerate(said.items()):
+        assert got[i]["replaced"] == 1 and part not in got[i]["text"], mention
+        assert got[i]["text"].startswith("see ") and got[i]["text"].endswith(", so"), mention
+    iban = got[list(said).index("DE89 3704 0044 0532 0130 00")]["text"][4:-4].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
