@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qalink.llm import codebooks, importance, projections
 from qalink.llm import cuckoo, kneser_ney, merge_automaton, mixing, near_copies, norm_search, planes, surrogates, toxic_spans, url_rules
 from qalink.sources.scratch import shared_folder
 
@@ -160,6 +161,21 @@ OP10_SQL = r"""
 """
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, _table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return codebooks.encode(vectors).drop("label")
+
+
+def op13_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return projections.near_vectors(vectors)
+
+
 QUERIES = {
     "op1_surrogates": (op1_surrogates, None),
     "op2_cuckoo_dedup": (op2_cuckoo_dedup, OP2_SQL),
@@ -171,4 +187,7 @@ QUERIES = {
     "op8_kneser_ney": (op8_kneser_ney, None),
     "op9_merge_automaton": (op9_merge_automaton, None),
     "op10_norm_buckets": (op10_norm_buckets, OP10_SQL),
+    "op11_importance_resample": (op11_importance_resample, None),
+    "op12_limb_codes": (op12_limb_codes, None),
+    "op13_projection_collisions": (op13_projection_collisions, None),
 }
