@@ -225,25 +225,107 @@ def _candidates(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int
 
         return vectors.select("word", "vector", "excluded").mapInPandas(search, schema)
 
-    # More queries than one task should hold: blocks of queries meet blocks of words.
-    query_blocks = -(-size // block_bytes)
-    word_blocks = max(1, -(-measured_bytes(vectors) // block_bytes))
+    # More queries than one task should hold: blocks of queries meet blocks of words, where cones allow.
+    return _in_cones(vectors, queries, n, block_bytes, schema, compare)
 
-    def blocks(df: DataFrame, key: str, own: str, count: int, other: str, copies: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(key), F.lit(count)).cast("long").alias(own)
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias(other)
-        return df.select("*", mine, every)
 
-    left = blocks(queries.select("query_id", "vector"), "query_id", "q", query_blocks, "w", word_blocks)
-    right = blocks(vectors.select("word", "vector", "excluded"), "word", "w", word_blocks, "q", query_blocks)
+#: Cells shipped by the last search in blocks, and all cells there were: for tests and reports.
+SHIPPED = {"cells": 0, "all": 0}
+_SLACK = 1e-6
 
-    def meet(some: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+
+def _with_pivot(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``df`` with ``pivot``, the nearest of the unit ``pivots`` by cosine, and ``near``, that cosine (1 for zero vectors)."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _matrix(batch["vector"])
+            norms = np.linalg.norm(x, axis=1)
+            cos = (x @ pivots.T) / np.where(norms > 0, norms, 1.0)[:, None]
+            pivot = np.argmax(cos, axis=1)
+            near = np.where(norms > 0, cos[np.arange(len(x)), pivot], 1.0)
+            yield batch.assign(pivot=pivot.astype(np.int32), near=np.clip(near, -1.0, 1.0))
+
+    return df.mapInPandas(run, f"{fields}, pivot int, near double")
+
+
+def _in_cones(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int, schema: str, compare) -> DataFrame:
+    """The ``n`` best words per query and cell, cells pruned by angle bounds.
+
+    Words and queries join their nearest pivot (pivots: a fixed set of words, one per word block),
+    and are split further where a pivot holds more than a block. A cone per block bounds the angle of
+    its members from the pivot. First each query block meets the word blocks of its own pivot, which
+    gives every query an ``n``-th score; a block of another pivot is shipped to a query block only
+    if the smallest angle between their cones allows a cosine at least that high. Ties survive: the
+    bound is compared with a slack above rounding.
+    """
+    spark = vectors.sparkSession
+    word_bytes, query_bytes = measured_bytes(vectors), measured_bytes(queries)
+    pivot_rows = (vectors.where(F.aggregate("vector", F.lit(0.0), lambda a, v: a + F.abs(v.cast("double"))) > 0)
+                  .orderBy(F.xxhash64("word"), "word").limit(max(1, -(-word_bytes // block_bytes))).collect())
+    if not pivot_rows:
+        return spark.createDataFrame([], schema)
+    pivots = np.array([r["vector"] for r in pivot_rows], np.float64)
+    pivots /= np.linalg.norm(pivots, axis=1)[:, None]
+    words = stored(_with_pivot(vectors.select("word", "vector", "excluded"), pivots))
+    asked = stored(_with_pivot(queries.select("query_id", "vector"), pivots))
+
+    def splits(df: DataFrame, size: int) -> dict[int, tuple[int, float]]:
+        """Per pivot: how many blocks its rows need, and the least cosine of a member."""
+        rows = df.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.min("near").alias("m")).collect()
+        total = sum(r["c"] for r in rows) or 1
+        return {r["pivot"]: (max(1, -(-r["c"] * size // (total * block_bytes))), r["m"]) for r in rows}
+
+    word_split, query_split = splits(words, word_bytes), splits(asked, query_bytes)
+
+    def sub(key: str, split: dict) -> Column:
+        counts = F.array(*[F.lit(split.get(p, (1, 1.0))[0]) for p in range(len(pivots))])
+        return F.pmod(F.xxhash64(key), F.element_at(counts, F.col("pivot") + 1)).cast("int")
+
+    words = words.withColumn("sub", sub("word", word_split))
+    asked = asked.withColumn("sub", sub("query_id", query_split))
+    cones = {(r["pivot"], r["sub"]): r["m"] for r in asked.groupBy("pivot", "sub").agg(F.min("near").alias("m")).collect()}
+
+    def meet(some: pd.DataFrame, them: pd.DataFrame) -> pd.DataFrame:
         best = _Best([*map(_plain, some["query_id"])], _matrix(some["vector"]), n)
-        compare(best, words)
+        compare(best, them)
         rows = best.rows()
-        return rows if len(rows) else pd.DataFrame({"query_id": some["query_id"][:0], "word": words["word"][:0], "score": np.zeros(0)})
-
-    return left.groupBy("q", "w").cogroup(right.groupBy("q", "w")).applyInPandas(meet, schema)
+        return rows if len(rows) else pd.DataFrame({"query_id": some["query_id"][:0], "word": them["word"][:0], "score": np.zeros(0)})
+
+    def search(cells: list[tuple[int, int, int, int]]) -> DataFrame:
+        def table() -> DataFrame:  # one each side, so that the two joins do not share columns
+            return F.broadcast(spark.createDataFrame(cells, "qp int, qs int, wp int, ws int"))
+
+        left = asked.join(table(), (F.col("pivot") == F.col("qp")) & (F.col("sub") == F.col("qs"))).select(
+            "qp", "qs", "wp", "ws", "query_id", "vector")
+        right = words.join(table(), (F.col("pivot") == F.col("wp")) & (F.col("sub") == F.col("ws"))).select(
+            "qp", "qs", "wp", "ws", "word", "vector", "excluded")
+        key = ["qp", "qs", "wp", "ws"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
+
+    blocks = sorted(cones)
+    home_cells = [(p, s, p, w) for p, s in blocks for w in range(word_split.get(p, (0, 1.0))[0]) if p in word_split]
+    home = stored(search(home_cells)) if home_cells else spark.createDataFrame([], schema)
+    # the n-th score of each query at home, and the least of them per query block
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "word")
+    nth = home.withColumn("r", F.row_number().over(order)).where(F.col("r") == n).select("query_id", F.col("score").alias("t"))
+    floor = asked.join(nth, asked["query_id"].eqNullSafe(nth["query_id"]), "left").groupBy("pivot", "sub").agg(
+        F.min(F.coalesce("t", F.lit(-2.0))).alias("t"))
+    least = {(r["pivot"], r["sub"]): r["t"] for r in floor.collect()}
+    angle = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    far_cells = []
+    for p, s in blocks:
+        for wp, (count, near) in word_split.items():
+            if wp == p:
+                continue
+            gap = angle[p, wp] - np.arccos(near) - np.arccos(cones[(p, s)])
+            if np.cos(max(gap, 0.0)) + _SLACK >= least.get((p, s), -2.0):
+                far_cells += [(p, s, wp, w) for w in range(count)]
+    SHIPPED.update(cells=len(home_cells) + len(far_cells), all=len(blocks) * sum(c for c, _ in word_split.values()))
+    return home.unionByName(search(far_cells)) if far_cells else home
 
 
 def nearest_neighbors(

@@ -182,3 +182,16 @@ def test_exclusions_cost_no_candidates(spark, many, block):
     tasks = vectors.rdd.getNumPartitions()
     found = W._candidates(vectors.join(ids, "word", "left"), queries, 5, 1 << 20)
     assert found.count() <= 5 * 2 * tasks
+
+
+def test_search_in_blocks_ships_only_cells_that_cones_allow(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(8, 6)) * 10
+    data = [(f"c{k}_{i:02d}", [float(x) for x in centres[k] + rng.normal(size=6) * 0.2]) for k in range(8) for i in range(40)]
+    data += [("tie_a", data[0][1]), ("tie_b", data[0][1])]  # equal scores: ties go to the smaller word
+    vectors = spark.createDataFrame(data, "word string, vector array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, data[i * 9][1]) for i in range(30)], "query_id long, vector array<double>")
+    whole = W.nearest_neighbors(vectors, queries, 5)
+    blocks = W.nearest_neighbors(vectors, queries, 5, block_bytes=2000)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect()))
+    assert 0 < W.SHIPPED["cells"] < W.SHIPPED["all"] / 2
