@@ -127,31 +127,26 @@ def n_similarity(words: DataFrame, vectors: DataFrame, keys: Sequence[str], side
 
 
 class _Best:
-    """Running best ``n`` words per query: highest score first, then the smaller word."""
+    """Running best ``n`` words per query: highest score first, then the smaller word.
 
-    def __init__(self, ids, matrix: np.ndarray, n: int) -> None:
+    ``barred``: for each query the words that are no answer to it, or None.
+    """
+
+    def __init__(self, ids, matrix: np.ndarray, n: int, barred: Sequence | None = None) -> None:
         norms = np.linalg.norm(matrix, axis=1)
         usable = norms > 0
         self.ids = [i for i, ok in zip(ids, usable) if ok]
         self.units = matrix[usable] / norms[usable, None]
         self.n = n
-        self.places: dict = {}
-        for row, i in enumerate(self.ids):
-            self.places.setdefault(i, []).append(row)
+        given = [None] * len(usable) if barred is None else list(barred)
+        self.barred = [None if b is None else np.asarray(list(b), dtype=object) for b, ok in zip(given, usable) if ok]
         self.best = [(np.empty(0, dtype=object), np.empty(0)) for _ in self.ids]
 
-    def add(self, words: np.ndarray, matrix: np.ndarray, excluded: Sequence = ()) -> None:
-        """``excluded``: for each word the queries it is no answer to, or None."""
+    def add(self, words: np.ndarray, matrix: np.ndarray) -> None:
         if not len(words) or not self.ids:
             return
         norms = np.linalg.norm(matrix, axis=1)
         usable = norms > 0
-        barred: dict[int, list[int]] = {}
-        places = self.places
-        for at, ids in enumerate([e for e, ok in zip(excluded, usable) if ok]):
-            for i in () if ids is None else ids:
-                for row in places.get(i, ()):
-                    barred.setdefault(row, []).append(at)
         words, units = words[usable], matrix[usable] / norms[usable, None]
         if not len(words):
             return
@@ -159,9 +154,8 @@ class _Best:
         for start in range(0, len(self.ids), step):
             block = np.round(self.units[start : start + step] @ units.T, 9)
             for row, scores in enumerate(block, start):
-                if row in barred:
-                    left = np.ones(len(words), bool)
-                    left[barred[row]] = False
+                if self.barred[row] is not None and len(self.barred[row]):
+                    left = ~np.isin(words, self.barred[row])
                     self._keep(row, words[left], scores[left])
                 else:
                     self._keep(row, words, scores)
@@ -193,7 +187,8 @@ def _plain(value):
 def _candidates(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int) -> DataFrame:
     """The ``n`` best words per query and task, as ``query_id, word, score``.
 
-    ``vectors(word, vector, excluded)``; ``excluded`` lists the queries the word is no answer to.
+    ``queries(query_id, vector, excluded)``; ``excluded`` lists the words that are no answer to the
+    query: its own input, so no row grows with the number of queries that exclude a word.
     """
     spark = vectors.sparkSession
     query_type = queries.schema["query_id"].dataType.simpleString()
@@ -201,8 +196,7 @@ def _candidates(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int
     size = measured_bytes(queries)
 
     def compare(best: _Best, batch: pd.DataFrame) -> None:
-        excluded = [None if e is None else [*map(_plain, e)] for e in batch["excluded"]]
-        best.add(batch["word"].to_numpy(dtype=object), _matrix(batch["vector"]), excluded)
+        best.add(batch["word"].to_numpy(dtype=object), _matrix(batch["vector"]))
 
     def found(best: _Best) -> Iterator[pd.DataFrame]:
         rows = best.rows()
@@ -214,16 +208,17 @@ def _candidates(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int
         if not held:
             return spark.createDataFrame([], schema)
         shared = spark.sparkContext.broadcast(
-            ([r["query_id"] for r in held], np.array([r["vector"] for r in held], np.float64))
+            ([r["query_id"] for r in held], np.array([r["vector"] for r in held], np.float64), n,
+             [r["excluded"] for r in held])
         )
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(*shared.value, n)
+            best = _Best(*shared.value)
             for batch in batches:
                 compare(best, batch)
             yield from found(best)
 
-        return vectors.select("word", "vector", "excluded").mapInPandas(search, schema)
+        return vectors.select("word", "vector").mapInPandas(search, schema)
 
     # More queries than one task should hold: blocks of queries meet blocks of words, where cones allow.
     return _in_cones(vectors, queries, n, block_bytes, schema, compare)
@@ -270,8 +265,8 @@ def _in_cones(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int,
         return spark.createDataFrame([], schema)
     pivots = np.array([r["vector"] for r in pivot_rows], np.float64)
     pivots /= np.linalg.norm(pivots, axis=1)[:, None]
-    words = stored(_with_pivot(vectors.select("word", "vector", "excluded"), pivots))
-    asked = stored(_with_pivot(queries.select("query_id", "vector"), pivots))
+    words = stored(_with_pivot(vectors.select("word", "vector"), pivots))
+    asked = stored(_with_pivot(queries.select("query_id", "vector", "excluded"), pivots))
 
     def splits(df: DataFrame, size: int) -> dict[int, tuple[int, float]]:
         """Per pivot: how many blocks its rows need, and the least cosine of a member."""
@@ -290,7 +285,7 @@ def _in_cones(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int,
     cones = {(r["pivot"], r["sub"]): r["m"] for r in asked.groupBy("pivot", "sub").agg(F.min("near").alias("m")).collect()}
 
     def meet(some: pd.DataFrame, them: pd.DataFrame) -> pd.DataFrame:
-        best = _Best([*map(_plain, some["query_id"])], _matrix(some["vector"]), n)
+        best = _Best([*map(_plain, some["query_id"])], _matrix(some["vector"]), n, some["excluded"])
         compare(best, them)
         rows = best.rows()
         return rows if len(rows) else pd.DataFrame({"query_id": some["query_id"][:0], "word": them["word"][:0], "score": np.zeros(0)})
@@ -300,9 +295,9 @@ def _in_cones(vectors: DataFrame, queries: DataFrame, n: int, block_bytes: int,
             return F.broadcast(spark.createDataFrame(cells, "qp int, qs int, wp int, ws int"))
 
         left = asked.join(table(), (F.col("pivot") == F.col("qp")) & (F.col("sub") == F.col("qs"))).select(
-            "qp", "qs", "wp", "ws", "query_id", "vector")
+            "qp", "qs", "wp", "ws", "query_id", "vector", "excluded")
         right = words.join(table(), (F.col("pivot") == F.col("wp")) & (F.col("sub") == F.col("ws"))).select(
-            "qp", "qs", "wp", "ws", "word", "vector", "excluded")
+            "qp", "qs", "wp", "ws", "word", "vector")
         key = ["qp", "qs", "wp", "ws"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
 
@@ -339,20 +334,23 @@ def nearest_neighbors(
     """The ``n`` words closest to each query by cosine: ``query_id, word, score, rank``.
 
     ``queries(query_id, vector)``; ``in_set(word)`` limits the words; ``out_set(query_id, word)``
-    excludes words per query, of a null ``query_id`` too. Each word brings the queries it is excluded
-    from to its task, so a task keeps and passes on ``n`` rows per query, however long the lists are.
+    excludes words per query, of a null ``query_id`` too. Each query brings the words it excludes to
+    its task, so that a task keeps and passes on ``n`` rows per query, and a word excluded by very
+    many queries is still one row of its own.
     A query with a zero or null vector has no result.
     """
     words = vectors.select("word", "vector")
     if in_set is not None:
         words = lookup_join(words, in_set.select("word").distinct(), ["word"], "left_semi")
+    asked = queries.where("vector is not null").select("query_id", "vector")
     if out_set is None:
-        words = words.withColumn("excluded", F.lit(None).cast(f"array<{queries.schema['query_id'].dataType.simpleString()}>"))
+        asked = asked.withColumn("excluded", F.lit(None).cast("array<string>"))
     else:
-        # Structs keep a null id, which the collecting of plain values would lose.
-        ids = F.transform(F.collect_set(F.struct("query_id")), lambda e: e["query_id"]).alias("excluded")
-        words = lookup_join(words, out_set.groupBy("word").agg(ids), ["word"], "left")
-    found = _candidates(words, queries.where("vector is not null"), n, block_bytes)
+        # each query's own exclusions: as long as its input, however many queries exclude a word
+        own = out_set.where(F.col("word").isNotNull()).groupBy(F.col("query_id").alias("_q")).agg(
+            F.collect_set("word").alias("excluded"))
+        asked = asked.join(own, asked["query_id"].eqNullSafe(own["_q"]), "left").drop("_q")
+    found = _candidates(words, asked, n, block_bytes)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "word")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

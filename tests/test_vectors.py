@@ -178,12 +178,21 @@ def test_exclusions_cost_no_candidates(spark, many, block):
     out = spark.createDataFrame([(i, w) for i in (1, None) for w in every if w not in left], "query_id long, word string")
     got = W.nearest_neighbors(vectors, queries, 5, out_set=out, block_bytes=block).collect()
     assert len(got) == 10 and {r["word"] for r in got} <= set(left)
-    ids = spark.createDataFrame([], "query_id long, word string").groupBy("word").agg(F.collect_set("query_id").alias("excluded"))
+    barred = queries.withColumn("excluded", F.array(*[F.lit(w) for w in every if w not in left]))
     tasks = vectors.rdd.getNumPartitions()
-    found = W._candidates(vectors.join(ids, "word", "left"), queries, 5, 1 << 20)
+    found = W._candidates(vectors, barred, 5, 1 << 20)
     assert found.count() <= 5 * 2 * tasks
 
 
+def test_a_word_excluded_by_very_many_queries_is_one_row(spark, many):
+    data, vectors = many
+    queries = spark.range(20000).select(F.col("id").alias("query_id"), F.array(*[F.lit(x) for x in data[3][1]]).alias("vector"))
+    out = queries.select("query_id", F.lit(data[3][0]).alias("word"))  # every query excludes the same word
+    got = W.nearest_neighbors(vectors, queries, 2, out_set=out)
+    assert got.count() == 40000 and got.where(F.col("word") == data[3][0]).isEmpty()
+    assert got.groupBy("query_id").agg(F.array_sort(F.collect_list("word")).alias("w")).select("w").distinct().count() == 1
+
+
 def test_search_in_blocks_ships_only_cells_that_cones_allow(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(8, 6)) * 10
