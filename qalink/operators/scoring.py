@@ -52,7 +52,10 @@ def closest_category(
             lambda s: F.struct((-F.round(s, 9)).alias("_order"), e["category"].alias("category"), s.alias("similarity")),
         )
 
-    best = met.groupBy(*keys).agg(F.min(F.array_min(F.transform("_block", scored))).alias("_best"))
+    if blocks == 1:  # one row per key already: no second grouping
+        best = met.select(*keys, F.array_min(F.transform("_block", scored)).alias("_best"))
+    else:
+        best = met.groupBy(*keys).agg(F.min(F.array_min(F.transform("_block", scored))).alias("_best"))
     return best.select(*keys, "_best.category", "_best.similarity")
 
 

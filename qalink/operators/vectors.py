@@ -10,6 +10,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from qalink.functions import vectors as V
@@ -58,26 +60,22 @@ def pair_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return with_vectors(first, vectors, word="word_b", vector="vector_b")
 
 
-def _sums(size: int, column: str = "vector", weight: str | None = None) -> list[Column]:
-    # As text: one call per column to the JVM instead of several.
-    times = f" * {weight}" if weight else ""
-    return [F.expr(f"sum(cast(get({column}, {i}) as double){times}) as _{i}") for i in range(size)]
+def vector_sum(column: str = "vector", weight: str | None = None) -> Column:
+    """Aggregate: the element-wise sum of ``column`` (times ``weight``), as an array of doubles.
 
-
-def elements(first: int, last: int) -> Column:
-    """The columns ``_first … _last-1`` of :func:`summed` as one array."""
-    return F.expr("array(" + ", ".join(f"_{i}" for i in range(first, last)) + ")")
+    One typed aggregate for the whole vector: partial sums form in the map tasks (a key costs one
+    row per task in the shuffle, whatever its number of words), and the plan stays one expression
+    whatever the dimension. Null vectors add nothing.
+    """
+    vector = array_to_vector(F.col(column).cast("array<double>"))
+    summary = Summarizer.metrics("sum")
+    whole = summary.summary(vector, F.col(weight).cast("double")) if weight else summary.summary(vector)
+    return vector_to_array(whole.getField("sum"))
 
 
-def summed(
-    rows: DataFrame, keys: Sequence[str], size: int, column: str = "vector", weight: str | None = None
-) -> DataFrame:
-    """Element-wise sums of ``column`` per key, as columns ``_0 … _size-1``.
-
-    One plain sum per element: partial sums form in the map tasks, so a key costs one row per
-    task in the shuffle no matter how many words it has.
-    """
-    return rows.groupBy(*keys).agg(*_sums(size, column, weight))
+def summed(rows: DataFrame, keys: Sequence[str], column: str = "vector", weight: str | None = None) -> DataFrame:
+    """Element-wise sums of ``column`` per key, as ``keys…, vector``."""
+    return rows.where(F.col(column).isNotNull()).groupBy(*keys).agg(vector_sum(column, weight).alias("vector"))
 
 
 def vector_sums(
@@ -91,38 +89,33 @@ def vector_sums(
 
     ``known_only`` skips unknown words instead. ``weight`` names a column of repeat counts.
     """
-    size = dimension(vectors)
-    array = elements(0, size).alias("vector")
     if known_only:
-        return summed(with_vectors(words, vectors), keys, size, weight=weight).select(*keys, array)
+        return summed(with_vectors(words, vectors), keys, weight=weight)
+    size = dimension(vectors)
     unknown = F.count_if(F.col("vector").isNull()).alias("_unknown")
-    per_key = with_vectors(words, vectors, "left").groupBy(*keys).agg(unknown, *_sums(size, weight=weight))
-    return per_key.where(F.col("_unknown") == 0).select(*keys, array)
+    known = F.coalesce(F.col("vector").cast("array<double>"), F.array_repeat(F.lit(0.0), size)).alias("_known")
+    per_key = with_vectors(words, vectors, "left").select("*", known).groupBy(*keys).agg(
+        unknown, vector_sum("_known", weight).alias("vector"))
+    return per_key.where(F.col("_unknown") == 0).select(*keys, "vector")
 
 
 def sentence_vectors(
     words: DataFrame, vectors: DataFrame, keys: Sequence[str], weight: str | None = None
 ) -> DataFrame:
     """Unit vector of the known words per key; none when nothing is known or the sum is zero."""
-    size = dimension(vectors)
-    sums = summed(with_vectors(words, vectors), keys, size, weight=weight)
-    return sums.select(*keys, V.normalize(elements(0, size)).alias("vector")).where("vector is not null")
+    sums = summed(with_vectors(words, vectors), keys, weight=weight)
+    return sums.select(*keys, V.normalize(F.col("vector")).alias("vector")).where("vector is not null")
 
 
 def n_similarity(words: DataFrame, vectors: DataFrame, keys: Sequence[str], side: str = "side") -> DataFrame:
     """Dot product of the sentence vectors of the two sides (``a`` and ``b``) of each key."""
     size = dimension(vectors)
     both = with_vectors(words, vectors)
-    sums = [
-        F.expr(f"sum(if({side} = '{name}', cast(get(vector, {i}) as double), 0.0D)) as {name}_{i}")
-        for name in ("a", "b")
-        for i in range(size)
-    ]
-
-    def unit(name: str) -> Column:
-        return V.normalize(F.expr("array(" + ", ".join(f"{name}_{i}" for i in range(size)) + ")"))
-
-    units = both.groupBy(*keys).agg(*sums).select(*keys, unit("a").alias("a"), unit("b").alias("b"))
+    zero = F.array_repeat(F.lit(0.0), size)
+    sides = [F.when(F.col(side) == name, F.col("vector").cast("array<double>")).otherwise(zero).alias(f"_{name}")
+             for name in ("a", "b")]
+    sums = both.select(*keys, *sides).groupBy(*keys).agg(vector_sum("_a").alias("a"), vector_sum("_b").alias("b"))
+    units = sums.select(*keys, V.normalize(F.col("a")).alias("a"), V.normalize(F.col("b")).alias("b"))
     return units.where("a is not null and b is not null").select(*keys, V.dot(F.col("a"), F.col("b")).alias("similarity"))
 
 

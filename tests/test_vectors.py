@@ -204,3 +204,17 @@ def test_search_in_blocks_ships_only_cells_that_cones_allow(spark):
     blocks = W.nearest_neighbors(vectors, queries, 5, block_bytes=2000)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect()))
     assert 0 < W.SHIPPED["cells"] < W.SHIPPED["all"] / 2
+
+
+def test_sums_of_wide_vectors_are_one_aggregate(spark):
+    rng = np.random.default_rng(2)
+    data = [(f"w{i}", [float(x) for x in rng.normal(size=300)]) for i in range(50)]
+    vectors = spark.createDataFrame(data, "word string, vector array<double>")
+    words = spark.createDataFrame([(i % 7, f"w{i}", 1 + i % 3) for i in range(50)], "k long, word string, times long")
+    sums = W.vector_sums(words, vectors, ["k"], weight="times")
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and plan.count("sum(") == 0
+    got = {r["k"]: np.array(r["vector"]) for r in sums.collect()}
+    for k in range(7):
+        want = sum((1 + i % 3) * np.array(data[i][1]) for i in range(50) if i % 7 == k)
+        assert np.allclose(got[k], want, atol=1e-9)
