@@ -171,6 +171,80 @@ def op12_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.encode(vectors).drop("label")
 
 
+OP12_SQL = r"""
+  WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+             FROM embeddings
+             WHERE embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))
+                                                   OR abs(CAST(x AS DOUBLE)) >= 131072)) = 0),
+       f AS (SELECT len(w) AS dims FROM v ORDER BY vec_id NULLS LAST, w LIMIT 1),
+       k AS (SELECT row_number() OVER () AS r, vec_id, label, w, dims // 4 AS width FROM v, f
+             WHERE len(w) = dims AND dims % 4 = 0 AND dims > 0),
+       p AS (SELECT r, part, list_slice(w, part * width + 1, (part + 1) * width) AS x FROM k, range(4) t(part)),
+       u AS (SELECT r, part, unnest(x) AS val, unnest(range(1, len(x) + 1)) AS pos FROM p),
+       c0 AS (SELECT part, e - 1 AS entry, x
+              FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, w) AS e
+                    FROM p JOIN k USING (r))
+              WHERE e <= 256),
+       a1 AS (SELECT r, part, entry, dist FROM (
+                SELECT p.r, p.part, c.entry,
+                       list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist,
+                       row_number() OVER (PARTITION BY p.r, p.part
+                         ORDER BY list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), c.entry) AS rn
+                FROM p JOIN c0 c USING (part)) WHERE rn = 1),
+       c1 AS (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c0 c LEFT JOIN (
+                SELECT part, entry, list(CAST(floor(s / cnt) AS BIGINT) ORDER BY pos) AS x
+                FROM (SELECT a.part, a.entry, u.pos, sum(u.val) AS s, count(*) AS cnt
+                      FROM a1 a JOIN u USING (r, part) GROUP BY a.part, a.entry, u.pos) GROUP BY part, entry) n
+              USING (part, entry)),
+       a2 AS (SELECT r, part, entry, dist FROM (
+                SELECT p.r, p.part, c.entry,
+                       list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist,
+                       row_number() OVER (PARTITION BY p.r, p.part
+                         ORDER BY list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), c.entry) AS rn
+                FROM p JOIN c1 c USING (part)) WHERE rn = 1),
+       c2 AS (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c1 c LEFT JOIN (
+                SELECT part, entry, list(CAST(floor(s / cnt) AS BIGINT) ORDER BY pos) AS x
+                FROM (SELECT a.part, a.entry, u.pos, sum(u.val) AS s, count(*) AS cnt
+                      FROM a2 a JOIN u USING (r, part) GROUP BY a.part, a.entry, u.pos) GROUP BY part, entry) n
+              USING (part, entry)),
+       a3 AS (SELECT r, part, entry, dist FROM (
+                SELECT p.r, p.part, c.entry,
+                       list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist,
+                       row_number() OVER (PARTITION BY p.r, p.part
+                         ORDER BY list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), c.entry) AS rn
+                FROM p JOIN c2 c USING (part)) WHERE rn = 1),
+       c3 AS (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c2 c LEFT JOIN (
+                SELECT part, entry, list(CAST(floor(s / cnt) AS BIGINT) ORDER BY pos) AS x
+                FROM (SELECT a.part, a.entry, u.pos, sum(u.val) AS s, count(*) AS cnt
+                      FROM a3 a JOIN u USING (r, part) GROUP BY a.part, a.entry, u.pos) GROUP BY part, entry) n
+              USING (part, entry)),
+       a4 AS (SELECT r, part, entry, dist FROM (
+                SELECT p.r, p.part, c.entry,
+                       list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist,
+                       row_number() OVER (PARTITION BY p.r, p.part
+                         ORDER BY list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), c.entry) AS rn
+                FROM p JOIN c3 c USING (part)) WHERE rn = 1),
+       c4 AS (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c3 c LEFT JOIN (
+                SELECT part, entry, list(CAST(floor(s / cnt) AS BIGINT) ORDER BY pos) AS x
+                FROM (SELECT a.part, a.entry, u.pos, sum(u.val) AS s, count(*) AS cnt
+                      FROM a4 a JOIN u USING (r, part) GROUP BY a.part, a.entry, u.pos) GROUP BY part, entry) n
+              USING (part, entry)),
+       a5 AS (SELECT r, part, entry, dist FROM (
+                SELECT p.r, p.part, c.entry,
+                       list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist,
+                       row_number() OVER (PARTITION BY p.r, p.part
+                         ORDER BY list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), c.entry) AS rn
+                FROM p JOIN c4 c USING (part)) WHERE rn = 1),
+       o AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error
+             FROM a5 GROUP BY r),
+       d AS (SELECT sha256(string_agg(CAST(val AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+             FROM (SELECT part, entry, unnest(x) AS val, unnest(range(len(x))) AS pos FROM c4))
+  SELECT k.vec_id, o.code, o.error, CAST(sum(o.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, d.codebooks_sha256
+  FROM o JOIN k USING (r), d
+"""
+
+
 def op13_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return projections.near_vectors(vectors)
@@ -188,6 +262,6 @@ QUERIES = {
     "op9_merge_automaton": (op9_merge_automaton, None),
     "op10_norm_buckets": (op10_norm_buckets, OP10_SQL),
     "op11_importance_resample": (op11_importance_resample, None),
-    "op12_limb_codes": (op12_limb_codes, None),
+    "op12_limb_codes": (op12_limb_codes, OP12_SQL),
     "op13_projection_collisions": (op13_projection_collisions, None),
 }
