@@ -50,15 +50,26 @@ def library_versions(versions: DataFrame) -> DataFrame:
 def library_names(libraries: DataFrame, info: DataFrame) -> DataFrame:
     """Name of the library whose address ends with ``group/artifact``; the smallest one if several do.
 
-    Every suffix of an address is listed once and joined by equality, so the work follows the
-    length of the addresses instead of the number of pairs.
+    An address that ends with ``group/artifact`` has ``artifact``'s last segment as its own last
+    segment, so addresses and libraries meet by equality on that segment, one row per address, and
+    the whole suffix is tested after; a segment shared by very many addresses is dealt out over
+    many tasks. A library whose ``group/artifact`` has no ``/`` (a null part) lies within the last
+    segment; for those only, the address lists the suffixes of its last segment.
     """
     keys = libraries.select("group_id", "artifact_id").distinct()
-    keys = keys.withColumn("suffix", F.concat_ws("/", "group_id", "artifact_id"))
+    keys = keys.withColumn("suffix", F.concat_ws("/", "group_id", "artifact_id")).where(F.length("suffix") > 0)
     addresses = info.groupBy("url").agg(F.min("name").alias("name")).where(F.length("url") > 0)
-    suffixes = F.transform(F.sequence(F.lit(1), F.length("url")), lambda i: F.col("url").substr(i, F.length("url")))
-    listed = addresses.select("name", F.explode(suffixes).alias("suffix"))
-    return lookup_join(listed, keys, ["suffix"]).groupBy("group_id", "artifact_id").agg(F.min("name").alias("name"))
+    addresses = addresses.withColumn("segment", F.substring_index("url", "/", -1))
+    whole = keys.where(F.col("suffix").contains("/")).withColumn("segment", F.substring_index("suffix", "/", -1))
+    found = lookup_join(addresses, whole, ["segment"]).where(F.col("url").endswith(F.col("suffix")))
+    inner = keys.where(~F.col("suffix").contains("/"))
+    if not inner.isEmpty():
+        ends = F.transform(F.sequence(F.lit(1), F.greatest(F.length("segment"), F.lit(1))),
+                           lambda i: F.col("segment").substr(i, F.length("segment")))
+        listed = addresses.where(F.length("segment") > 0).select("url", "name", F.explode(ends).alias("suffix"))
+        found = found.select("group_id", "artifact_id", "name").unionByName(
+            lookup_join(listed, inner, ["suffix"]).select("group_id", "artifact_id", "name"))
+    return found.groupBy("group_id", "artifact_id").agg(F.min("name").alias("name"))
 
 
 def with_coordinates(df: DataFrame, libraries: DataFrame, version: bool = False) -> DataFrame:

@@ -84,3 +84,22 @@ def test_archives(spark, tmp_path, rows):
     assert entries.count() == 6
     assert rows(L.import_lines(entries), "symbol") == [("import org.*;",), ("import org.foo.*;",)]
     assert rows(L.archive_classes(entries), "class_name") == [("org.foo.A$B",)]
+
+
+def test_names_by_last_segment_equal_every_suffix(spark):
+    urls = [(f"n{i}", f"http://h/{g}/{a}") for i, (g, a) in enumerate([("org.x", "core"), ("com.y", "core"), ("y", "core"),
+                                                                       ("z", "io-core"), ("q", "a/b")])]
+    urls += [(f"m{i}", "http://h/org.x/core") for i in range(30)] + [("e", "http://h/ends/"), ("f", "")]
+    info = spark.createDataFrame(urls, "name string, url string")
+    keys = [("org.x", "core"), ("x", "core"), ("y", "core"), (None, "core"), ("q", "a/b"), ("a", "b"), (None, None), ("ends", "")]
+    libraries = spark.createDataFrame(keys, "group_id string, artifact_id string")
+    got = sorted(map(tuple, L.library_names(libraries, info).collect()), key=repr)
+    want = {}
+    for g, a in set(keys):
+        suffix = "/".join(p for p in (g, a) if p is not None)
+        names = [n for n, u in urls if suffix and u and u.endswith(suffix)]
+        if names:
+            want[(g, a)] = min(names)
+    assert got == sorted(((g, a, n) for (g, a), n in want.items()), key=repr)
+    whole = spark.createDataFrame(keys[:3], "group_id string, artifact_id string")
+    assert "Generate" not in L.library_names(whole, info)._jdf.queryExecution().executedPlan().toString()
