@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qalink.functions import text as X
-from qalink.operators.joins import lookup_join
+from qalink.operators.joins import lookup_join, measured_bytes
 from qalink.sources.scratch import stored
 
 UNSEEN, NOT_VALID, VALID = 0, 1, 2
@@ -41,11 +41,25 @@ def selected_tags(labelled: DataFrame) -> DataFrame:
     return labelled.select(F.explode(F.filter(sides, lambda t: t.isNotNull())).alias("tag")).distinct()
 
 
+#: Chosen tags up to this measured size are tested inside each row, as a set in the plan.
+TAGS_IN_PLAN_BYTES = 1024 * 1024
+
+
 def posts_with_tags(posts: DataFrame, tags: DataFrame) -> DataFrame:
-    """Distinct posts having at least one of ``tags``."""
+    """Distinct posts having at least one of ``tags``.
+
+    A set of chosen tags of a bounded, measured size is tested inside each row (Spark turns the
+    literal list into a hash set): no explode, no join, one distinct. A larger set is joined.
+    """
     columns = posts.columns
+    chosen = stored(tags.select("tag").where(F.col("tag").isNotNull()).distinct())
+    if measured_bytes(chosen) <= TAGS_IN_PLAN_BYTES:
+        wanted = [r["tag"] for r in chosen.collect()]
+        if not wanted:
+            return posts.limit(0)
+        found = F.exists(X.parse_tags(F.col("tags")), lambda t: t.isin(*wanted))
+        return posts.where(F.coalesce(found, F.lit(False))).distinct()
     exploded = posts.distinct().withColumn("tag", F.explode(F.array_distinct(X.parse_tags(F.col("tags")))))
-    chosen = stored(tags.select("tag").distinct())
     return lookup_join(exploded, chosen, ["tag"], "left_semi").select(*columns).distinct()
 
 

@@ -81,3 +81,14 @@ def test_bigrams_are_ordered_and_unique(spark):
     assert all(a < b for a, b, _ in got)
     assert len({(a, b) for a, b, _ in got}) == len(got)
     assert {(a, b): n for a, b, n in got}[("a", "b")] == 3
+
+
+def test_posts_with_few_chosen_tags_need_no_explode_and_one_distinct(spark):
+    from qalink.operators import tags as G
+
+    posts = spark.createDataFrame([(1, "<a><b>"), (1, "<a><b>"), (2, "<c>"), (3, None), (4, "<b><b>")], "question_id long, tags string")
+    chosen = spark.createDataFrame([("b",), (None,), ("z",)], "tag string")
+    found = G.posts_with_tags(posts, chosen)
+    plan = found._jdf.queryExecution().executedPlan().toString()  # before it runs: one plan
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, "<a><b>"), (4, "<b><b>")]
