@@ -12,14 +12,26 @@ from qalink.operators.joins import lookup_join, measured_bytes
 from qalink.sources.scratch import stored
 
 UNSEEN, NOT_VALID, VALID = 0, 1, 2
+#: Sets of tags up to this measured size are tested inside each row, as a hash set in the plan.
+TAGS_IN_PLAN_BYTES = 1024 * 1024
 
 
 def tag_bigrams(
     posts: DataFrame, excluded: Sequence[str] = X.GENERAL_TAGS, above: int = 5
 ) -> DataFrame:
-    """Tag pairs found in more than ``above`` distinct tag strings, with that number."""
+    """Tag pairs found in more than ``above`` distinct tag strings, with that number.
+
+    A tag in at most ``above`` distinct strings can stand in no such pair: when the tags that can
+    (measured) are few enough to test inside each row, the others leave every list before pairing.
+    """
     lists = posts.select("tags").distinct()
-    pairs = lists.select(F.explode(X.tag_pairs(X.parse_tags(F.col("tags"), excluded))).alias("p"))
+    parsed = lists.select(X.parse_tags(F.col("tags"), excluded).alias("t"))
+    counted = parsed.select(F.explode(F.array_distinct("t")).alias("tag")).groupBy("tag").count()
+    frequent = stored(counted.where(F.col("count") > above).select("tag"))
+    if measured_bytes(frequent) <= TAGS_IN_PLAN_BYTES:
+        wanted = [r["tag"] for r in frequent.collect()]
+        parsed = parsed.select(F.filter("t", lambda x: x.isin(*wanted)).alias("t")) if wanted else parsed.limit(0)
+    pairs = parsed.select(F.explode(X.tag_pairs(F.col("t"))).alias("p"))
     counts = pairs.groupBy("p.tag_a", "p.tag_b").agg(F.count(F.lit(1)).alias("count"))
     return counts.where(F.col("count") > above)
 
@@ -41,10 +53,6 @@ def selected_tags(labelled: DataFrame) -> DataFrame:
     return labelled.select(F.explode(F.filter(sides, lambda t: t.isNotNull())).alias("tag")).distinct()
 
 
-#: Chosen tags up to this measured size are tested inside each row, as a set in the plan.
-TAGS_IN_PLAN_BYTES = 1024 * 1024
-
-
 def posts_with_tags(posts: DataFrame, tags: DataFrame) -> DataFrame:
     """Distinct posts having at least one of ``tags``.
 
