@@ -91,7 +91,10 @@ def elements(html: Column, tag: str) -> Column:
 
         return F.transform(starts, one)
 
-    return let(visible(html), cut)
+    # Removing comments and scripts joins text but makes no letters: without the tag's name
+    # anywhere, a text has no such element, and the scan is left to the texts that have it.
+    named = F.translate(html, _MARK, "").rlike(rf"(?i){tag}")
+    return F.when(named, let(visible(html), cut)).otherwise(F.when(html.isNotNull(), none))
 
 
 def decode_entities(text: Column) -> Column:
