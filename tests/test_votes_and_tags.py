@@ -92,21 +92,3 @@ def test_posts_with_few_chosen_tags_need_no_explode_and_one_distinct(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()  # before it runs: one plan
     assert "Generate" not in plan and plan.count("Exchange") == 1
     assert sorted(map(tuple, found.collect())) == [(1, "<a><b>"), (4, "<b><b>")]
-
-
-def test_rare_tags_leave_before_pairing(spark):
-    from qalink.operators import tags as G
-
-    lists = [f"<t{i}><a><b><c><x{i}><y{i}>" for i in range(40)] + ["<a><a>"] * 3 + [f"<a><a><z{i}>" for i in range(6)]
-    posts = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "question_id long, tags string")
-    got = sorted(map(tuple, G.tag_bigrams(posts, (), 5).collect()))
-    want = {}
-    for t in set(lists):
-        tags = sorted(t[1:-1].split("><"))
-        for p in {(a, b) for i, a in enumerate(tags) for b in tags[i + 1:]}:
-            want[p] = want.get(p, 0) + 1
-    assert got == sorted((a, b, n) for (a, b), n in want.items() if n > 5)
-    import re
-
-    plan = G.tag_bigrams(posts, (), 5)._jdf.queryExecution().optimizedPlan().toString()
-    assert [set(m.split(",")) for m in re.findall(r" IN \(([^)]*)\)", plan)] == [{"a", "b", "c"}]  # all else leaves
