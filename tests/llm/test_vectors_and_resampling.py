@@ -177,3 +177,14 @@ def test_near_vectors_find_planted_copies_and_a_dense_cluster(spark):
     got = sorted(map(tuple, projections.near_vectors(vectors).collect()), key=repr)
     assert got == _links_by_hand(rows)
     assert projections.near_vectors(vectors.limit(0)).collect() == []
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one two", 5, "x", 7), (2, None, 1, "y", 8)],
+                                 "doc_id long, text string, score long, `rank` string, _p int")
+    bench = spark.createDataFrame([("two", 1)], "text string, buckets int")
+    assert sorted(r["doc_id"] for r in importance.resample(docs, bench).collect()) == [1, 2]
+    vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 1.0], 0, "a", 3), (2, [1.0, 0.0, 0.0, 1.0], 0, "b", 4)],
+                                    "vec_id long, embedding array<double>, label int, x string, rep int")
+    assert [r["n_links"] for r in projections.near_vectors(vectors).orderBy("vec_id").collect()] == [1, 1]
+    assert codebooks.encode(vectors.withColumnRenamed("x", "code")).count() == 2
