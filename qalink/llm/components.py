@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qalink.operators.joins import lookup_join
 from qalink.sources.scratch import stored
 
 
@@ -20,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for the nodes of ``edges(u long, v long)``: the smallest node reachable.
 
     Each step links nodes to smaller neighbours only, by minima and joins, so that a node with very
-    many neighbours is one row of a minimum. What a round gives is stored; it ends when every node
+    many neighbours is one row of a minimum; its edges meet that row spread over many tasks. What a round gives is stored; it ends when every node
     hangs at its smallest. No edges give no rows.
     """
     now = stored(
@@ -29,9 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     while not _is_forest_of_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = lookup_join(both, least, ["u"], spread_by=["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        down = lookup_join(large, least, ["u"], spread_by=["v"]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         now = stored(down.where("u <> v").distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
