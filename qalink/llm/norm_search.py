@@ -14,6 +14,7 @@ each. The first thresholds come from the longest vectors, a set of a fixed size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -190,15 +191,17 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     )
 
     longest = rows.orderBy(F.desc("length"), "tag").limit(PROBE_ROWS).groupBy("dims").applyInPandas(_pack, _BLOCK)
-    probe = spark.sparkContext.broadcast([Block(r) for r in longest.toPandas().itertuples()])
+    # plain records: a worker needs no copy of this package to read them
+    probe = spark.sparkContext.broadcast(longest.toPandas().to_dict("records"))
 
     def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        probes = [Block(SimpleNamespace(**record)) for record in probe.value]
         for frame in frames:
             thetas = []
             for row in frame.itertuples():
                 block = Block(row)
                 best = Best(block, k, np.full(len(block.ids), -np.inf))
-                for other in probe.value:
+                for other in probes:
                     if other.values.shape[1] == row.dims:
                         search(best, other)
                 thetas.append(best.theta.tobytes())
