@@ -1,22 +1,21 @@
-"""Near-duplicate vectors by counting collisions in sorted one-dimensional projections.
+"""Near-duplicate vectors by collisions in one-dimensional projections, with every link.
 
 Vectors are normalised; exact copies (same label, same direction) collapse into one
 representative with a multiplicity first. Each representative is projected on ``PROJECTIONS``
-random directions. Per projection the rows of a label are also split by the signs of ``PLANES``
-random hyperplanes, then sorted by their projected value: two rows collide when one lies within
-``WINDOW`` places of the other in that order, the window centred on the query. Pairs collide in
-``count`` projections; those reaching ``MIN_COLLISIONS`` are verified by their cosine.
-
-The sort is one range shuffle; each task pairs the neighbours of its sorted range, and the
-``WINDOW`` rows at each end of a range meet those of the next range in one small group, so that
-no pair is lost between two adjacent ranges. A range left empty by the sampled bounds (or one of
-fewer than ``WINDOW`` rows) lets some window pairs across it go; those pairs still collide in the
-other projections.
-
-A fixed window sees at most ``2 * WINDOW`` partners per projection. A representative with at
-least ``DENSE_LINKS`` verified links may have more than windows can show; such representatives
-are compared exactly with every representative of their label, in blocks of bounded size, so that
-a large cluster of near copies keeps all of its links.
+orthonormal directions. Unit vectors at cosine ``t`` lie ``sqrt(2 - 2 t)`` apart, and no projection
+makes a distance longer: linked vectors collide in every projection, and the squares of their
+differences there sum to ``2 - 2 t`` at most. What does not collide so cannot be linked, and all
+that does is verified by its cosine, so no link is lost and none is added.
+
+One range shuffle sorts the representatives of a label by the signs of ``PLANES`` projections and
+the value of one more, and cuts them into blocks of ``ROW_BLOCK`` rows at most. A block knows its
+range in every projection. Two blocks of a label meet in a task of their own if their ranges
+collide; there, rows that collide with no row's range of the other block leave first. A pair of
+blocks gives the number of links per row and a spanning forest of the links, never the links
+themselves: a large cluster of near copies costs a row per member and pair of blocks.
+
+Vectors without structure collide in all blocks of their label; the work is then the square of the
+label's size in products of matrices, in tasks of bounded memory.
 
 Cases: a vector that is null, zero, holds a null or non-finite component, or has a null label or
 a null id links with nothing (``n_links`` 0, itself its component). Vectors of other lengths are
@@ -32,29 +31,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qalink.llm.base import partitions
 from qalink.llm.components import components
 from qalink.operators.joins import lookup_join
 from qalink.sources.scratch import stored
 
 PROJECTIONS = 16
-PLANES = 3
-WINDOW = 8
-#: A pair at cosine 0.93 shares the cell of a projection with probability (1 - 21.6 / 180) ** 3 = 0.68,
-#: and is then a near neighbour in the sorted order; one collision in 16 projections suffices to verify.
-MIN_COLLISIONS = 1
-DENSE_LINKS = WINDOW
-QUERY_BLOCK = 512
-ROW_BLOCK = 2048
+PLANES = 6
+ROW_BLOCK = 4096
+#: Rows whose cosines with a block are held at a time.
+ROWS_AT_ONCE = 512
 SEED = 13
-
-_PROJECTED = "label int, dims int, j int, cell int, value double, rep long"
+#: What rounding may add to a squared distance.
+_SLACK = 1e-6
 
 
-def _directions(dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(PROJECTIONS, dims)`` directions and ``(PROJECTIONS, PLANES, dims)`` hyperplanes, the same in every task."""
+def _directions(dims: int) -> np.ndarray:
+    """``(dims, k)`` orthonormal directions, the same in every task."""
     rng = np.random.default_rng([SEED, dims])
-    return rng.standard_normal((PROJECTIONS, dims)), rng.standard_normal((PROJECTIONS, PLANES, dims))
+    return np.linalg.qr(rng.standard_normal((dims, min(PROJECTIONS, dims))))[0]
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
@@ -72,145 +66,118 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
 
 
 def _project(reps: DataFrame) -> DataFrame:
+    """``reps`` with the number of components, the signs of the first projections and the value of the next."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dims, rows in batch.groupby(batch["x"].map(len)):
-                x = np.stack(rows["x"].to_numpy()).astype(np.float64)
-                g, h = _directions(int(dims))
-                values = x @ g.T  # (n, PROJECTIONS)
-                signs = (np.einsum("jpd,nd->njp", h, x) >= 0).astype(np.int32)
-                cells = (signs << np.arange(PLANES, dtype=np.int32)).sum(axis=2)
-                n = len(rows)
-                yield pd.DataFrame({
-                    "label": np.repeat(rows["label"].to_numpy(np.int32), PROJECTIONS),
-                    "dims": np.full(n * PROJECTIONS, dims, np.int32),
-                    "j": np.tile(np.arange(PROJECTIONS, dtype=np.int32), n),
-                    "cell": cells.reshape(-1), "value": values.reshape(-1),
-                    "rep": np.repeat(rows["rep"].to_numpy(np.int64), PROJECTIONS),
-                })
-
-    return reps.select("label", "x", "rep").mapInPandas(run, _PROJECTED)
-
-
-_KEY = ["label", "dims", "j", "cell"]
-
-
-def _window_pairs(rows: pd.DataFrame, fresh_from: int) -> pd.DataFrame:
-    """Pairs of rows at most ``WINDOW`` places apart in the same group, the later one at ``fresh_from`` or after."""
-    key = rows[_KEY].to_numpy(np.int64)
-    rep = rows["rep"].to_numpy(np.int64)
-    found_a, found_b = [], []
-    for offset in range(1, WINDOW + 1):
-        later = np.arange(max(offset, fresh_from), len(rows))
-        earlier = later - offset
-        same = (key[earlier] == key[later]).all(axis=1) & (rep[earlier] != rep[later])
-        found_a.append(np.minimum(rep[earlier], rep[later])[same])
-        found_b.append(np.maximum(rep[earlier], rep[later])[same])
-    return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
-
-
-def collisions(projected: DataFrame) -> DataFrame:
-    """``a, b, count``: projections in which ``a < b`` lie within ``WINDOW`` places of each other."""
-    order = [*_KEY, "value", "rep"]
-    ranged = projected.repartitionByRange(partitions(projected), *order).sortWithinPartitions(*order)
+                values = np.stack(rows["x"].to_numpy()) @ _directions(int(dims))
+                signs = values[:, :PLANES] >= 0
+                cells = (signs << np.arange(signs.shape[1])).sum(axis=1)
+                yield rows.assign(dims=int(dims), cell=cells, value=values[:, min(PLANES, values.shape[1] - 1)])
+
+    return reps.mapInPandas(run, "label int, x array<double>, rep long, mult long, dims int, cell int, value double")
+
+
+def _placed(reps: DataFrame) -> DataFrame:
+    """``label, dims, block, place, x, rep, mult``: blocks of one label and length, in the order of the projections."""
+    order = ["label", "dims", "cell", "value", "rep"]
+    ranges = reps.count() // ROW_BLOCK + 1
+    ranged = _project(reps).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None
-        head_sent = False
+        number, place, group = -1, 0, None
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            part = int(batch["_p"].iloc[0])
-            if not head_sent:
-                edge = batch.head(WINDOW).assign(boundary=part, place=np.arange(min(WINDOW, len(batch))))
-                yield _edges(edge)
-                head_sent = True
-            rows = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
-            fresh = 0 if carry is None else len(carry)
-            yield _as_pairs(_window_pairs(rows, fresh))
-            carry = rows.tail(WINDOW).reset_index(drop=True)
-        if carry is not None:
-            tail = carry.assign(boundary=part + 1, place=np.arange(-len(carry), 0))
-            yield _edges(tail)
-
-    tagged = ranged.withColumn("_p", F.spark_partition_id())
-    out = tagged.mapInPandas(run, _OUT)
-    pairs = out.where("boundary IS NULL").select("a", "b")
-    edges = out.where("boundary IS NOT NULL").select("boundary", "place", *_KEY, "rep")
-    across = edges.groupBy("boundary").applyInPandas(_across, "a long, b long")
-    return pairs.unionByName(across).groupBy("a", "b").count()
-
-
-_OUT = "a long, b long, boundary int, place int, label int, dims int, j int, cell int, rep long"
-
-
-def _as_pairs(pairs: pd.DataFrame) -> pd.DataFrame:
-    n = len(pairs)
-    none = np.full(n, None, object)
-    return pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "boundary": none, "place": none, "label": none,
-                         "dims": none, "j": none, "cell": none, "rep": none})
-
-
-def _edges(rows: pd.DataFrame) -> pd.DataFrame:
-    n = len(rows)
-    none = np.full(n, None, object)
-    return pd.DataFrame({"a": none, "b": none, "boundary": rows["boundary"].to_numpy(), "place": rows["place"].to_numpy(),
-                         **{k: rows[k].to_numpy() for k in _KEY}, "rep": rows["rep"].to_numpy()})
-
-
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs between the last rows of one range (place < 0) and the first of the next."""
-    rows = rows.sort_values("place", kind="stable").reset_index(drop=True)
-    key = rows[_KEY].to_numpy(np.int64)
-    rep = rows["rep"].to_numpy(np.int64)
-    place = rows["place"].to_numpy(np.int64)
-    tail, head = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
-    found = []
-    for t in tail:
-        for h in head:
-            if place[h] - place[t] <= WINDOW and (key[t] == key[h]).all() and rep[t] != rep[h]:
-                found.append((min(rep[t], rep[h]), max(rep[t], rep[h])))
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    xa = reps.select(F.col("rep").alias("a"), F.col("x").alias("xa"))
-    xb = reps.select(F.col("rep").alias("b"), F.col("x").alias("xb"))
-    both = lookup_join(lookup_join(pairs, xa, ["a"]), xb, ["b"])
-    return both.where(_dot("xa", "xb") >= threshold).select("a", "b")
-
-
-def _dense_links(reps: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
-    """Links of the dense representatives with every representative of their label, in blocks."""
-    group = ["label", "dims"]
-    sized = reps.withColumn("dims", F.size("x"))
-    queries = sized.join(dense, "rep", "left_semi")
-    nq = queries.groupBy(*group).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("nq"))
-    nr = sized.groupBy(*group).agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("nr"))
-    blocks = nq.join(nr, group)  # one row per label that has dense representatives
-    block_of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    q = lookup_join(queries, blocks, group).select(*group, block_of("nq").alias("qb"),
-                                                   F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"),
-                                                   "rep", "x", F.lit(True).alias("query"))
-    r = lookup_join(sized, blocks, group).select(*group, F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"),
-                                                 block_of("nr").alias("rb"), "rep", "x", F.lit(False).alias("query"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        is_q = rows["query"].to_numpy(bool)
-        if not is_q.any() or is_q.all():
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        xq = np.stack(rows["x"][is_q].to_numpy())
-        xr = np.stack(rows["x"][~is_q].to_numpy())
-        rq, rr = rows["rep"][is_q].to_numpy(np.int64), rows["rep"][~is_q].to_numpy(np.int64)
-        i, k = np.nonzero(xq @ xr.T >= threshold)
-        keep = rq[i] != rr[k]
-        return pd.DataFrame({"a": np.minimum(rq[i], rr[k])[keep], "b": np.maximum(rq[i], rr[k])[keep]})
-
-    return q.unionByName(r).groupBy(*group, "qb", "rb").applyInPandas(compare, "a long, b long")
+            blocks, places = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
+            for i, (part, *of) in enumerate(zip(batch["_p"], batch["label"], batch["dims"])):
+                if of != group or place == ROW_BLOCK:
+                    number, place, group = number + 1, 0, of
+                blocks[i], places[i] = part << 32 | number, place
+                place += 1
+            yield batch[["label", "dims", "x", "rep", "mult"]].assign(block=blocks, place=places)
+
+    return ranged.withColumn("_p", F.spark_partition_id().cast("long")).mapInPandas(
+        run, "label int, dims int, x array<double>, rep long, mult long, block long, place long")
+
+
+def _packed(placed: DataFrame) -> DataFrame:
+    """One row per block: its rows' ``x``, ``rep`` and ``mult`` by place, and its range in every projection."""
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        x = np.stack(rows["x"].to_numpy()).astype(np.float64)
+        values = x @ _directions(x.shape[1])
+        first = rows.iloc[0]
+        return pd.DataFrame({
+            "block": [first["block"]], "label": [first["label"]], "dims": [first["dims"]],
+            "low": [values.min(axis=0)], "high": [values.max(axis=0)], "xs": [x.tobytes()],
+            "reps": [rows["rep"].to_numpy(np.int64).tobytes()], "mults": [rows["mult"].to_numpy(np.int64).tobytes()],
+        })
+
+    return placed.groupBy("block").applyInPandas(
+        pack, "block long, label int, dims int, low array<double>, high array<double>, xs binary, reps binary, mults binary")
+
+
+def _meeting(packed: DataFrame, reach: float) -> DataFrame:
+    """``i, j``: the blocks ``i <= j`` of a label whose ranges collide; a block always meets itself."""
+    ranges = packed.select("label", "dims", "block", "low", "high")
+    other = ranges.select("label", "dims", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    below = F.zip_with("low", "high_j", lambda a, b: a - b)
+    above = F.zip_with("low_j", "high", lambda a, b: a - b)
+    gaps = F.zip_with(below, above, lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    squares = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
+    both = ranges.withColumnRenamed("block", "i").join(other, ["label", "dims"])
+    return both.where((F.col("i") <= F.col("j")) & (squares <= reach)).select("i", "j")
+
+
+def _colliding(x: np.ndarray, other: np.ndarray, reach: float) -> np.ndarray:
+    """Which rows of ``x`` collide with the range that ``other`` takes in every projection."""
+    if not len(other):
+        return np.zeros(len(x), bool)
+    directions = _directions(x.shape[1])
+    mine, theirs = x @ directions, other @ directions
+    gaps = np.maximum(np.maximum(theirs.min(axis=0) - mine, mine - theirs.max(axis=0)), 0.0)
+    return (gaps * gaps).sum(axis=1) <= reach
+
+
+def _linked(xa: np.ndarray, xb: np.ndarray, same: bool, threshold: float, reach: float):
+    """Links of two blocks (or of one with itself) as chunks: rows of ``xa``, rows of ``xb`` and which are linked."""
+    a, b = np.arange(len(xa)), np.arange(len(xb))
+    if not same:
+        a = np.flatnonzero(_colliding(xa, xb, reach))
+        b = np.flatnonzero(_colliding(xb, xa[a], reach))
+    for at in range(0, len(a) if len(b) else 0, ROWS_AT_ONCE):
+        some = a[at : at + ROWS_AT_ONCE]
+        linked = xa[some] @ xb[b].T >= threshold
+        if same:  # each pair once
+            linked &= b[None, :] > some[:, None]
+        if linked.any():
+            yield some, b, linked
+
+
+def _compared(rows: pd.DataFrame, threshold: float, reach: float) -> pd.DataFrame:
+    """Links of a pair of blocks: ``block, place, partners`` per linked row, ``u, v`` per edge of a spanning forest."""
+    rows = rows.sort_values("block")
+    blocks = [int(b) for b in rows["block"]]
+    dims = int(rows["dims"].iloc[0])
+    xs = [np.frombuffer(raw, np.float64).reshape(-1, dims) for raw in rows["xs"]]
+    reps, mults = ([np.frombuffer(raw, np.int64) for raw in rows[c]] for c in ("reps", "mults"))
+    same, shift = len(blocks) == 1, 0 if len(blocks) == 1 else len(xs[0])
+    nodes, weights = np.concatenate(reps), np.concatenate(mults)
+    partners, tree, edges = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), []
+    for a, b, linked in _linked(xs[0], xs[-1], same, threshold, reach):
+        partners[a] += linked @ weights[b + shift]
+        partners[b + shift] += weights[a] @ linked
+        for row in np.flatnonzero(linked.any(axis=1)):
+            others = b[linked[row]] + shift
+            trees, one = np.unique(tree[others], return_index=True)
+            new = trees != tree[a[row]]
+            edges += [(nodes[a[row]], nodes[other]) for other in others[one[new]]]
+            if new.any():
+                tree[np.isin(tree, trees[new])] = tree[a[row]]
+    at = np.flatnonzero(partners)
+    found = pd.DataFrame({"block": np.repeat(blocks, [len(x) for x in xs])[at], "place": np.where(at < len(xs[0]), at, at - shift),
+                          "partners": partners[at]})
+    forest = pd.DataFrame(edges, columns=["u", "v"], dtype=np.int64)
+    return pd.concat([found, forest], ignore_index=True).astype("Int64")[["block", "place", "partners", "u", "v"]]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -219,25 +186,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     ``n_links``: other rows linked directly (cosine at least ``threshold``, equal labels);
     ``component_id``: the smallest vec_id reachable by links; ``kept``: the row is its component's.
     """
+    reach = 2 - 2 * threshold + _SLACK
     rows = stored(unit_rows(vectors))
     good = rows.where(F.col("x").isNotNull())
     reps = stored(good.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
-    counted = collisions(_project(reps))
-    found = stored(_verified(counted.where(F.col("count") >= MIN_COLLISIONS).select("a", "b"), reps, threshold))
-    both_ways = found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        found.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    dense = both_ways.groupBy(F.col("u").alias("rep")).count().where(F.col("count") >= DENSE_LINKS).select("rep")
-    links = stored(found.unionByName(_dense_links(reps, dense, threshold)).distinct())
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    mult = reps.select(F.col("rep").alias("v"), F.col("mult").alias("partner"))
-    partners = lookup_join(edges, mult, ["v"]).groupBy(F.col("u").alias("rep")).agg(F.sum("partner").alias("partners"))
-    tree = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "rep")
-    per_rep = (reps.join(partners, "rep", "left").join(tree, "rep", "left")
+    placed = stored(_placed(reps))
+    packed = stored(_packed(placed))
+    met = _meeting(packed, reach)
+    sides = met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    compared = stored(
+        sides.join(packed.select("block", "dims", "xs", "reps", "mults"), "block").groupBy("i", "j")
+        .applyInPandas(lambda r: _compared(r, threshold, reach), "block long, place long, partners long, u long, v long"))
+    partners = compared.where("partners IS NOT NULL").groupBy("block", "place").agg(F.sum("partners").alias("partners"))
+    tree = components(compared.where("u IS NOT NULL").select("u", "v")).withColumnRenamed("node", "rep")
+    per_rep = (placed.join(partners, ["block", "place"], "left").join(tree, "rep", "left")
                .select("label", "x", (F.col("mult") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"),
                        F.coalesce("component", "rep").alias("component_id")))
-    placed = lookup_join(good, per_rep, ["label", "x"], "left")
+    joined = lookup_join(good, per_rep, ["label", "x"], "left")
     lone = rows.where(F.col("x").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                                   F.col("vec_id").alias("component_id"))
-    out = placed.select("vec_id", F.col("n_links").cast("long"), "component_id").unionByName(lone)
+    out = joined.select("vec_id", F.col("n_links").cast("long"), "component_id").unionByName(lone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -188,3 +188,31 @@ def test_extra_columns_with_clashing_names(spark):
                                     "vec_id long, embedding array<double>, label int, x string, rep int")
     assert [r["n_links"] for r in projections.near_vectors(vectors).orderBy("vec_id").collect()] == [1, 1]
     assert codebooks.encode(vectors.withColumnRenamed("x", "code")).count() == 2
+
+
+def test_near_vectors_lose_no_link_between_far_projections(spark):
+    """Pairs just above the threshold in a crowd of few directions: partners stand far apart in a sorted projection."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        x, y = rng.standard_normal((2, 8))
+        x /= np.linalg.norm(x)
+        y -= x * (x @ y)
+        y /= np.linalg.norm(y)
+        rows += [(2 * k, x.tolist(), 1), (2 * k + 1, (0.931 * x + math.sqrt(1 - 0.931 ** 2) * y).tolist(), 1)]
+    rows += [(1000 + i, rng.standard_normal(8).tolist(), 1) for i in range(2500)]
+    rows += [(7, rng.standard_normal(8).tolist(), 1)]  # an id that comes again with another vector
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, projections.near_vectors(vectors).collect()), key=repr)
+    assert got == _links_by_hand(rows)
+
+
+def test_near_vectors_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(projections, "ROW_BLOCK", 16)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((5, 12))
+    rows = [(i, (centres[i % 5] + 0.12 * rng.standard_normal(12)).tolist(), i % 2) for i in range(300)]
+    rows += [(i, v, lab) for i, v, lab in rows[:20]] + [(900, [1.0, 2.0], 1), (901, [1.0, 2.1], 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, projections.near_vectors(vectors).collect()), key=repr)
+    assert got == _links_by_hand(rows)
