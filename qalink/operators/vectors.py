@@ -15,11 +15,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from qalink.functions import vectors as V
-from qalink.operators.joins import lookup_join, measured_bytes
+from qalink.operators.joins import hot_keys, lookup_join, measured_bytes
 from qalink.sources.scratch import stored
 
 # A vocabulary does not grow with the posts; it is broadcast up to this measured size.
 VOCABULARY_BYTES = 512 * 1024 * 1024
+# Words whose vectors one task sums, and the share of rows in which keys of very many words are looked for.
+ROWS_PER_TASK = 200_000
+HOT_SAMPLE = 0.02
 # Query vectors compared in one go, and the size of a block when there are more.
 BLOCK_BYTES = 32 * 1024 * 1024
 # Scores a task holds at a time while comparing a block with a batch of words.
@@ -88,9 +91,33 @@ def vector_sums(
     """Sum of the word vectors per key; a key with an unknown word has none.
 
     ``known_only`` skips unknown words instead. ``weight`` names a column of repeat counts.
+
+    Rows of usual keys are dealt out by key without their vectors; keys with an unknown word leave,
+    and the others get their vectors and sums where they are. Hot keys form partial sums first.
     """
     if known_only:
         return summed(with_vectors(words, vectors), keys, weight=weight)
+    words = words.select(*dict.fromkeys([*keys, "word", *([weight] if weight else [])]))
+    hot = hot_keys(words, keys, sample=HOT_SAMPLE)
+    if hot.isEmpty():
+        return _dealt_sums(words, vectors, keys, weight)
+    hot = F.broadcast(hot.select(*keys))
+    many, few = (words.join(hot, list(keys), how) for how in ("left_semi", "left_anti"))
+    return _dealt_sums(few, vectors, keys, weight).unionByName(_partial_sums(many, vectors, keys, weight))
+
+
+def _dealt_sums(words: DataFrame, vectors: DataFrame, keys: Sequence[str], weight: str | None) -> DataFrame:
+    """Sums of keys that fit a task, so that no vector is shuffled while the vocabulary can be broadcast."""
+    known = vectors.groupBy("word").agg(F.every(F.col("vector").isNotNull()).alias("_known"))
+    tasks = max(words.count() // ROWS_PER_TASK, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lookup_join(words.repartition(tasks, *keys), known, ["word"], "left", broadcast_bytes=VOCABULARY_BYTES)
+    whole = F.every(F.coalesce("_known", F.lit(False))).over(Window.partitionBy(*keys))
+    rows = dealt.withColumn("_known", whole).where("_known").drop("_known")
+    return summed(with_vectors(rows, vectors), keys, weight=weight)
+
+
+def _partial_sums(words: DataFrame, vectors: DataFrame, keys: Sequence[str], weight: str | None) -> DataFrame:
+    """Sums that form in the map tasks, whatever the number of words of a key."""
     size = dimension(vectors)
     unknown = F.count_if(F.col("vector").isNull()).alias("_unknown")
     known = F.coalesce(F.col("vector").cast("array<double>"), F.array_repeat(F.lit(0.0), size)).alias("_known")

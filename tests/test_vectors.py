@@ -218,3 +218,28 @@ def test_sums_of_wide_vectors_are_one_aggregate(spark):
     for k in range(7):
         want = sum((1 + i % 3) * np.array(data[i][1]) for i in range(50) if i % 7 == k)
         assert np.allclose(got[k], want, atol=1e-9)
+
+
+def test_only_keys_that_are_known_as_a_whole_get_vectors(spark, vectors, monkeypatch):
+    words = spark.createDataFrame(
+        [("s", "one"), ("s", "two"), ("s", "one"), ("u", "one"), ("u", "none"), (None, "two"), (None, "two"), ("n", None), ("n", "one")],
+        "k string, word string")
+    doubled = vectors.unionByName(vectors.where("word = 'two'"))
+    given = []
+
+    def counted(rows, *a, f=W.with_vectors, **b):
+        given.append(rows.count())
+        return f(rows, *a, **b)
+
+    monkeypatch.setattr(W, "with_vectors", counted)
+    sums = W.vector_sums(words, doubled, ["k"])
+    assert {r["k"]: r["vector"] for r in sums.collect()} == {"s": [2.0, 4.0], None: [0.0, 8.0]}
+    assert given == [5]
+
+
+def test_sums_of_hot_keys_equal_those_of_others(spark, vectors, monkeypatch):
+    words = _words(spark, {"s": ["one"] * 30 + ["two"], "h": ["one"] * 20 + ["none"], "a": ["one", "two"], "u": ["none"]})
+    found = W.hot_keys
+    monkeypatch.setattr(W, "hot_keys", lambda df, on, **_: found(df, on, share=4, min_rows=10))
+    sums = {r["k"]: r["vector"] for r in W.vector_sums(words, vectors, ["k"]).collect()}
+    assert sums == {"s": [30.0, 2.0], "a": [1.0, 2.0]}
