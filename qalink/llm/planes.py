@@ -170,7 +170,8 @@ class LibraryEncoder:
             self.pieces.clear()
         # Pieces may still hold other white space, where the tokenizer cuts as well.
         cut = [None if self.whole(text) else text.split() for text in texts]
-        self._compose(list({p for pieces in cut if pieces for p in pieces if p not in self.pieces}))
+        # What is remembered is asked once per different piece.
+        self._compose(list(set().union(*filter(None, cut)).difference(self.pieces)))
         known = self.pieces.__getitem__
         return [
             np.array(self._library([text])[0], "<u4").tobytes() if pieces is None else b"".join(map(known, pieces))
