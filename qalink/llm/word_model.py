@@ -11,7 +11,8 @@ All that the probability of a trigram takes is found by its middle word: the tri
 and its shorter form. So tables are dealt to shards by the middle word, and by the first one too
 where the middle is frequent; shorter forms are copied to all shards of their first word. Texts are
 read once for scoring. Blocks of documents send each shard their different trigrams, sorted and
-compressed; the shard looks them up and gives back a sum per document. Nothing that grows with the
+compressed; the shard looks them up and gives back a sum per document, the sums of a block in one
+row: at most as many as the block sent trigrams. Nothing that grows with the
 corpus goes to the driver; what is broadcast is bounded by the number of units.
 """
 
@@ -318,7 +319,7 @@ class WordModel:
             out = []
             for row in asked.itertuples():
                 if row.grams is None:
-                    out.append((row.block, list(range(len(row.keys))), [0.0] * len(row.keys), list(row.keys), list(row.units)))
+                    out.append((row.block, -1, None, None, row.keys, row.units))
                     continue
                 grams, owners = np.cumsum(_unpacked(row.grams, np.int64)), _unpacked(row.owners, np.int32)
                 keys, at = np.unique(grams, return_inverse=True)
@@ -327,8 +328,16 @@ class WordModel:
                 logs = np.log(three.interpolated(keys, p))[at] * _unpacked(row.times, np.int32)
                 sums = np.bincount(owners, logs)
                 there = np.unique(owners)
-                out.append((row.block, there.tolist(), sums[there].tolist(), [None] * len(there), [0] * len(there)))
-            return pd.DataFrame(out, columns=["block", "owner", "logp", "keys", "units"])
+                out.append((row.block, row.shard, _packed(there.astype(np.int32)), sums[there].tobytes(), None, None))
+            return pd.DataFrame(out, columns=["block", "shard", "owners", "logps", "keys", "units"])
+
+        def total(sums: pd.DataFrame) -> pd.DataFrame:
+            sums = sums.sort_values("shard")  # the names first
+            names = sums.iloc[0]
+            logp = np.zeros(len(names["keys"]))
+            for owners, logps in zip(sums["owners"].iloc[1:], sums["logps"].iloc[1:]):
+                logp[_unpacked(owners, np.int32)] += np.frombuffer(logps, np.float64)
+            return pd.DataFrame({"key": names["keys"], "logp": logp, "units": names["units"]})
 
         kind = "shard long, g long, a long, pair boolean"
         known = self.trigrams.mapInArrow(deal, kind).unionByName(
@@ -338,9 +347,6 @@ class WordModel:
             ask, "shard long, block long, grams binary, owners binary, times binary, keys array<string>, units array<long>"
         )
         parts = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(
-            score, "block long, owner array<long>, logp array<double>, keys array<string>, units array<long>"
+            score, "block long, shard long, owners binary, logps binary, keys array<string>, units array<long>"
         )
-        each = parts.select("block", F.inline(F.arrays_zip("owner", "logp", "keys", "units")))
-        return each.groupBy("block", "owner").agg(
-            F.max("keys").alias("key"), F.sum("logp").alias("logp"), F.max("units").alias("units")
-        ).where("key is not null").select("key", "logp", "units")
+        return parts.groupBy("block").applyInPandas(total, "key string, logp double, units long")
