@@ -8,20 +8,25 @@ classes of repeated words, by its hash: a run of one word is no likelier for tha
 Three units of 17 bits fit one long: middle word, first word, last word.
 
 All that the probability of a trigram takes is found by its middle word: the trigram, its context
-and its shorter form. So tables are dealt to shards by the middle word, and by the first one too
-where the middle is frequent; shorter forms are copied to all shards of their first word. Texts are
-read once for scoring. Blocks of documents send each shard their different trigrams, sorted and
-compressed; the shard looks them up and gives back a sum per document, the sums of a block in one
-row: at most as many as the block sent trigrams. Nothing that grows with the
-corpus goes to the driver; what is broadcast is bounded by the number of units.
+and its shorter form. So trigrams are dealt to shards by the middle word, and by the first one too
+where the middle is frequent; the shorter forms of such a middle are summed and copied to all its shards.
+
+Trigrams travel as messages, many to a row: sorted, as differences, byte by byte, compressed. Those
+of the trusted text are shuffled once; the discounts and the scores are both computed from that
+shuffle. Texts are read once for scoring. Blocks of documents send each shard their different
+trigrams; the shard builds its counts first, then looks up block after block and gives back a sum
+per document, the sums of a block in one row. How many shards there are follows the trusted text,
+as a shard holds its counts in memory, and not the texts that are scored. Nothing that grows with
+the corpus goes to the driver; what is broadcast is bounded by the number of units.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,9 +35,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qalink.llm.base import partitions
-from qalink.sources.scratch import stored
-
 WORD_BITS = 17
 VOCABULARY = 1 << 16
 CLASSES = 1 << 12
@@ -41,11 +43,11 @@ FIRST, LAST = REPEATED + CLASSES, REPEATED + CLASSES + 1
 UNITS = LAST + 1
 #: A word that occurs less often in the text learned from is scored as its class.
 LEAST_COUNT = 5
-#: Signs of a block of documents, and of the text whose trigrams are looked up in one shard.
+#: Signs of a block of documents, and of the trusted text whose trigrams one shard holds.
 BLOCK_SIGNS = 4_000_000
-SHARD_SIGNS = 16_000_000
-#: Trigrams learned per shard.
-SHARD_GRAMS = 1_000_000
+SHARD_SIGNS = 64_000_000
+#: Parts of one that sums of logarithms are rounded to, so that their order does not matter.
+FINE = 1 << 30
 #: Different words and trigrams that a task gathers before it passes them on.
 GATHERED = 1_000_000
 _MASK = (1 << WORD_BITS) - 1
@@ -100,29 +102,35 @@ def trigrams(texts: list[str], units: _Units) -> tuple[np.ndarray, np.ndarray]:
     return keys[real], lengths
 
 
-def _slices(texts: list[str], signs: int) -> Iterator[slice]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > signs:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+def _batches(items: Iterable, signs: Callable) -> Iterator[list]:
+    """Lists of items of ``BLOCK_SIGNS`` together; a longer item is a list of its own."""
+    held, size = [], 0
+    for item in items:
+        if held and size + signs(item) > BLOCK_SIGNS:
+            yield held
+            held, size = [], 0
+        held.append(item)
+        size += signs(item) + 1
+    if held:
+        yield held
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def word_counts(texts: DataFrame, parts: int) -> DataFrame:
     """``word, n`` of ``texts(text)``; words of over 40 signs have no place in the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            known = [(w, n) for w, n in found.items() if len(w) <= 40 and w.isprintable()]
+            dealt: dict[int, list[str]] = {}
+            for word in sorted(w for w in found if len(w) <= 40 and w.isprintable()):
+                dealt.setdefault(zlib.crc32(word.encode()) % parts, []).append(word)
+            out = [
+                {"part": part, "words": _pressed("\n".join(words).encode()), "counts": _packed(np.array([found[w] for w in words]), 5)}
+                for part, words in dealt.items()
+            ]
             found.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in known], pa.string()), pa.array([n for _, n in known], pa.int64())], names=["word", "n"]
-            )
+            return pa.RecordBatch.from_pylist(out, schema=_WORDS)
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -131,30 +139,121 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield rows()
         yield rows()
 
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        found: Counter = Counter()
+        for words, counts in zip(rows["words"], rows["counts"]):
+            for word, n in zip(_plain(words).decode().split("\n"), _unpacked(counts).tolist()):
+                found[word] += n
+        return pd.DataFrame({"word": list(found), "n": list(found.values())})
 
+    sent = texts.mapInArrow(count, "part long, words binary, counts array<binary>")
+    return sent.groupBy("part").applyInPandas(total, "word string, n long")
 
-def trigram_counts(texts: DataFrame, vocabulary) -> DataFrame:
-    """``g, a``: the trigrams of ``texts(text)`` with their counts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, parts, size = _Units(vocabulary.value), [], 0
+# Messages.
 
-        def rows() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(parts or [np.zeros(0, np.int64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["g", "a"])
 
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for some in _slices(texts, BLOCK_SIGNS):
-                parts.append(trigrams(texts[some], units)[0])
-                size += len(parts[-1])
-                if size > 4 * GATHERED:
-                    yield rows()
-                    parts, size = [], 0
-        yield rows()
+def _pressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _plain(raw: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(raw[4:], int.from_bytes(raw[:4], "little"), asbytes=True)
+
+
+def _packed(values: np.ndarray, width: int) -> list[bytes]:
+    """Values below 256 ** ``width``, not negative; bytes of equal weight stand together, as they are alike."""
+    planes = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)
+    return [_pressed(planes[:, i].tobytes()) for i in range(width)]
+
+
+def _unpacked(planes: list[bytes]) -> np.ndarray:
+    raw = [np.frombuffer(_plain(p), np.uint8) for p in planes]
+    out = np.zeros((len(raw[0]), 8), np.uint8)
+    for i, plane in enumerate(raw):
+        out[:, i] = plane
+    return out.view("<i8").ravel()
+
+
+def _units(keys: np.ndarray) -> list[np.ndarray]:
+    return [keys >> shift & _MASK for shift in (2 * WORD_BITS, WORD_BITS, 0)]
+
+
+def _steps(columns: list[np.ndarray]) -> list[bytes]:
+    """Sorted rows: what each column adds to the row before, or all of it where a column left of it is new."""
+    out, new = [], np.arange(len(columns[0])) == 0
+    for column in columns:
+        step = np.where(new, column, np.diff(column, prepend=0))
+        out += _packed(step, 3)
+        new |= step != 0
+    return out
+
+
+def _from_steps(parts: list[bytes]) -> list[np.ndarray]:
+    columns, new = [], None
+    for i in range(0, len(parts), 3):
+        step = _unpacked(parts[i : i + 3])
+        new = np.arange(len(step)) == 0 if new is None else new
+        run = np.cumsum(step)
+        starts = np.flatnonzero(new)
+        columns.append(run - np.repeat(run[starts] - step[starts], np.diff(np.r_[starts, len(step)])))
+        new |= step != 0
+    return columns
+
+
+def _joined(middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return middle << 2 * WORD_BITS | first << WORD_BITS | last
 
-    return texts.mapInArrow(count, "g long, a long").groupBy("g").agg(F.sum("a").alias("a"))
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    ends = np.flatnonzero(np.r_[sorted_values[1:] != sorted_values[:-1], True]) + 1 if len(sorted_values) else []
+    start = 0
+    for end in ends:
+        yield int(sorted_values[start]), slice(start, int(end))
+        start = int(end)
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, with the sums of their counts."""
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    together, numbers = np.concatenate(keys), np.concatenate(counts)
+    keys.clear()
+    counts.clear()
+    order = np.argsort(together, kind="stable")
+    together, numbers = together[order], numbers[order]
+    first = np.flatnonzero(np.diff(together, prepend=-1))
+    return together[first], np.add.reduceat(numbers, first, dtype=np.int64) if len(first) else numbers
+
+
+def _pair_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Middle and last word of different trigrams, with the number of words seen before them."""
+    return np.unique(keys >> 2 * WORD_BITS << WORD_BITS | keys & _MASK, return_counts=True)
+
+
+def _place(shard: int) -> int:
+    return shard
+
+
+#: Kinds of messages ``shard, (kind, block, parts)``: counts of trigrams and of pairs, a block's trigrams, its names.
+KNOWN, PAIRS, ASKED, NAMES = range(4)
+_WORDS = pa.schema([("part", pa.int64()), ("words", pa.binary()), ("counts", pa.list_(pa.binary()))])
+
+
+def _trigrams_of(messages: Iterator) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = [], []
+    for _, (_, _, parts) in messages:
+        keys.append(_joined(*_from_steps(parts[:9])))
+        counts.append(_unpacked(parts[9:]).astype(np.uint32))
+    return _summed(keys, counts)
+
+
+def _pairs_of(messages: Iterator) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = [], []
+    for _, (_, _, parts) in messages:
+        keys.append(np.cumsum(_unpacked(parts[:5])))
+        counts.append(_unpacked(parts[5:]))
+    return _summed(keys, counts)
 
 
 # Lookup.
@@ -176,8 +275,9 @@ class _Level:
     """Counts of one order with the totals of their contexts."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, d: list[float]):
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
         self.keys, counts = keys[order], counts[order]
+        del keys, order
         cut = _cut(counts, d)
         self.own = counts - cut
         self.contexts, first = np.unique(self.keys >> WORD_BITS, return_index=True)
@@ -206,18 +306,8 @@ def _shard(middle: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
     return ((mixed ^ mixed >> 15) * 2654435761 >> 9 & 0xFFFFFF) % shards
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Byte by byte of equal weight, so that what is alike stands together."""
-    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
-
-
-def _unpacked(raw: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
-_ASKED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("owners", pa.binary()),
-                    ("times", pa.binary()), ("keys", pa.list_(pa.string())), ("units", pa.list_(pa.int64()))])
+def _seen(counts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(counts, 5), minlength=6)
 
 
 class WordModel:
@@ -228,125 +318,149 @@ class WordModel:
 
         context = trusted.sparkSession.sparkContext
         trusted = trusted.select("text")
-        usual = word_counts(trusted).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-        self.vocabulary = context.broadcast({r["word"]: i for i, r in enumerate(usual.collect())})
-        self.trigrams = stored(trigram_counts(trusted, self.vocabulary))
-        last, middle = F.col("g").bitwiseAND(F.lit(_MASK)), F.shiftright("g", 2 * WORD_BITS)
-        pair = F.shiftleft(middle, WORD_BITS).bitwiseOR(last)
-        self.pairs = stored(self.trigrams.groupBy(pair.alias("g")).agg(F.count(F.lit(1)).alias("a")))
-        seen = lambda t: {r["a"]: r["count"] for r in t.groupBy(F.least("a", F.lit(5)).alias("a")).count().collect()}
-        self.cuts = {3: discounts(seen(self.trigrams)), 2: discounts(seen(self.pairs))}
-        # From here on one number per unit.
-        single = np.zeros(UNITS)
-        for r in self.pairs.groupBy(F.col("g").bitwiseAND(F.lit(_MASK)).alias("w")).count().collect():
-            single[r["w"]] = r["count"]
+        signs = trusted.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.shards = shards = max(2 * context.defaultParallelism, -(-signs // SHARD_SIGNS))
+        usual = word_counts(trusted, shards).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+        self.vocabulary = vocabulary = context.broadcast({r["word"]: i for i, r in enumerate(usual)})
+        share = np.zeros(UNITS)
+        share[: len(usual)] = [r["n"] for r in usual]
+        self.salts = salts = context.broadcast(1 + (share / max(share.sum(), 1) * shards * 2).astype(np.int64))
+
+        def learn(texts: Iterator) -> Iterator[tuple]:
+            units, gathered, size = _Units(vocabulary.value), [], 0
+
+            def messages() -> Iterator[tuple]:
+                together = np.concatenate(gathered)
+                gathered.clear()
+                together.sort()
+                first = np.flatnonzero(np.diff(together, prepend=-1))
+                all_keys, all_counts = together[first], np.diff(np.r_[first, len(together)])
+                del together, first
+                for start in range(0, len(all_keys), GATHERED // 2):
+                    keys, counts = (x[start : start + GATHERED // 2] for x in (all_keys, all_counts))
+                    shard = _dealt(keys, salts.value, shards)
+                    order = np.argsort(shard, kind="stable")
+                    keys, counts = keys[order], counts[order]
+                    for s, run in _runs(shard[order]):
+                        yield s, (KNOWN, None, _steps(_units(keys[run])) + _packed(counts[run], 4))
+
+            for some in _batches((r[0] for r in texts), len):
+                gathered.append(trigrams(some, units)[0])
+                size += len(gathered[-1])
+                if size > 4 * GATHERED:
+                    yield from messages()
+                    size = 0
+            if gathered:
+                yield from messages()
+
+        def split(messages: Iterator) -> Iterator[tuple]:
+            keys, _ = _trigrams_of(messages)
+            pairs, counts = _pair_counts(keys[salts.value[keys >> 2 * WORD_BITS] > 1])
+            to = _shard(pairs >> WORD_BITS, pairs & _MASK, shards)
+            for s in np.unique(to).tolist():
+                yield s, (PAIRS, None, _packed(np.diff(pairs[to == s], prepend=0), 5) + _packed(counts[to == s], 4))
+
+        def copies(messages: Iterator) -> Iterator[tuple]:
+            pairs, counts = _pairs_of(messages)
+            times = salts.value[pairs >> WORD_BITS]
+            salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            pairs, counts = np.repeat(pairs, times), np.repeat(counts, times)
+            shard = _shard(pairs >> WORD_BITS, salt, shards)
+            # Two salts may share a shard.
+            code, at = np.unique(shard << 2 * WORD_BITS | pairs, return_index=True)
+            pairs, counts = pairs[at], counts[at]
+            for s, run in _runs(code >> 2 * WORD_BITS):
+                yield s, (PAIRS, None, _packed(np.diff(pairs[run], prepend=0), 5) + _packed(counts[run], 4))
+
+        def seen(a: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            return np.r_[_seen(a), _seen(counts), np.bincount(pairs & _MASK, minlength=UNITS)]
+
+        def seen_whole(messages: Iterator) -> Iterator[np.ndarray]:
+            keys, a = _trigrams_of(messages)
+            yield seen(a, *_pair_counts(keys[salts.value[keys >> 2 * WORD_BITS] == 1]))
+
+        def seen_split(messages: Iterator) -> Iterator[np.ndarray]:
+            yield seen(np.zeros(0, np.int64), *_pairs_of(messages))
+
+        # One shard to a partition; all jobs that read one of these share its shuffle.
+        self.known = trusted.rdd.mapPartitions(learn).partitionBy(shards, _place)
+        parted = self.known.mapPartitions(split).partitionBy(shards, _place)
+        self.pairs = parted.mapPartitions(copies).partitionBy(shards, _place)
+        # One number per unit and a few more.
+        total = self.known.mapPartitions(seen_whole).treeReduce(np.add) + parted.mapPartitions(seen_split).treeReduce(np.add)
+        self.cuts = {3: discounts(dict(enumerate(total[:6].tolist()))), 2: discounts(dict(enumerate(total[6:12].tolist())))}
+        single = total[12:].astype(float)
         self.cuts[1] = discounts(Counter(np.minimum(single, 5).astype(int).tolist()))
-        cut, total = _cut(single.astype(np.int64), self.cuts[1]), single.sum()
-        self.single = (single - cut + cut.sum() / UNITS) / total if total else np.full(UNITS, 1 / UNITS)
-        self.size, self.share = 0, np.zeros(UNITS)
-        for r in self.trigrams.groupBy(middle.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect():
-            self.share[r["v"]] = r["n"]
-            self.size += r["n"]
+        cut, all_pairs = _cut(total[12:], self.cuts[1]), single.sum()
+        self.single = (single - cut + cut.sum() / UNITS) / all_pairs if all_pairs else np.full(UNITS, 1 / UNITS)
 
     def scores(self, docs: DataFrame) -> DataFrame:
         """``key, logp, units`` per row of ``docs(key string, text string)``, texts not null."""
-        signs = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        shards = int(max(partitions(docs), signs // SHARD_SIGNS, self.size // SHARD_GRAMS))
-        salts = 1 + (self.share / max(self.size, 1) * shards * 2).astype(np.int64)
         context = docs.sparkSession.sparkContext
-        vocabulary, tables = self.vocabulary, context.broadcast((salts, self.single))
-        cuts = self.cuts
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            units, salts = _Units(vocabulary.value), tables.value[0]
-            number = TaskContext.get().partitionId() << 32
-            held: tuple[list, list, int] = ([], [], 0)
-
-            def rows(names: list[str], texts: list[str]) -> pa.RecordBatch:
-                keys, counts = trigrams(texts, units)
-                owner = np.repeat(np.arange(len(texts), dtype=np.int64), counts)
-                order = np.lexsort((owner, keys))
-                keys, owner = keys[order], owner[order]
+        vocabulary, salts, shards, cuts = self.vocabulary, self.salts, self.shards, self.cuts
+        singles = context.broadcast(self.single)
+
+        def ask(rows: Iterator) -> Iterator[tuple]:
+            units, partition = _Units(vocabulary.value), TaskContext.get().partitionId()
+            for i, some in enumerate(_batches(rows, lambda r: len(r[1]))):
+                block = (partition << 32) + i
+                keys, counts = trigrams([r[1] for r in some], units)
+                names = [_pressed(json.dumps([r[0] for r in some]).encode()), *_packed(counts, 5)]
+                yield (partition + i) % shards, (NAMES, block, names)
+                order = np.argsort(keys, kind="stable")  # the owners of a trigram stay ascending
+                keys, owner = keys[order], np.repeat(np.arange(len(some), dtype=np.int32), counts)[order]
                 new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
-                times = np.diff(np.r_[new, len(keys)])
+                times = np.diff(np.r_[new, len(keys)]).astype(np.int32)
                 keys, owner = keys[new], owner[new]
-                shard = _dealt(keys, salts, shards)
+                shard = _dealt(keys, salts.value, shards)
                 order = np.argsort(shard, kind="stable")
-                keys, owner, times, shard = keys[order], owner[order], times[order], shard[order]
-                ends = np.flatnonzero(np.r_[shard[1:] != shard[:-1], True]) + 1
-                out = [{"shard": number % shards, "block": number, "keys": names, "units": counts.tolist()}]
-                for a, b in zip(np.r_[0, ends[:-1]], ends):
-                    out.append({
-                        "shard": int(shard[a]), "block": number, "grams": _packed(np.diff(keys[a:b], prepend=0)),
-                        "owners": _packed(owner[a:b].astype(np.int32)), "times": _packed(times[a:b].astype(np.int32)),
-                    })
-                return pa.RecordBatch.from_pylist(out, schema=_ASKED)
-
-            for batch in batches:
-                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if held[0] and held[2] + len(text) > BLOCK_SIGNS:
-                        yield rows(*held[:2])
-                        held, number = ([], [], 0), number + 1
-                    held[0].append(name)
-                    held[1].append(text)
-                    held = (*held[:2], held[2] + len(text) + 1)
-            if held[0]:
-                yield rows(*held[:2])
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            salts = tables.value[0]
-            for batch in batches:
-                keys, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                if batch.schema.names[0] == "g":
-                    shard, pair = _dealt(keys, salts, shards), np.zeros(len(keys), bool)
-                else:
-                    times = salts[keys >> WORD_BITS]
-                    salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    keys, counts = np.repeat(keys, times), np.repeat(counts, times)
-                    shard, pair = _shard(keys >> WORD_BITS, salt, shards), np.ones(len(keys), bool)
-                    # Two salts may share a shard.
-                    table = pd.DataFrame({"shard": shard, "g": keys, "a": counts}).drop_duplicates(["shard", "g"])
-                    shard, keys, counts = (table[c].to_numpy() for c in ("shard", "g", "a"))
-                    pair = pair[: len(keys)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), pa.array(keys), pa.array(counts), pa.array(pair)], names=["shard", "g", "a", "pair"]
-                )
-
-        def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            single = tables.value[1]
-            pair, g, a = known["pair"].to_numpy(bool), known["g"].to_numpy(np.int64), known["a"].to_numpy(np.int64)
-            two, three = _Level(g[pair], a[pair], cuts[2]), _Level(g[~pair], a[~pair], cuts[3])
-            out = []
-            for row in asked.itertuples():
-                if row.grams is None:
-                    out.append((row.block, -1, None, None, row.keys, row.units))
+                keys, owner, times = keys[order], owner[order], times[order]
+                for s, run in _runs(shard[order]):
+                    yield s, (ASKED, block, _steps([*_units(keys[run]), owner[run]]) + _packed(times[run], 4))
+
+        def score(messages: Iterator) -> Iterator[tuple]:
+            single, known, pairs, levels = singles.value, [], [], None
+            for shard, message in messages:
+                kind, block, parts = message
+                if kind in (KNOWN, PAIRS):
+                    # These come first, as the shuffles are read in the order of the union.
+                    (known if kind == KNOWN else pairs).append((shard, message))
+                    continue
+                if kind == NAMES:
+                    yield block, -1, parts
                     continue
-                grams, owners = np.cumsum(_unpacked(row.grams, np.int64)), _unpacked(row.owners, np.int32)
-                keys, at = np.unique(grams, return_inverse=True)
-                last = keys & _MASK
-                p = two.interpolated(keys >> 2 * WORD_BITS << WORD_BITS | last, single[last])
-                logs = np.log(three.interpolated(keys, p))[at] * _unpacked(row.times, np.int32)
-                sums = np.bincount(owners, logs)
+                if levels is None:
+                    g, a = _trigrams_of(known)
+                    mine = _pair_counts(g[salts.value[g >> 2 * WORD_BITS] == 1])
+                    theirs = _pairs_of(pairs)
+                    levels = _Level(np.r_[mine[0], theirs[0]], np.r_[mine[1], theirs[1]], cuts[2]), _Level(g, a, cuts[3])
+                    del g, a, mine, theirs
+                    known, pairs = None, None
+                *units, owners = _from_steps(parts[:12])
+                grams = _joined(*units)
+                first = np.flatnonzero(np.diff(grams, prepend=-1))
+                keys, last = grams[first], grams[first] & _MASK
+                p = levels[0].interpolated(keys >> 2 * WORD_BITS << WORD_BITS | last, single[last])
+                logs = np.repeat(np.log(levels[1].interpolated(keys, p)), np.diff(np.r_[first, len(grams)]))
+                sums = np.bincount(owners, logs * _unpacked(parts[12:]))
                 there = np.unique(owners)
-                out.append((row.block, row.shard, _packed(there.astype(np.int32)), sums[there].tobytes(), None, None))
-            return pd.DataFrame(out, columns=["block", "shard", "owners", "logps", "keys", "units"])
+                fine = np.maximum(np.rint(-sums[there] * FINE), 0).astype(np.int64)
+                yield block, shard, _packed(np.diff(there, prepend=0), 3) + _packed(fine, 8)
 
         def total(sums: pd.DataFrame) -> pd.DataFrame:
             sums = sums.sort_values("shard")  # the names first
-            names = sums.iloc[0]
-            logp = np.zeros(len(names["keys"]))
-            for owners, logps in zip(sums["owners"].iloc[1:], sums["logps"].iloc[1:]):
-                logp[_unpacked(owners, np.int32)] += np.frombuffer(logps, np.float64)
-            return pd.DataFrame({"key": names["keys"], "logp": logp, "units": names["units"]})
-
-        kind = "shard long, g long, a long, pair boolean"
-        known = self.trigrams.mapInArrow(deal, kind).unionByName(
-            self.pairs.withColumnRenamed("g", "pair").mapInArrow(deal, kind)
-        )
-        asked = docs.select("key", "text").mapInArrow(
-            ask, "shard long, block long, grams binary, owners binary, times binary, keys array<string>, units array<long>"
-        )
-        parts = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(
-            score, "block long, shard long, owners binary, logps binary, keys array<string>, units array<long>"
+            names = sums["parts"].iloc[0]
+            keys = json.loads(_plain(names[0]))
+            fine = np.zeros(len(keys), np.int64)
+            for parts in sums["parts"].iloc[1:]:
+                fine[np.cumsum(_unpacked(parts[:3]))] += _unpacked(parts[3:])
+            return pd.DataFrame({"key": keys, "logp": -fine / FINE, "units": _unpacked(names[1:])})
+
+        asked = docs.select("key", "text").rdd.mapPartitions(ask).partitionBy(shards, _place)
+        together = self.known.union(self.pairs).union(asked)
+        if together.getNumPartitions() != asked.getNumPartitions():
+            raise RuntimeError("shards of counts and of questions do not meet")
+        parts = docs.sparkSession.createDataFrame(
+            together.mapPartitions(score), "block long, shard long, parts array<binary>", verifySchema=False
         )
         return parts.groupBy("block").applyInPandas(total, "key string, logp double, units long")

@@ -3,11 +3,14 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from qalink.llm import kneser_ney as kn
 from qalink.llm import word_model as wm
+from qalink.sources.scratch import stored
 
 
 def brute_logp(train, text, vocabulary):
@@ -81,3 +84,36 @@ def test_documents_leave_a_shard_as_one_row_per_block(spark):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("FlatMapGroupsInPandas") == 1
     assert {r["key"]: r["units"] for r in scores.collect()} == {f"k{i}": 7 * (i % 5) + 1 for i in range(40)}
+
+
+def test_messages_give_back_what_went_in():
+    rng = np.random.default_rng(4)
+    rows = np.unique(rng.integers(0, [3, 40, wm.UNITS, 900], (5000, 4)), axis=0)
+    columns = [np.ascontiguousarray(rows[:, i]) for i in range(4)]
+    for n in (0, 1, len(rows)):
+        back = wm._from_steps(wm._steps([c[:n] for c in columns]))
+        assert all((a[:n] == b).all() and len(b) == n for a, b in zip(columns, back))
+    keys = wm._joined(*columns[:3])
+    assert (wm._joined(*wm._units(keys)) == keys).all()
+    many = rng.integers(0, 1 << 40, 1000)
+    assert (wm._unpacked(wm._packed(many, 5)) == many).all()
+
+
+def test_shuffles_of_a_model_and_its_scores_stay_below_the_texts(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f: f.stat().st_size for d in manager.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    rng = random.Random(8)
+    words = [a + b + c for a in ("tion", "er", "the", "and") for b in ("ha", "re", "on", "li") for c in ("", "s", "ed", "ing")]
+    texts = [" ".join(rng.choices(words, weights=range(1, 65), k=200)) for _ in range(3000)]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
+    docs = stored(rows.repartition(4))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        before = held()
+        model = wm.WordModel(docs.where("key < '4'").select("text"))
+        assert model.scores(docs).count() == 3000
+        written = sum(size for f, size in held().items() if f not in before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert written < 0.6 * sum(map(len, texts))
