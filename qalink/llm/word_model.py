@@ -115,39 +115,36 @@ def _batches(items: Iterable, signs: Callable) -> Iterator[list]:
         yield held
 
 
-def word_counts(texts: DataFrame, parts: int) -> DataFrame:
-    """``word, n`` of ``texts(text)``; words of over 40 signs have no place in the vocabulary."""
+def usual_words(texts: DataFrame, parts: int) -> DataFrame:
+    """``word, n`` of ``texts(text)`` from ``LEAST_COUNT`` on; words of over 40 signs have no place in the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(texts: Iterator) -> Iterator[tuple]:
         found: Counter = Counter()
 
-        def rows() -> pa.RecordBatch:
+        def messages() -> Iterator[tuple]:
             dealt: dict[int, list[str]] = {}
             for word in sorted(w for w in found if len(w) <= 40 and w.isprintable()):
                 dealt.setdefault(zlib.crc32(word.encode()) % parts, []).append(word)
-            out = [
-                {"part": part, "words": _pressed("\n".join(words).encode()), "counts": _packed(np.array([found[w] for w in words]), 5)}
-                for part, words in dealt.items()
-            ]
+            for part, words in dealt.items():
+                yield part, (_pressed("\n".join(words).encode()), _packed(np.array([found[w] for w in words]), 5))
             found.clear()
-            return pa.RecordBatch.from_pylist(out, schema=_WORDS)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(_WORD.findall(text))
-                if len(found) > GATHERED:
-                    yield rows()
-        yield rows()
+        for (text,) in texts:
+            found.update(_WORD.findall(text))
+            if len(found) > GATHERED:
+                yield from messages()
+        yield from messages()
 
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
+    def total(messages: Iterator) -> Iterator[tuple]:
         found: Counter = Counter()
-        for words, counts in zip(rows["words"], rows["counts"]):
+        for _, (words, counts) in messages:
             for word, n in zip(_plain(words).decode().split("\n"), _unpacked(counts).tolist()):
                 found[word] += n
-        return pd.DataFrame({"word": list(found), "n": list(found.values())})
+        return ((word, n) for word, n in found.items() if n >= LEAST_COUNT)
 
-    sent = texts.mapInArrow(count, "part long, words binary, counts array<binary>")
-    return sent.groupBy("part").applyInPandas(total, "word string, n long")
+    # As everywhere here but at the end: no second kind of Python worker stays in memory beside the first.
+    counted = texts.rdd.mapPartitions(count).partitionBy(parts, _place).mapPartitions(total)
+    return texts.sparkSession.createDataFrame(counted, "word string, n long", verifySchema=False)
 
 
 # Messages.
@@ -237,7 +234,6 @@ def _place(shard: int) -> int:
 
 #: Kinds of messages ``shard, (kind, block, parts)``: counts of trigrams and of pairs, a block's trigrams, its names.
 KNOWN, PAIRS, ASKED, NAMES = range(4)
-_WORDS = pa.schema([("part", pa.int64()), ("words", pa.binary()), ("counts", pa.list_(pa.binary()))])
 
 
 def _trigrams_of(messages: Iterator) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +316,7 @@ class WordModel:
         trusted = trusted.select("text")
         signs = trusted.agg(F.sum(F.length("text"))).first()[0] or 0
         self.shards = shards = max(2 * context.defaultParallelism, -(-signs // SHARD_SIGNS))
-        usual = word_counts(trusted, shards).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+        usual = usual_words(trusted, shards).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
         self.vocabulary = vocabulary = context.broadcast({r["word"]: i for i, r in enumerate(usual)})
         share = np.zeros(UNITS)
         share[: len(usual)] = [r["n"] for r in usual]
