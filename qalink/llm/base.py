@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,17 @@ def per_process(name: str, make: Callable[[], object]) -> object:
     if name not in held:
         held[name] = make()
     return held[name]
+
+
+def tidied(task: Callable[[Iterator], Iterable]) -> Callable[[Iterator], Iterator]:
+    """The function of a partition, after which its worker gives freed memory back to the system.
+
+    Workers wait for more tasks, and for a while they stay in memory beside those of the next stages.
+    """
+
+    def run(items: Iterator) -> Iterator:
+        yield from task(items)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return run

@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qalink.llm.base import text_of
+from qalink.llm.base import text_of, tidied
 
-#: Entries of a per-task table before it is started anew.
-MEMO_WORDS = 200_000
-MEMO_ARCS = 300_000
+#: Entries of a per-task table before it is started anew, and signs of a word that is remembered.
+MEMO_WORDS = 100_000
+MEMO_ARCS = 150_000
+MEMO_SIGNS = 40
 #: Signs of the texts whose ids are held at once.
 HELD_SIGNS = 1_000_000
 
@@ -97,7 +98,7 @@ class Automaton:
         for label, number in ids.items():
             self.labels[number] = label
         # The trie: its arcs read base tokens; a node may end a token.
-        self.arcs: list[dict[int, int]] = [{}]
+        self.arcs: dict[int, int] = {}  # node and symbol to node
         self.ends: list[int] = [-1]
         spelled: dict[int, tuple[int, ...]] = {t: (t,) for t in [*self.base, *self.final]}
         for a, b in vocabulary.merges:
@@ -105,9 +106,8 @@ class Automaton:
         for token, symbols in spelled.items():
             node = 0
             for symbol in symbols:
-                if (after := self.arcs[node].get(symbol)) is None:
-                    after = self.arcs[node][symbol] = len(self.arcs)
-                    self.arcs.append({})
+                if (after := self.arcs.get(node << 20 | symbol)) is None:
+                    after = self.arcs[node << 20 | symbol] = len(self.ends)
                     self.ends.append(-1)
                 node = after
             self.ends[node] = token
@@ -154,7 +154,7 @@ class Automaton:
             if found is None:
                 node, found = 0, []
                 for end in range(at, size):
-                    node = trie[node].get(symbols[end])
+                    node = trie.get(node << 20 | symbols[end])
                     if node is None:
                         break
                     if ends[node] >= 0:
@@ -231,16 +231,24 @@ def word_splitter(patterns: tuple[str, str]) -> Callable[[str], list[str]]:
 
 
 class _Known(dict):
-    """What is known of words; asks for a word when it first comes up."""
+    """What is known of words; asks for a word when it first comes up.
+
+    A full table stays for one more turn, from which words in use come back, so that the frequent
+    ones are not asked for again.
+    """
 
     def __init__(self, ask: Callable[[str], tuple[int, str, str]]):
         super().__init__()
         self.ask = ask
+        self.before: dict[str, tuple[int, str, str]] = {}
 
     def __missing__(self, word: str) -> tuple[int, str, str]:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        found = self[word] = self.ask(word)
+        found = self.before.get(word) or self.ask(word)
+        if len(word) <= MEMO_SIGNS:
+            if len(self) >= MEMO_WORDS:
+                self.before = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -284,7 +292,7 @@ def compile_tokenizer(spark: SparkSession, path: str) -> Callable[[], Encoder]:
     """Compiled once here; the tables, bounded by the vocabulary file, go to each task."""
     vocabulary = read_vocabulary(path)
     automaton = Automaton(vocabulary)
-    sent = spark.sparkContext.broadcast((vocabulary._replace(merges=[]), automaton, split_patterns(vocabulary)))
+    sent = spark.sparkContext.broadcast((vocabulary._replace(ids={}, merges=[]), automaton, split_patterns(vocabulary)))
     return lambda: Encoder(*sent.value)
 
 
@@ -327,7 +335,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     fields = [docs.schema[c] for c in others]
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     read = docs.select(*[F.col(f"`{c}`") for c in others], text_of().alias("_whole_text"))
-    return read.mapInArrow(run, T.StructType(fields + added))
+    return read.mapInArrow(tidied(run), T.StructType(fields + added))
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -356,4 +364,4 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
 
     read = spread_texts(docs.select("doc_id", text_of().alias("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return read.mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,7 +47,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], total: float, cap
     for row in dealt.groupBy("part").count().orderBy("part").collect():  # one number per task
         before.append((row["part"], n))
         n += row["count"]
-    offsets = spark.createDataFrame(before, "part int, before long")
+    # An Arrow table needs no Python worker, unlike a list.
+    parts, sums = zip(*before) if before else ((), ())
+    offsets = spark.createDataFrame(pa.table({"part": pa.array(parts, pa.int32()), "before": pa.array(sums, pa.int64())}))
     within = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
     ranked = dealt.withColumn("within", within).join(F.broadcast(offsets), "part")
     turn = ((F.col("within") + F.col("before")) % len(weights) + 1).cast("int")

@@ -23,10 +23,11 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qalink.llm.base import row_key, text_of
+from qalink.llm.base import row_key, text_of, tidied
 from qalink.llm.components import components
 from qalink.operators.joins import lookup_join
 from qalink.sources.scratch import stored
@@ -37,7 +38,8 @@ RECALL = 0.9999
 MAX_HASHES = 192
 BLOCK_NODES = 1024
 CHUNK_SIGNS = 1_000_000
-MEMO_WORDS = 200_000
+CHUNK_ROWS = 1_000
+MEMO_WORDS = 50_000
 _COLUMNS = 2048
 
 _WORD = re.compile(r"[^ \t-\r]+").findall
@@ -118,16 +120,14 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _slices(texts: list[str]) -> Iterator[list[int]]:
-    some, size = [], 0
-    for i, text in enumerate(texts):
-        some.append(i)
-        size += len(text)
-        if size >= CHUNK_SIGNS:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def _slices(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces, as only one is taken out of Arrow at a time; ``texts`` is the column whose size counts."""
+    start = size = 0
+    for i, more in enumerate(pc.binary_length(batch.column(texts)).to_pylist()):
+        size += more
+        if size >= CHUNK_SIGNS or i + 1 - start >= CHUNK_ROWS or i + 1 == batch.num_rows:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
@@ -135,25 +135,21 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            ids, sizes, hashes = [], [], []
-            for some in _slices(texts):
-                sets = ngram_sets([texts[i] for i in some], words, n)
-                full = [s for s in sets if len(s)]
-                signed = iter(band_hashes(full, bands, rows).tolist() if full else [])
-                for s in sets:
-                    ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sizes.append(len(s))
-                    hashes.append(next(signed) if len(s) else None)
+        for some in (some for batch in batches for some in _slices(batch, 2)):
+            sets = ngram_sets(some.column(2).to_pylist(), words, n)
+            full = [s for s in sets if len(s)]
+            signed = iter(band_hashes(full, bands, rows).tolist() if full else [])
+            ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            hashes = [next(signed) if len(s) else None for s in sets]
+            sizes = [len(s) for s in sets]
             arrays = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *arrays], names=["doc_id", "key", "set_id", "size", "bands"]
+                [*some.columns[:2], *arrays], names=["doc_id", "key", "set_id", "size", "bands"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.unhex(row_key()).alias("key"), text_of().alias("text"))
-    return read.mapInArrow(sign, f"doc_id {kind}, key binary, set_id binary, size int, bands array<long>")
+    return read.mapInArrow(tidied(sign), f"doc_id {kind}, key binary, set_id binary, size int, bands array<long>")
 
 
 # Verification.
@@ -225,8 +221,10 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
         root = _tree(similar)
         return [(r["node"], int(k), left[t]["node"]) for r, k, t in zip(left, links, root) if k]
 
+    grams = members.columns.index("grams")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
+        rows = (row for batch in batches for some in _slices(batch, grams) for row in some.to_pylist())
         out: list[tuple[int, int, int]] = []
 
         def batch() -> pa.RecordBatch:
@@ -242,7 +240,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
         yield batch()
 
     dealt = members.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node")
-    return dealt.mapInArrow(run, "node long, links long, root long")
+    return dealt.mapInArrow(tidied(run), "node long, links long, root long")
 
 
 def near_copies(
@@ -288,17 +286,15 @@ def near_copies(
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
-            texts, grams = batch.column(0).to_pylist(), []
-            for some in _slices(texts):
-                grams += [s.tobytes() for s in ngram_sets([texts[i] for i in some], words, n)]
+        for some in (some for batch in batches for some in _slices(batch, 0)):
+            grams = [s.tobytes() for s in ngram_sets(some.column(0).to_pylist(), words, n)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(grams, pa.large_binary())],
+                [*some.columns[1:], pa.array(grams, pa.large_binary())],
                 names=["cluster", "blocks", "block", "node", "copies", "grams"],
             )
 
     ready = found.select("text", "cluster", "blocks", "block", "node", "copies").mapInArrow(
-        to_sets, "cluster long, blocks int, block int, node long, copies long, grams binary"
+        tidied(to_sets), "cluster long, blocks int, block int, node long, copies long, grams binary"
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     members = ready.select("cluster", "block", "node", "copies", "grams", other).select(

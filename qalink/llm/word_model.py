@@ -35,6 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qalink.llm.base import tidied
+
 WORD_BITS = 17
 VOCABULARY = 1 << 16
 CLASSES = 1 << 12
@@ -143,7 +145,7 @@ def usual_words(texts: DataFrame, parts: int) -> DataFrame:
         return ((word, n) for word, n in found.items() if n >= LEAST_COUNT)
 
     # As everywhere here but at the end: no second kind of Python worker stays in memory beside the first.
-    counted = texts.rdd.mapPartitions(count).partitionBy(parts, _place).mapPartitions(total)
+    counted = texts.rdd.mapPartitions(tidied(count)).partitionBy(parts, _place).mapPartitions(tidied(total))
     return texts.sparkSession.createDataFrame(counted, "word string, n long", verifySchema=False)
 
 
@@ -271,9 +273,11 @@ class _Level:
     """Counts of one order with the totals of their contexts."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, d: list[float]):
-        order = np.argsort(keys, kind="stable")
-        self.keys, counts = keys[order], counts[order]
-        del keys, order
+        if np.any(keys[1:] < keys[:-1]):
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            del order
+        self.keys = keys
         cut = _cut(counts, d)
         self.own = counts - cut
         self.contexts, first = np.unique(self.keys >> WORD_BITS, return_index=True)
@@ -379,11 +383,12 @@ class WordModel:
             yield seen(np.zeros(0, np.int64), *_pairs_of(messages))
 
         # One shard to a partition; all jobs that read one of these share its shuffle.
-        self.known = trusted.rdd.mapPartitions(learn).partitionBy(shards, _place)
-        parted = self.known.mapPartitions(split).partitionBy(shards, _place)
-        self.pairs = parted.mapPartitions(copies).partitionBy(shards, _place)
+        self.known = trusted.rdd.mapPartitions(tidied(learn)).partitionBy(shards, _place)
+        parted = self.known.mapPartitions(tidied(split)).partitionBy(shards, _place)
+        self.pairs = parted.mapPartitions(tidied(copies)).partitionBy(shards, _place)
         # One number per unit and a few more.
-        total = self.known.mapPartitions(seen_whole).treeReduce(np.add) + parted.mapPartitions(seen_split).treeReduce(np.add)
+        whole, halves = self.known.mapPartitions(tidied(seen_whole)), parted.mapPartitions(tidied(seen_split))
+        total = whole.treeReduce(np.add) + halves.treeReduce(np.add)
         self.cuts = {3: discounts(dict(enumerate(total[:6].tolist()))), 2: discounts(dict(enumerate(total[6:12].tolist())))}
         single = total[12:].astype(float)
         self.cuts[1] = discounts(Counter(np.minimum(single, 5).astype(int).tolist()))
@@ -452,11 +457,11 @@ class WordModel:
                 fine[np.cumsum(_unpacked(parts[:3]))] += _unpacked(parts[3:])
             return pd.DataFrame({"key": keys, "logp": -fine / FINE, "units": _unpacked(names[1:])})
 
-        asked = docs.select("key", "text").rdd.mapPartitions(ask).partitionBy(shards, _place)
+        asked = docs.select("key", "text").rdd.mapPartitions(tidied(ask)).partitionBy(shards, _place)
         together = self.known.union(self.pairs).union(asked)
         if together.getNumPartitions() != asked.getNumPartitions():
             raise RuntimeError("shards of counts and of questions do not meet")
         parts = docs.sparkSession.createDataFrame(
-            together.mapPartitions(score), "block long, shard long, parts array<binary>", verifySchema=False
+            together.mapPartitions(tidied(score)), "block long, shard long, parts array<binary>", verifySchema=False
         )
         return parts.groupBy("block").applyInPandas(total, "key string, logp double, units long")

@@ -172,3 +172,10 @@ def test_source_without_words_has_no_copies(spark):
     docs = spark.createDataFrame([(1, "", "a"), (2, None, "a"), (3, "w w", "b")], "doc_id long, text string, source string")
     got = {r["given"]["doc_id"]: (r["target"], r["copies"]) for r in mixing.mix(docs).collect()}
     assert got[1] == (0.0, 0) and got[3][0] == 3.0
+
+
+def test_source_mix_starts_no_python_worker(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    # Rows of a Python list become an RDD that Python workers read.
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("a list of rows"))
+    assert mixing.mix(docs).count() == len(ROWS)

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from qalink.llm import near_copies, norm_search, queries
@@ -151,3 +152,14 @@ def test_pipeline(spark):
     links = brute_links({i: docs[i] for i in stayed})
     assert not any(links.values())  # no two near copies are left
     assert max(sum(r["doc_id"] == i for r in rows) for i in stayed) <= 2
+
+
+def test_batches_are_cut_before_they_leave_arrow():
+    texts = ["ab" * (i % 40) for i in range(5000)] + ["x" * 3_000_000, "", "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    pieces = list(near_copies._slices(batch, 1))
+    assert [t for p in pieces for t in p.column(1).to_pylist()] == texts
+    assert max(p.num_rows for p in pieces) <= near_copies.CHUNK_ROWS
+    sizes = [[len(t) for t in p.column(1).to_pylist()] for p in pieces]
+    assert all(sum(s) - s[-1] < near_copies.CHUNK_SIGNS for s in sizes)
+    assert list(near_copies._slices(batch.slice(0, 0), 1)) == []

@@ -229,3 +229,20 @@ def test_surrogates_of_further_forms(spark):
         assert got[i]["text"].startswith("see ") and got[i]["text"].endswith(", so"), mention
     iban = got[list(said).index("DE89 3704 0044 0532 0130 00")]["text"][4:-4].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_encoder_remembers_few_short_words(monkeypatch):
+    monkeypatch.setattr(merge_automaton, "MEMO_WORDS", 10)
+    asked = Counter()
+    known = merge_automaton._Known(lambda word: (asked.update([word]), (1, word, word))[1])
+    for i in range(300):
+        assert known["the"] == (1, "the", "the") and known[f"w{i}"][1] == f"w{i}"
+        assert len(known) + len(known.before) <= 20
+    assert asked["the"] == 1  # a word in use is not forgotten with the others
+    assert known["x" * 1000][2] == "x" * 1000 and "x" * 1000 not in known
+
+
+def test_encoder_tables_hold_no_object_per_node():
+    vocabulary = merge_automaton.read_vocabulary(tokenizer_path())
+    automaton = merge_automaton.Automaton(vocabulary)
+    assert not any(isinstance(x, dict) for held in vars(automaton).values() if isinstance(held, (list, dict)) for x in (held.values() if isinstance(held, dict) else held))

@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from qalink.llm import base
 from qalink.llm import kneser_ney as kn
 from qalink.llm import word_model as wm
 from qalink.sources.scratch import stored
@@ -117,3 +118,29 @@ def test_shuffles_of_a_model_and_its_scores_stay_below_the_texts(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     assert written < 0.6 * sum(map(len, texts))
+
+
+def test_sorted_counts_are_not_sorted_again(monkeypatch):
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 30, 3000))
+    counts, asked = rng.integers(1, 9, len(keys)), rng.integers(0, 1 << 30, 500)
+    mixed = rng.permutation(len(keys))
+    unsorted = wm._Level(keys[mixed], counts[mixed], [0.5, 1.0, 1.5])
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: pytest.fail("sorted keys were sorted"))
+    level = wm._Level(keys, counts, [0.5, 1.0, 1.5])
+    asked = np.r_[asked, keys[::7]]
+    shorter = np.full(len(asked), 0.25)
+    assert (level.interpolated(asked, shorter) == unsorted.interpolated(asked, shorter)).all()
+
+
+def test_workers_give_memory_back_after_the_last_row(monkeypatch):
+    done = []
+
+    class Pool:
+        def release_unused(self):
+            done.append("released")
+
+    monkeypatch.setattr(base.pa, "default_memory_pool", Pool)
+    monkeypatch.setattr(base.pa, "system_memory_pool", Pool)
+    rows = base.tidied(lambda items: (2 * i for i in items))(iter([1, 2]))
+    assert [(i, len(done)) for i in rows] == [(2, 0), (4, 0)] and len(done) == 2
