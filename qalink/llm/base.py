@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
@@ -54,7 +56,10 @@ def tidied(task: Callable[[Iterator], Iterable]) -> Callable[[Iterator], Iterato
 
     def run(items: Iterator) -> Iterator:
         yield from task(items)
+        gc.collect()  # tables that know their owner are not freed before
         for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
             pool.release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what lies between objects in use
+            trim(0)
 
     return run

@@ -25,6 +25,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -38,8 +39,8 @@ from pyspark.sql import types as T
 from qalink.llm.base import text_of, tidied
 
 #: Entries of a per-task table before it is started anew, and signs of a word that is remembered.
-MEMO_WORDS = 100_000
-MEMO_ARCS = 150_000
+MEMO_WORDS = 70_000
+MEMO_ARCS = 50_000
 MEMO_SIGNS = 40
 #: Signs of the texts whose ids are held at once.
 HELD_SIGNS = 1_000_000
@@ -237,12 +238,12 @@ class _Known(dict):
     ones are not asked for again.
     """
 
-    def __init__(self, ask: Callable[[str], tuple[int, str, str]]):
+    def __init__(self, ask: Callable[[str], object]):
         super().__init__()
         self.ask = ask
-        self.before: dict[str, tuple[int, str, str]] = {}
+        self.before: dict[str, object] = {}
 
-    def __missing__(self, word: str) -> tuple[int, str, str]:
+    def __missing__(self, word: str) -> object:
         found = self.before.get(word) or self.ask(word)
         if len(word) <= MEMO_SIGNS:
             if len(self) >= MEMO_WORDS:
@@ -264,6 +265,7 @@ class Encoder:
             self.labels += [""] * (number + 1 - len(self.labels))
             self.labels[number] = label
         self.known = _Known(lambda word: self.written(self.word_ids(word)))
+        self.packed = _Known(lambda word: self.pack(self.word_ids(word)))
 
     def word_ids(self, word: str) -> list[int]:
         automaton, raw = self.automaton, word.encode("utf-8", "surrogatepass")
@@ -277,14 +279,26 @@ class Encoder:
         labels = self.labels
         return " ".join([labels[i] for i in ids if 0 <= i < len(labels) and labels[i]])
 
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        """Ids as 32-bit integers: half of what the written form of a word takes to remember."""
+        return array("i", ids).tobytes()
+
     def parts(self, text: str) -> list[tuple[int, str, str]]:
         """Number of ids, ids and labels of each word and each special token of a text."""
+        return self._parts(text, self.known, self.written)
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        return np.frombuffer(b"".join(self._parts(text, self.packed, self.pack)), np.intc)
+
+    def _parts(self, text: str, known: _Known, made: Callable[[list[int]], object]) -> list:
         found, at = [], 0
         for mark in self.marks(text):
-            found += map(self.known.__getitem__, self.words(text[at : mark.start()]))
-            found.append(self.written([self.special[mark.group()]]))
+            found += map(known.__getitem__, self.words(text[at : mark.start()]))
+            found.append(made([self.special[mark.group()]]))
             at = mark.end()
-        found += map(self.known.__getitem__, self.words(text[at:] if at else text))
+        found += map(known.__getitem__, self.words(text[at:] if at else text))
         return found
 
 
@@ -313,10 +327,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def some(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
         ids, ends, decoded = [], [0], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
-            parts = encoder.parts(text)
-            ids.append(np.array(" ".join([part[1] for part in parts]).split(), np.int32))
+            ids.append(encoder.ids(text))
             ends.append(ends[-1] + len(ids[-1]))
-            decoded.append(" ".join([part[2] for part in parts]))
+            decoded.append(encoder.decode(ids[-1].tolist()))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
         return pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], lists, pa.array(decoded, pa.string())], names=[*others, "ids", "decoded"]

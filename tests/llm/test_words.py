@@ -1,7 +1,9 @@
 """The word model behind the quality stage."""
 
+import gc
 import math
 import random
+import weakref
 from collections import Counter
 from pathlib import Path
 
@@ -144,3 +146,28 @@ def test_workers_give_memory_back_after_the_last_row(monkeypatch):
     monkeypatch.setattr(base.pa, "system_memory_pool", Pool)
     rows = base.tidied(lambda items: (2 * i for i in items))(iter([1, 2]))
     assert [(i, len(done)) for i in rows] == [(2, 0), (4, 0)] and len(done) == 2
+
+
+def test_a_task_s_tables_are_gone_before_memory_is_given_back(monkeypatch):
+    class Table:
+        def __init__(self):
+            self.owner = self
+
+    seen, left = [], []
+
+    def task(items):
+        table = Table()
+        seen.append(weakref.ref(table))
+        yield from items
+
+    class Pool:
+        def release_unused(self):
+            left.append(seen[0]() is not None)
+
+    monkeypatch.setattr(base.pa, "default_memory_pool", Pool)
+    monkeypatch.setattr(base.pa, "system_memory_pool", Pool)
+    gc.disable()
+    try:
+        assert [*base.tidied(task)(iter([1, 2]))] == [1, 2] and left == [False, False]
+    finally:
+        gc.enable()
