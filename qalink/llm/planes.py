@@ -118,10 +118,13 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.ends, patterns, special = prepared
         self.words = word_splitter(patterns)
+        self.tokens = word_splitter((rf"{patterns[0]}|\n",) * 2)
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
         self.ordinary: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.odd: set[str] = set()
 
     @staticmethod
     def prepare(path: str) -> tuple:
@@ -131,13 +134,13 @@ class LibraryEncoder:
         ends[[i for label, i in vocabulary.ids.items() if label.endswith(vocabulary.suffix)]] = True
         return ends, split_patterns(vocabulary), [*vocabulary.special]
 
-    def whole(self, text: str) -> bool:
-        """Whether a text has to go to the library as it is."""
+    def _odd(self, text: str) -> bool:
+        """Whether a text holds signs that cannot be left to the cutting here."""
         signs = set(text)
         for sign in signs - self.ordinary.keys():
-            # Python's split() also cuts at these four, the tokenizer does not.
+            # Python takes these four for white space, the tokenizer does not.
             self.ordinary[sign] = unicodedata.category(sign) != "Cn" and sign not in "\x1c\x1d\x1e\x1f"
-        return not all(map(self.ordinary.__getitem__, signs)) or self.special(text) is not None
+        return not all(map(self.ordinary.__getitem__, signs))
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -155,31 +158,65 @@ class LibraryEncoder:
                 self.known[word] = raw[start:end]
                 start = end
 
+    def _cut(self, pieces: list[str]) -> Iterator[list[str]]:
+        """The words of each piece; the pieces are normalised and cut in one go."""
+        tokens = self.tokens("\n".join(pieces))
+        start = 0
+        for end in itertools.chain(np.nonzero(np.array(tokens, object) == "\n")[0].tolist(), [len(tokens)]):
+            yield tokens[start:end]
+            start = end + 1
+
     def _compose(self, pieces: list[str]) -> None:
         """Learns pieces between white space from their words."""
-        cut = [self.words(piece) for piece in pieces]
-        self._learn(list({w for words in cut for w in words if w not in self.known}))
+        joined = "\n".join(pieces)
+        if self._odd(joined):
+            odd = {p for p in pieces if self._odd(p)}
+            self.odd |= odd
+            self.pieces.update(dict.fromkeys(odd, b""))
+            pieces = [p for p in pieces if p not in odd]
+        high = []
+        if self.beyond(joined):
+            high = [p for p in pieces if self.beyond(p)]
+            pieces = [p for p in pieces if not self.beyond(p)]
+        cut = [*(self._cut(pieces) if pieces else ()), *map(self.words, high)]
+        self._learn([*set().union(*cut).difference(self.known)])
         known = self.known.__getitem__
-        self.pieces.update((piece, b"".join(map(known, words))) for piece, words in zip(pieces, cut))
+        self.pieces.update(zip(pieces + high, [b"".join(map(known, words)) for words in cut], strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        The column is cut at ASCII white space and its pieces are numbered by Arrow, so that each
+        different piece is looked up once; ids are put together by position.
+        """
         if len(self.known) > MEMO_WORDS:
             self.known.clear()
         if len(self.pieces) > MEMO_PIECES:
             self.pieces.clear()
+            self.odd.clear()
         # Pieces may still hold other white space, where the tokenizer cuts as well.
-        cut = [None if self.whole(text) else text.split() for text in texts]
-        # What is remembered is asked once per different piece.
-        self._compose(list(set().union(*filter(None, cut)).difference(self.pieces)))
-        known = self.pieces.__getitem__
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        self._compose([piece for piece in pieces if piece not in self.pieces])
+        raw = [*map(self.pieces.__getitem__, pieces)]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        place = numbered.indices.to_numpy(zero_copy_only=False)
+        taken = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        shift = (np.cumsum(sizes) - sizes)[place] - ends[:-1]
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(shift, taken) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])
+        borders = ends[cuts].tolist()
+        odd = np.fromiter(map(self.odd.__contains__, pieces), bool, len(pieces)) if self.odd else np.zeros(len(pieces), bool)
+        strange = np.diff(np.concatenate([[0], np.cumsum(odd[place])])[cuts]).tolist()
         return [
-            np.array(self._library([text])[0], "<u4").tobytes() if pieces is None else b"".join(map(known, pieces))
-            for text, pieces in zip(texts, cut)
+            np.array(self._library([text])[0], "<u4").tobytes() if alone or self.special(text) else ids[a:b].tobytes()
+            for text, alone, a, b in zip(texts.to_pylist(), strange, borders, borders[1:])
         ]
 
 
-def _few(texts: pa.Array, size: int = 2_000_000) -> Iterator[slice]:
+def _few(texts: pa.Array, size: int = 4_000_000) -> Iterator[slice]:
     """Slices of a batch that hold about so many bytes each, one text at least."""
     start = held = 0
     for i, length in enumerate(pc.binary_length(texts).to_pylist()):
@@ -227,8 +264,7 @@ def write_ids(
         for batch in batches:
             for some in _few(batch.column(1)):
                 part_of = batch.slice(some.start, some.stop - some.start)
-                texts = part_of.column(1).to_pylist()
-                for doc_id, found in zip(part_of.column(0).to_pylist(), encoder.encode(texts)):
+                for doc_id, found in zip(part_of.column(0).to_pylist(), encoder.encode(part_of.column(1))):
                     ids.append(doc_id)
                     raw.append(found + tail)
                     size += len(raw[-1]) // 4

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -263,3 +264,17 @@ def test_packed_ids_are_the_library_s_and_take_less_to_remember(texts, library):
     held = sum(map(sys.getsizeof, encoder.packed.values()))
     assert encoder.packed.keys() == encoder.known.keys()
     assert held < sum(sys.getsizeof(v) + sum(map(sys.getsizeof, v[1:])) for v in encoder.known.values()) / 2
+
+
+def test_plane_encoder_cuts_the_pieces_of_a_batch_at_once(texts, library):
+    encoder = planes.LibraryEncoder(tokenizer_path(), planes.LibraryEncoder.prepare(tokenizer_path()))
+    cut, odd = [], []
+    tokens, encoder_odd = encoder.tokens, encoder._odd
+    encoder.tokens = lambda text: (cut.append(text), tokens(text))[1]
+    encoder._odd = lambda text: (odd.append(text), encoder_odd(text))[1]
+    for some in (["a b  c", " x y ", "", "b it's", "a\tb c"], texts, ["a\x1fb c", "c d\x1d"], texts[::-1], []):
+        got = encoder.encode(pa.array(some, pa.string()))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [
+            library.encode(text, add_special_tokens=False).ids for text in some
+        ]
+    assert len(cut) <= 5 and odd[0] == cut[0] and sorted(odd[0].split()) == ["a", "b", "c", "it's", "x", "y"]
