@@ -278,3 +278,10 @@ def test_plane_encoder_cuts_the_pieces_of_a_batch_at_once(texts, library):
             library.encode(text, add_special_tokens=False).ids for text in some
         ]
     assert len(cut) <= 5 and odd[0] == cut[0] and sorted(odd[0].split()) == ["a", "b", "c", "it's", "x", "y"]
+
+
+def test_a_worker_keeps_the_encoder_s_tables_as_bytes(spark, library):
+    tokenizer = merge_automaton.compile_tokenizer(spark, tokenizer_path())
+    first, second = tokenizer(), tokenizer()
+    assert first.automaton is not second.automaton and first.labels == second.labels
+    assert first.ids("It's a test").tolist() == library.encode("It's a test", add_special_tokens=False).ids
